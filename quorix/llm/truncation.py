@@ -22,19 +22,21 @@ from quorix.session import cut
 LEAST_SEEN = 5
 #: It is cut inside a line if at most this share of the occurrences ends a line.
 MOST_ENDS = 0.05
+#: A final word alone is asked where trigram and context are rare.
+LEAST_WORD_SEEN = 20
 #: A field limit: at least so many different texts of a source with exactly this length ...
-LIMIT_TEXTS = 4
+LIMIT_TEXTS = 3
+#: ... which are at least this share of the source's texts ...
+LIMIT_SHARE = 0.005
 #: ... and at least so many times as many as its neighbourhood of lengths lets expect.
 LIMIT_FACTOR = 20.0
 #: A UTF-8 text cut at a byte limit may end up to so many bytes before it.
 UTF8_SLACK = 3
 
-# White space that may have been lost or added at the end without making a text truncated.
-_BLANK = r"[\\s\\x00\\u00a0\\u3000\\ufeff]+"
-# The line end as a word of its own; digits are one class, so that counts of rows or cells don't make words rare.
-_WORDS = r"""
-  split(regexp_replace(regexp_replace(body, '[0-9]+(?:[.,][0-9]+)*', '0'), '[ \\t\\r]*\\n\\s*|[ \\t\\r]+', ' '), ' ')
-"""
+# White space and control characters that may be missing at the end without making a text truncated.
+_BLANK = "concat(' ', char(9), char(10), char(11), char(12), char(13), char(0), char(160), '\u3000', '\ufeff')"
+# Digits are one class, so that counts of rows or cells don't make words rare.
+_DIGITS = "[0-9]+(?:[.,][0-9]+)*"
 
 
 def _register(df: DataFrame, name: str) -> str:
@@ -51,20 +53,18 @@ def text_ends(df: DataFrame) -> DataFrame:
     return s.sql(
         rf"""
 WITH t AS (
-  SELECT doc_id, source, fmt, text, regexp_replace(right(text, 400), '{_BLANK}$', '') AS tail,
-    length(text) AS chars, octet_length(text) AS bytes
-  FROM {src} WHERE text IS NOT NULL AND text RLIKE '[^\\s\\x00\\u00a0\\u3000\\ufeff]'
+  SELECT doc_id, source, fmt, text, rtrim({_BLANK}, text) AS body FROM {src} WHERE text IS NOT NULL
 ), e AS (
-  SELECT doc_id, source, fmt, chars, bytes, xxhash64(text) AS text_hash,
-    length(right(text, 1)) = 1 AND right(text, 1) RLIKE '\\s' AS blank_end,
-    regexp_extract(tail, '([^\\n]*)$', 1) AS last_line,
-    right(tail, 1) AS last_char,
-    -- a whole JSON document closes its object; the parser settles the rest
-    fmt = 'ipynb' AND (right(tail, 1) <> '}}' OR try_parse_json(text) IS NULL) AS json_open,
+  SELECT doc_id, source, fmt, length(text) AS chars, octet_length(text) AS bytes, xxhash64(text) AS text_hash,
+    right(text, 1) IN (char(10), char(13)) AS line_end,
+    substring_index(body, char(10), -1) AS last_line,
+    -- a whole document closes its object and parses; notebooks may hold the non-standard numbers NaN and Infinity
+    fmt = 'ipynb' AND (right(body, 1) <> '}}' OR CASE WHEN try_parse_json(text) IS NOT NULL THEN false
+      ELSE try_parse_json(regexp_replace(regexp_replace(text, '-?\\b(NaN|Infinity)\\b', 'null'), '[\\x00-\\x1f]', ' ')) IS NULL END) AS json_open,
     fmt = 'md' AND pmod((length(text) - length(regexp_replace(text, '(^|\\n)```', '$1'))) DIV 3, 2) = 1 AS fence_open
-  FROM t
+  FROM t WHERE body <> ''
 )
-SELECT *, filter(split(regexp_replace(last_line, '[0-9]+(?:[.,][0-9]+)*', '0'), '[ \\t\\r]+'), w -> w <> '') AS words FROM e
+SELECT *, filter(split(regexp_replace(last_line, '{_DIGITS}', '0'), '[ \\t\\r]+'), w -> w <> '') AS words FROM e
 """
     )
 
@@ -81,17 +81,16 @@ def end_counts(df: DataFrame, ends: DataFrame) -> DataFrame:
     return s.sql(
         rf"""
 WITH k AS (
-  SELECT DISTINCT key FROM (
-    SELECT explode(array(trigram_key, context_key)) AS key FROM {wanted}
-  ) WHERE key IS NOT NULL
+  SELECT DISTINCT key FROM (SELECT explode(array(trigram_key, context_key, word_key)) AS key FROM {wanted}) WHERE key IS NOT NULL
 ), l AS (
-  SELECT explode(split(regexp_replace(body, '[0-9]+(?:[.,][0-9]+)*', '0'), '\\s*\\n\\s*')) AS line FROM {src} WHERE body IS NOT NULL
+  SELECT explode(split(regexp_replace(body, '{_DIGITS}', '0'), '\\n')) AS line FROM {src} WHERE body IS NOT NULL
 ), w AS (
-  SELECT concat(array('^', '^'), filter(split(line, '[ \\t\\r]+'), x -> x <> '')) AS w FROM l WHERE line <> ''
+  SELECT concat(array('^', '^'), filter(split(line, '[ \\t\\r]+'), x -> x <> '')) AS w FROM l
 ), g AS (
   SELECT inline(flatten(transform(sequence(3, size(w)), i -> array(
     struct(xxhash64(w[i - 3], w[i - 2], w[i - 1]) AS key, i = size(w) AS fin),
-    struct(xxhash64(w[i - 3], w[i - 2]) AS key, i = size(w) AS fin))))) FROM w WHERE size(w) >= 3
+    struct(xxhash64(w[i - 3], w[i - 2]) AS key, i = size(w) AS fin),
+    struct(xxhash64(w[i - 1]) AS key, i = size(w) AS fin))))) FROM w WHERE size(w) >= 3
 )
 SELECT g.key, count_if(NOT fin) AS inside, count_if(fin) AS at_end
 FROM g LEFT SEMI JOIN k ON g.key = k.key GROUP BY g.key
@@ -102,27 +101,40 @@ FROM g LEFT SEMI JOIN k ON g.key = k.key GROUP BY g.key
 def field_limits(ends: DataFrame) -> DataFrame:
     """(source, unit, length, n): lengths in characters or bytes at which texts of a source were cut.
 
-    Copies count once. The expectation comes from the texts within 5 % of the length.
+    Copies count once. The expectation comes from the texts within about 7 % of the length. Where the same
+    length stands out in both units, the unit with more texts has the limit; texts at a limit in
+    characters don't count for limits in bytes.
     """
     s = ends.sparkSession
     view = _register(ends, "lengths")
+
+    def spikes(texts: str, unit: str) -> str:
+        return f"""
+  SELECT n.source, n.length, n.n FROM (
+    SELECT source, {unit} AS length, CAST(floor(ln({unit}) / ln(1.05)) AS INT) AS band, count(*) AS n
+    FROM {texts} WHERE {unit} >= 64 GROUP BY source, {unit}
+  ) n JOIN (
+    SELECT source, band + shift AS band, sum(n) AS n_near FROM (
+      SELECT source, CAST(floor(ln({unit}) / ln(1.05)) AS INT) AS band, count(*) AS n FROM {texts} WHERE {unit} >= 64 GROUP BY 1, 2
+    ) LATERAL VIEW explode(array(-1, 0, 1)) AS shift GROUP BY 1, 2
+  ) c ON n.source = c.source AND n.band = c.band
+  JOIN (SELECT source, count(*) AS n_all FROM {texts} GROUP BY source) a ON n.source = a.source
+  WHERE n.n >= {LIMIT_TEXTS} AND n.n >= {LIMIT_SHARE} * n_all AND n.n >= {LIMIT_FACTOR} * (n_near - n.n) / (0.15 * n.length)"""
+
     return s.sql(
         f"""
 WITH d AS (
   SELECT source, text_hash, max(chars) AS chars, max(bytes) AS bytes FROM {view} WHERE source IS NOT NULL GROUP BY source, text_hash
-), n AS (
-  SELECT source, unit, length, count(*) AS n FROM (
-    SELECT source, inline(array(struct('chars' AS unit, chars AS length), struct('bytes' AS unit, bytes AS length))) FROM d
-  ) WHERE length >= 64 GROUP BY source, unit, length
-), b AS (
-  SELECT *, CAST(floor(ln(length) / ln(1.05)) AS INT) AS band FROM n
-), a AS (
-  SELECT source, unit, band, sum(n) AS n_band FROM b GROUP BY source, unit, band
+), by_chars AS ({spikes("d", "chars")}
+), by_bytes AS ({spikes("d", "bytes")}
+), c AS (
+  SELECT x.source, x.length, x.n FROM by_chars x LEFT JOIN by_bytes y ON x.source = y.source AND x.length = y.length
+  WHERE x.n >= coalesce(y.n, 0)
+), rest AS (
+  SELECT d.* FROM d LEFT ANTI JOIN c ON d.source = c.source AND d.chars = c.length
+), b AS ({spikes("rest", "bytes")}
 )
-SELECT b.source, b.unit, b.length, b.n FROM b
-JOIN (SELECT source, unit, band + shift AS band, sum(n_band) AS n_near FROM a LATERAL VIEW explode(array(-1, 0, 1)) AS shift GROUP BY 1, 2, 3) c
-  ON b.source = c.source AND b.unit = c.unit AND b.band = c.band
-WHERE b.n >= {LIMIT_TEXTS} AND b.n >= {LIMIT_FACTOR} * (c.n_near - b.n) / (0.15 * b.length)
+SELECT source, 'chars' AS unit, length, n FROM c UNION ALL SELECT source, 'bytes', length, n FROM b
 """
     )
 
@@ -138,12 +150,15 @@ def detect_truncated(df: DataFrame) -> DataFrame:
     s = df.sparkSession
     ends = cut(
         text_ends(df).selectExpr(
-            "doc_id", "source", "fmt", "chars", "bytes", "text_hash", "blank_end", "last_char", "json_open", "fence_open",
-            "last_line RLIKE '^[# ]*#+ [^ ]+ [^ ]+$' OR last_line RLIKE '^[# ]*- ' AS listed",
+            "doc_id", "source", "fmt", "chars", "bytes", "text_hash", "line_end", "right(last_line, 1) AS last_char", "json_open", "fence_open",
+            # a heading or a list item of two words, or a web address
+            r"last_line RLIKE '^[# ]*[#-] [^ ]+ [^ ]+\\s*$' OR last_line RLIKE '://[^ ]*\\s*$' AS listed",
+            r"last_line RLIKE '^[# ]*([-=*_~])\\1{9,}\\s*$' AS ruled",
             "regexp_extract(last_line, '[A-Za-z0-9+/=]{60,}$', 0) AS code64",
             "length(translate(last_line, '([{', '')) < length(translate(last_line, ')]}', '')) AS bracket_open",
             "CASE WHEN size(words) > 0 THEN xxhash64(get(concat(array('^', '^'), words), size(words) - 1), get(concat(array('^', '^'), words), size(words)), element_at(words, -1)) END AS trigram_key",
             "CASE WHEN size(words) > 0 THEN xxhash64(get(concat(array('^', '^'), words), size(words) - 1), get(concat(array('^', '^'), words), size(words))) END AS context_key",
+            "CASE WHEN size(words) > 0 THEN xxhash64(element_at(words, -1)) END AS word_key",
         )
     )
     e, c, f = _register(ends, "e"), _register(cut(end_counts(df, ends)), "c"), _register(field_limits(ends), "f")
@@ -153,19 +168,20 @@ WITH lim AS (
   SELECT source, collect_set(CASE WHEN unit = 'chars' THEN length END) AS char_limits, collect_set(CASE WHEN unit = 'bytes' THEN length END) AS byte_limits
   FROM {f} GROUP BY source
 ), residue AS (
-  SELECT mode(length(code64) % 4) AS usual FROM {e} WHERE code64 <> '' AND blank_end
+  SELECT mode(length(code64) % 4) AS usual FROM {e} WHERE code64 <> '' AND line_end
 ), j AS (
   SELECT e.*, coalesce(array_contains(char_limits, chars), false)
-      OR coalesce(exists(byte_limits, x -> bytes = x OR (chars < bytes AND bytes BETWEEN x - {UTF8_SLACK} AND x)), false) AS at_limit,
+      OR coalesce(exists(byte_limits, x -> bytes = x OR (chars < bytes AND NOT line_end AND bytes BETWEEN x - {UTF8_SLACK} AND x)), false) AS at_limit,
     coalesce(t.inside, 0) AS t_in, coalesce(t.at_end, 0) - 1 AS t_end, coalesce(x.inside, 0) AS x_in, coalesce(x.at_end, 0) - 1 AS x_end,
-    usual
+    coalesce(u.inside, 0) AS u_in, coalesce(u.at_end, 0) - 1 AS u_end, usual
   FROM {e} e LEFT JOIN lim ON e.source = lim.source
-  LEFT JOIN {c} t ON e.trigram_key = t.key LEFT JOIN {c} x ON e.context_key = x.key
+  LEFT JOIN {c} t ON e.trigram_key = t.key LEFT JOIN {c} x ON e.context_key = x.key LEFT JOIN {c} u ON e.word_key = u.key
   CROSS JOIN residue
 ), v AS (
   SELECT *,
     CASE WHEN t_in + t_end >= {LEAST_SEEN} THEN t_end <= {MOST_ENDS} * (t_in + t_end)
          WHEN x_in + x_end >= {LEAST_SEEN} THEN x_end <= {MOST_ENDS} * (x_in + x_end)
+         WHEN u_in + u_end >= {LEAST_WORD_SEEN} THEN u_end <= {MOST_ENDS} * (u_in + u_end)
          ELSE false END AS inside_line,
     -- the end of a sentence, a closed bracket or string, a rule or an emoji
     last_char RLIKE '[.?!:;。？！：…)\\]}}\"`=*_|-]' OR last_char RLIKE '[^\\x00-\\x7f\\p{{L}}\\p{{N}}]' AS closed_end
@@ -174,8 +190,8 @@ WITH lim AS (
 SELECT doc_id, source, CASE
     WHEN coalesce(json_open, false) THEN 'json'
     WHEN coalesce(fence_open, false) THEN 'fence'
-    WHEN at_limit AND NOT coalesce(fmt = 'ipynb', false) THEN 'limit'
-    WHEN coalesce(fmt = 'ipynb', false) OR blank_end THEN NULL
+    WHEN at_limit AND NOT ruled AND NOT coalesce(fmt = 'ipynb', false) THEN 'limit'
+    WHEN coalesce(fmt = 'ipynb', false) OR line_end THEN NULL
     WHEN code64 <> '' THEN CASE WHEN length(code64) % 4 <> usual THEN 'base64' END
     WHEN listed THEN NULL
     WHEN bracket_open THEN 'bracket'
