@@ -13,7 +13,9 @@ Markdown code fence or a bracket of the last line that is still open.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorix.session import cut
@@ -37,6 +39,20 @@ UTF8_SLACK = 3
 _BLANK = "concat(' ', char(9), char(10), char(11), char(12), char(13), char(0), char(160), '\u3000', '\ufeff')"
 # Digits are one class, so that counts of rows or cells don't make words rare.
 _DIGITS = "[0-9]+(?:[.,][0-9]+)*"
+#: Bits of the filter that keeps words' keys away from the aggregation unless some text ends with them.
+#: A fixed 8 MB however many texts there are; a fuller filter only lets more keys through.
+FILTER_WORDS = 1 << 20
+
+
+def _words(line: str) -> str:
+    """The words of a line, as SQL."""
+    return rf"split(trim(concat(' ', char(9), char(13)), {line}), '[ \\t\\r]+')"
+
+
+def _keys(w: str, i: str) -> tuple[str, str, str]:
+    """Trigram, context of two words and single word at 0-based position `i` of a word array, hashed, as SQL."""
+    back = [f"coalesce(get({w}, {i} - {d}), '^')" for d in (2, 1)]
+    return f"xxhash64({back[0]}, {back[1]}, get({w}, {i}))", f"xxhash64({back[0]}, {back[1]}, 1)", f"xxhash64(get({w}, {i}), 2)"
 
 
 def _register(df: DataFrame, name: str) -> str:
@@ -53,31 +69,48 @@ def text_ends(df: DataFrame) -> DataFrame:
     return s.sql(
         rf"""
 WITH t AS (
-  SELECT doc_id, source, fmt, text, rtrim({_BLANK}, text) AS body FROM {src} WHERE text IS NOT NULL
+  -- one-element lateral views keep the optimizer from repeating these expressions in each place of use
+  SELECT doc_id, source, fmt, text, body, last_line FROM {src}
+  LATERAL VIEW explode(array(rtrim({_BLANK}, text))) AS body
+  LATERAL VIEW explode(array(substring_index(body, char(10), -1))) AS last_line
+  WHERE text IS NOT NULL
 ), e AS (
   SELECT doc_id, source, fmt, length(text) AS chars, octet_length(text) AS bytes, xxhash64(text) AS text_hash,
     right(text, 1) IN (char(10), char(13)) AS line_end,
-    substring_index(body, char(10), -1) AS last_line,
+    last_line,
     -- a whole document closes its object and parses; notebooks may hold the non-standard numbers NaN and Infinity
     fmt = 'ipynb' AND (right(body, 1) <> '}}' OR CASE WHEN try_parse_json(text) IS NOT NULL THEN false
       ELSE try_parse_json(regexp_replace(regexp_replace(text, '-?\\b(NaN|Infinity)\\b', 'null'), '[\\x00-\\x1f]', ' ')) IS NULL END) AS json_open,
     fmt = 'md' AND pmod((length(text) - length(regexp_replace(text, '(^|\\n)```', '$1'))) DIV 3, 2) = 1 AS fence_open
   FROM t WHERE body <> ''
 )
-SELECT *, filter(split(regexp_replace(last_line, '{_DIGITS}', '0'), '[ \\t\\r]+'), w -> w <> '') AS words FROM e
+SELECT e.*, words FROM e LATERAL VIEW explode(array({_words(f"regexp_replace(last_line, '{_DIGITS}', '0')")})) AS words
 """
     )
 
 
+def key_filter(ends: DataFrame) -> DataFrame:
+    """One row, bits: a bit array in which each final key of some text is set. At most FILTER_WORDS rows reach the driver."""
+    spot = f"pmod(key, {FILTER_WORDS * 64}L)"
+    keys = ends.select(F.explode(F.array("trigram_key", "context_key", "word_key")).alias("key")).where("key IS NOT NULL")
+    rows = keys.selectExpr(f"CAST({spot} DIV 64 AS INT) AS at", f"shiftleft(1L, CAST({spot} % 64 AS INT)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    one = pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, FILTER_WORDS], pa.int32()), pa.array(bits))})
+    return ends.sparkSession.createDataFrame(one)
+
+
 def end_counts(df: DataFrame, ends: DataFrame) -> DataFrame:
-    """(key, inside, at_end): of each final trigram or context, how often it goes on and how often its line ends there.
+    """(key, inside, at_end): of each final trigram, context or word, how often it goes on and how often its line ends there.
 
-    All words of all texts are counted; only keys that are the final key of some text are kept, by a
-    semi join before the aggregation.
+    All words of all texts are counted. A bit filter of fixed size drops most keys that end no text before
+    the partial aggregation; the exact semi join comes after it.
     """
     s = df.sparkSession
     src = _register(df.select(F.col("text").cast("string").alias("body")), "body")
     wanted = _register(ends, "wanted")
+    bits = _register(key_filter(ends), "bits")
+    spot = f"pmod(key, {FILTER_WORDS * 64}L)"
     return s.sql(
         rf"""
 WITH k AS (
@@ -85,15 +118,16 @@ WITH k AS (
 ), l AS (
   SELECT explode(split(regexp_replace(body, '{_DIGITS}', '0'), '\\n')) AS line FROM {src} WHERE body IS NOT NULL
 ), w AS (
-  SELECT concat(array('^', '^'), filter(split(line, '[ \\t\\r]+'), x -> x <> '')) AS w FROM l
+  SELECT {_words("line")} AS w FROM l WHERE line <> ''
+), p AS (
+  SELECT w, i, i = size(w) - 1 AS fin FROM w LATERAL VIEW posexplode(w) AS i, word
 ), g AS (
-  SELECT inline(flatten(transform(sequence(3, size(w)), i -> array(
-    struct(xxhash64(w[i - 3], w[i - 2], w[i - 1]) AS key, i = size(w) AS fin),
-    struct(xxhash64(w[i - 3], w[i - 2]) AS key, i = size(w) AS fin),
-    struct(xxhash64(w[i - 1]) AS key, i = size(w) AS fin))))) FROM w WHERE size(w) >= 3
+  SELECT explode(array({", ".join(_keys("w", "i"))})) AS key, fin FROM p
 )
-SELECT g.key, count_if(NOT fin) AS inside, count_if(fin) AS at_end
-FROM g LEFT SEMI JOIN k ON g.key = k.key GROUP BY g.key
+SELECT c.key, inside, at_end FROM (
+  SELECT key, count_if(NOT fin) AS inside, count_if(fin) AS at_end FROM g CROSS JOIN (SELECT /*+ BROADCAST(b) */ bits FROM {bits} b)
+  WHERE bit_get(get(bits, CAST({spot} DIV 64 AS INT)), CAST({spot} % 64 AS INT)) = 1 GROUP BY key
+) c LEFT SEMI JOIN k ON c.key = k.key
 """
     )
 
@@ -154,11 +188,9 @@ def detect_truncated(df: DataFrame) -> DataFrame:
             # a heading or a list item of two words, or a web address
             r"last_line RLIKE '^[# ]*[#-] [^ ]+ [^ ]+\\s*$' OR last_line RLIKE '://[^ ]*\\s*$' AS listed",
             r"last_line RLIKE '^[# ]*([-=*_~])\\1{9,}\\s*$' AS ruled",
-            "regexp_extract(last_line, '[A-Za-z0-9+/=]{60,}$', 0) AS code64",
+            "regexp_extract(last_line, '(?:^|[^A-Za-z0-9+/=])([A-Za-z0-9+/=]{60,}+)$', 1) AS code64",
             "length(translate(last_line, '([{', '')) < length(translate(last_line, ')]}', '')) AS bracket_open",
-            "CASE WHEN size(words) > 0 THEN xxhash64(get(concat(array('^', '^'), words), size(words) - 1), get(concat(array('^', '^'), words), size(words)), element_at(words, -1)) END AS trigram_key",
-            "CASE WHEN size(words) > 0 THEN xxhash64(get(concat(array('^', '^'), words), size(words) - 1), get(concat(array('^', '^'), words), size(words))) END AS context_key",
-            "CASE WHEN size(words) > 0 THEN xxhash64(element_at(words, -1)) END AS word_key",
+            *(f"{key} AS {name}" for key, name in zip(_keys("words", "(size(words) - 1)"), ("trigram_key", "context_key", "word_key"))),
         )
     )
     e, c, f = _register(ends, "e"), _register(cut(end_counts(df, ends)), "c"), _register(field_limits(ends), "f")
