@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix.session import cut
+
 #: A term is a heavy candidate if it takes this share of one batch's entries; at most MOST_HEAVY are kept
 #: (a switch between two exact ways of counting: the others are counted as light terms).
 HEAVY_SHARE = 0.002
@@ -119,7 +121,8 @@ def count_terms(blocks: DataFrame, share: float = HEAVY_SHARE, most: int = MOST_
                 packed = np.packbits(bits, axis=1)
                 yield _rows(ids, None, None, [x.tobytes() for x in packed])
 
-    parts = blocks.mapInArrow(split, "record bigint, term_id bigint, n bigint, bits binary")
+    # read three times below: decode the blocks only once
+    parts = cut(blocks.mapInArrow(split, "record bigint, term_id bigint, n bigint, bits binary"))
     light = (
         parts.where("record is not null and bits is null")
         .groupBy("term_id", "record")
