@@ -29,31 +29,40 @@ COMMON_SHARE = 0.2
 _COLUMNS = ("row_ptr", "col_idx", "row_map", "col_map")
 
 
+def _slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, flat values as int64 with null as -1) of an int list column; null lists are empty."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    values = column.values
+    flat = np.asarray(values.fill_null(-1) if values.null_count else values).astype(np.int64)
+    starts, ends = offsets[:-1], offsets[1:].copy()
+    if column.null_count:
+        empty = np.asarray(column.is_null())
+        ends[empty] = starts[empty]
+    return starts, ends, flat
+
+
 def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(records, terms) of the stored entries of each block; malformed or missing parts give no entries."""
-    for row_ptr, col_idx, row_map, col_map in zip(*(batch.column(i).to_pylist() for i in range(4))):
-        if not row_ptr or not col_idx or not row_map or not col_map:
-            continue
-        ptr = np.array([0 if x is None else x for x in row_ptr], np.int64)
+    """(records, terms) of the stored entries of each block; malformed or missing parts give no entries.
+
+    Ids are non-negative; a null or negative id belongs to no record or term.
+    """
+    parts = [_slices(batch.column(i)) for i in range(4)]
+    for i in range(batch.num_rows):
+        ptr, cols, row_map, col_map = (flat[a[i] : b[i]] for a, b, flat in parts)
         rows = min(len(ptr) - 1, len(row_map))
-        cols = np.array([-1 if x is None else x for x in col_idx], np.int64)
+        if rows < 1 or not len(cols) or not len(col_map):
+            continue
         ptr = np.clip(ptr[: rows + 1], 0, len(cols))
         counts = np.maximum(np.diff(ptr), 0)
-        if not counts.sum():
-            continue
+        total = int(counts.sum())
         local = np.repeat(np.arange(rows), counts)
         # position of each entry: its row's start plus its rank in the row
-        spot = np.repeat(ptr[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        known_row = np.array([x is not None for x in row_map[:rows]])
-        known_col = np.array([x is not None for x in col_map])
+        spot = np.repeat(ptr[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(total)
         c = cols[spot]
-        keep = (c >= 0) & (c < len(known_col)) & known_row[local]
-        local, c = local[keep], c[keep]
-        keep = known_col[c]
-        local, c = local[keep], c[keep]
-        records = np.array([0 if x is None else x for x in row_map[:rows]], np.int64)[local]
-        terms = np.array([0 if x is None else x for x in col_map], np.int64)[c]
-        yield records, terms
+        keep = (c >= 0) & (c < len(col_map))
+        records, terms = row_map[local[keep]], col_map[c[keep]]
+        keep = (records >= 0) & (terms >= 0)
+        yield records[keep], terms[keep]
 
 
 def _gathered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +117,9 @@ def count_terms(blocks: DataFrame, share: float = HEAVY_SHARE, most: int = MOST_
                 continue
             slot = np.searchsorted(heavy, terms) if len(heavy) else np.zeros(len(terms), np.int64)
             is_heavy = (slot < len(heavy)) & (heavy[np.minimum(slot, len(heavy) - 1)] == terms) if len(heavy) else np.zeros(len(terms), bool)
-            pairs = np.stack([records[~is_heavy], terms[~is_heavy]], 1)
-            light, n = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.empty(0, np.int64))
-            yield _rows(light[:, 0], light[:, 1], n, None)
+            # both ids are 31-bit: one sortable number per pair
+            light, n = np.unique(records[~is_heavy] << 32 | terms[~is_heavy], return_counts=True)
+            yield _rows(light >> 32, light & 0xFFFFFFFF, n, None)
             if is_heavy.any():
                 entries = np.bincount(slot[is_heavy], minlength=len(heavy))
                 used = np.nonzero(entries)[0]
