@@ -20,7 +20,7 @@ from quorix.functions import special as S
 from quorix.models import kernels_lda as K
 from quorix.operators.partition import hash_block
 from quorix.schema import LdaParams, LdaStrategy
-from quorix.session import cut
+from quorix.session import snapshot
 
 #: Largest topics x vocabulary matrix that may be held by the driver.
 MOST_CELLS = 50_000_000
@@ -184,7 +184,8 @@ def fit_lda(docs: DataFrame, p: LdaParams | None = None, vocabulary: int | None
         else:
             dual = strategy is LdaStrategy.VADMM
             run = _block_run(spark.sparkContext.broadcast((eta, alpha)), p, dual, v)
-            state = cut(blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, "block int, topic int, word int, eta double, dual double"))
+            solved = blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, "block int, topic int, word int, eta double, dual double")
+            state = snapshot(solved, replaces=state)
             value = F.col("eta") + F.col("dual") if dual else F.col("eta")
             sums = state.groupBy("topic", "word").agg(F.sum(value).alias("stat"), F.count(F.lit(1)).alias("n"))
             # a word that a block lacks keeps that block's prior, which is the global topic

@@ -21,7 +21,7 @@ from quorix.models import kernels_lr as K
 from quorix.operators import metrics
 from quorix.operators.partition import hash_block
 from quorix.schema import LrParams, LrStrategy, Regularizer
-from quorix.session import cut
+from quorix.session import release, snapshot
 from quorix.sources.text import explode_vectors
 
 _OUT = pa.schema([("block", pa.int32()), ("feature", pa.int32()), ("w", pa.float64()), ("lag", pa.float64()), ("gamma", pa.float64()), ("gse", pa.float64())])
@@ -172,8 +172,8 @@ def _blockwise(data: DataFrame, p: LrParams, strategy: LrStrategy, none: DataFra
     state, weights, rho = empty, none, p.rho
     sample = data.where(F.pmod(F.xxhash64(F.lit(p.seed + 7), "row_id"), F.lit(1_000_000)) < int(p.subsample * 1_000_000)) if strategy is LrStrategy.SAVGM else None
     for _ in range(p.outer):
-        state = cut(block_step(data, state, weights, p, solver, rho))
-        weights = cut(global_step(state, p, solver))
+        state = snapshot(block_step(data, state, weights, p, solver, rho), replaces=state)
+        weights = snapshot(global_step(state, p, solver), replaces=weights)
         if solver in (LrStrategy.HMEM, LrStrategy.HECMEM):
             rho = new_rho(state)
         if sample is None:
@@ -182,14 +182,16 @@ def _blockwise(data: DataFrame, p: LrParams, strategy: LrStrategy, none: DataFra
         # bootstrap correction: the subsample model always starts from zero
         small = global_step(block_step(sample, empty, none, p, LrStrategy.AVGM, rho), p, LrStrategy.AVGM)
         both = weights.join(small.withColumnRenamed("w", "w2"), "feature", "left")
-        yield cut(both.select("feature", exprs.savgm_fix(F.col("w"), F.coalesce("w2", F.col("w")), p.subsample).alias("w")))
+        yield snapshot(both.select("feature", exprs.savgm_fix(F.col("w"), F.coalesce("w2", F.col("w")), p.subsample).alias("w")))
 
 
 def _exact(data: DataFrame, p: LrParams) -> Iterator[DataFrame]:
     """Driver loop of gradient, direction, curvature and step; all vectors stay DataFrames of (feature, ...)."""
     rows = explode_vectors(data).persist(StorageLevel.MEMORY_AND_DISK)
-    w = cut(rows.select("feature").distinct().select("feature", F.lit(0.0).alias("w")))
+    w = snapshot(rows.select("feature").distinct().select("feature", F.lit(0.0).alias("w")))
     last: DataFrame | None = None
+    kept: DataFrame | None = None
+    pair: DataFrame | None = None
     lam = F.when(F.col("feature") == 0, F.lit(0.0)).otherwise(F.lit(p.reg))
     for t in range(p.outer):
         g = metrics.gradient(rows, w).join(w, "feature").select("feature", "w", (F.col("g") - lam * F.col("w")).alias("g"))
@@ -198,7 +200,7 @@ def _exact(data: DataFrame, p: LrParams) -> Iterator[DataFrame]:
         else:
             pair = g.join(last.select("feature", F.col("g").alias("g0"), F.col("d").alias("d0"), F.col("s").alias("s0")), "feature")
             dg = F.col("g") - F.col("g0")
-            pair = cut(pair)
+            pair = snapshot(pair)
             r = pair.agg(
                 F.sum(F.col("d0") * dg).alias("d_dg"), F.sum(F.col("g") * dg).alias("g_dg"), F.sum(F.col("s0") * dg).alias("s_dg"), F.sum(dg * dg).alias("dg_dg"), F.sum(F.col("s0") * F.col("g")).alias("s_g")
             ).first()
@@ -213,12 +215,14 @@ def _exact(data: DataFrame, p: LrParams) -> Iterator[DataFrame]:
             else:
                 d = F.col("g")
             now = pair.select("feature", "w", "g", d.alias("d"))
-        now = cut(now)
+        now = snapshot(now, replaces=kept)
+        release(pair)
+        kept = now
         h = metrics.curvature(rows, w, now).first()["h"] or 0.0
         r = now.agg(F.sum(F.col("g") * F.col("d")).alias("gd"), F.sum(lam * F.col("d") * F.col("d")).alias("reg")).first()
         den = h + (r["reg"] or 0.0)
         size = r["gd"] / den if den else 0.0
         last = now.withColumn("s", F.col("d") * F.lit(size))
-        w = cut(last.select("feature", (F.col("w") + F.col("s")).alias("w")))
+        w = snapshot(last.select("feature", (F.col("w") + F.col("s")).alias("w")), replaces=w)
         yield w
     rows.unpersist()

@@ -15,7 +15,7 @@ from quorix.models import consensus as C
 from quorix.models import kernels_mf as K
 from quorix.operators.partition import rating_blocks
 from quorix.schema import MfParams, MfStrategy, Regularizer
-from quorix.session import cut
+from quorix.session import snapshot
 
 #: A hot id's ratings are pre-summed in so many tasks.
 SALTS = 16
@@ -85,8 +85,9 @@ def _blockwise(train: DataFrame, p: MfParams, strategy: MfStrategy, method: str,
     own_only = ((F.col("dim") == 0) & F.lit(p.col_blocks == 1)) | ((F.col("dim") == 1) & F.lit(p.row_blocks == 1))
     for t in range(p.outer):
         run = C.block_function(solver, 2, p.rank, sw, t == 0, (p.gamma, p.gamma), p.seed)
-        state = cut(C.block_step(data, state, factors, run, p.rank))
-        factors = cut(C.global_step(state, lam=lam, regularizer=Regularizer(p.regularizer).value, dual=sw.dual, weighted=p.weighted, plain=strategy is MfStrategy.AVGM, own_only=own_only))
+        state = snapshot(C.block_step(data, state, factors, run, p.rank), replaces=state)
+        merged = C.global_step(state, lam=lam, regularizer=Regularizer(p.regularizer).value, dual=sw.dual, weighted=p.weighted, plain=strategy is MfStrategy.AVGM, own_only=own_only)
+        factors = snapshot(merged, replaces=factors)
         history.append((t, "local_rmse", C.local_rmse(state, p.scale)))
         yield factors
     data.unpersist()
@@ -180,10 +181,10 @@ def _exact(train: DataFrame, p: MfParams, method: str) -> Iterator[DataFrame]:
             prec = np.tile((p.gamma * (n if p.weighted or vb else np.ones(len(n))))[:, None], (1, k)) if vb else np.full(f.shape, np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(ids), C._lists(f), C._lists(prec)], names=["id", "f", "prec"])
 
-    rows = cut(data.groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("n")).mapInArrow(start, "id int, f array<double>, prec array<double>"))
+    rows = snapshot(data.groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("n")).mapInArrow(start, "id int, f array<double>, prec array<double>"))
     cols = data.sparkSession.createDataFrame([], "id int, f array<double>, prec array<double>")
     for _ in range(p.outer):
-        cols = cut(half_step(data, rows, cols, "col", "row", p, method, vb))
-        rows = cut(half_step(data, cols, rows, "row", "col", p, method, vb))
+        cols = snapshot(half_step(data, rows, cols, "col", "row", p, method, vb), replaces=cols)
+        rows = snapshot(half_step(data, cols, rows, "row", "col", p, method, vb), replaces=rows)
         yield rows.select(F.lit(0).alias("dim"), "id", "f").unionByName(cols.select(F.lit(1).alias("dim"), "id", "f"))
     data.unpersist()

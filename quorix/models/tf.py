@@ -13,7 +13,7 @@ from quorix.models import consensus as C
 from quorix.models import kernels_tf as K
 from quorix.operators.partition import cube_block, hash_block
 from quorix.schema import Regularizer, TfParams
-from quorix.session import cut
+from quorix.session import snapshot
 
 #: Most ids of the time dimension for which the sequential sweep runs on the driver.
 MOST_TIMES = 100_000
@@ -61,13 +61,13 @@ def fit_tf(cells: DataFrame, p: TfParams | None = None, validate: DataFrame | No
             return got["factors"], got["precs"], got["gammas"], got["se"]
 
         run = C.block_function(solver, 3, p.rank, sw, t == 0, p.gamma, p.seed)
-        state = cut(C.block_step(data, state, factors, run, p.rank))
+        state = snapshot(C.block_step(data, state, factors, run, p.rank), replaces=state)
         merged = C.global_step(state, lam=p.reg, regularizer=Regularizer(p.regularizer).value, dual=p.dual, weighted=False, plain=False, own_only=own_only)
         if p.markov is not None:
             merged = merged.where("dim <> 2").unionByName(smooth_times(state, factors, p.markov, p.dual, p.rank))
         if frozen[2]:
             merged = merged.where("dim <> 2").unionByName(state.where("dim = 2").select("dim", "id", "f").dropDuplicates(["dim", "id"]))
-        factors = cut(merged)
+        factors = snapshot(merged, replaces=factors)
         history += [(t, "local_rmse", C.local_rmse(state)), (t, "rmse", C.rmse(test, factors, 3))]
     data.unpersist()
     test.unpersist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -66,5 +67,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage."""
+    ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def snapshot(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Write `df` as a table in the shared checkpoint folder and read it back; for loops.
+
+    Unlike a checkpoint, the table starts with fresh size statistics: those of a checkpoint keep the
+    estimates of the plan behind it, which a loop of joins multiplies without end. `replaces` is an older
+    snapshot that nothing needs any more; it is deleted once the new one is written.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    path = f"{ensure_checkpoint_dir(spark)}/quorix-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quorix_path = path
+    release(replaces)
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete a snapshot's table."""
+    path = getattr(df, "_quorix_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        df._quorix_path = None

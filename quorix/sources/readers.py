@@ -57,7 +57,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(word_id, word): one word per line, the line number is the id."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value")), "\n")).alias("word_id", "word"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\n")).alias("word_id", "word"))
     return lines.select("word_id", F.trim("word").alias("word"))
 
 

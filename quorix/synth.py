@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorix.session import ship_package
+
 
 def factor(ids: np.ndarray, side: int, rank: int, sigma: float, seed: int) -> np.ndarray:
     return np.stack([np.random.default_rng([seed, side, int(i)]).normal(0.0, sigma, rank) for i in ids]) if len(ids) else np.empty((0, rank))
@@ -21,6 +23,7 @@ def factor(ids: np.ndarray, side: int, rank: int, sigma: float, seed: int) -> np
 def synth_matrix(spark: SparkSession, rows: int, cols: int, rank: int = 10, density: float = 0.1, noise_precision: float = 100.0, train: float = 0.9, seed: int = 0, row_blocks: int = 4) -> DataFrame:
     """(row, col, value, is_train, rb): factors N(0, rank^-1/2); a row's number of cells is a normal
     approximation to a binomial; distinct columns; training cells get noise of deviation precision^-1/2."""
+    ship_package(spark)
     sigma = rank**-0.25
     ddl = "row int, col int, value double, is_train boolean, rb int"
 
@@ -45,6 +48,7 @@ def synth_matrix(spark: SparkSession, rows: int, cols: int, rank: int = 10, dens
 
 def synth_tensor(spark: SparkSession, sizes: tuple[int, int, int], rank: int = 5, density: float = 0.1, noise_precision: float = 100.0, gamma: float = 1.0, train: float = 0.9, seed: int = 0, blocks: int = 4) -> DataFrame:
     """(i, j, k, value, is_train): factors N(0, 1 / gamma); each cell exists with probability `density`."""
+    ship_package(spark)
     n1, n2, n3 = sizes
     sigma = gamma**-0.5
 
