@@ -51,7 +51,12 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, seed: int = 42, buckets
     )
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     docs = sized.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).select(
-        "doc_id", "source", "n_tokens", key.alias("key"), F.pmod(F.shiftright(key, 40), F.lit(buckets)).cast("int").alias("bucket")
+        "doc_id",
+        "source",
+        "n_tokens",
+        key.alias("key"),
+        # ranges of the key: buckets in order are the key in order, whatever their number
+        F.floor((F.shiftright(key, 40) + F.lit(1 << 23)) * F.lit(buckets) / F.lit(1 << 24)).cast("int").alias("bucket"),
     )
     docs = docs.join(F.broadcast(t.select("source")), "source", "left_semi")
     if checkpoint:
@@ -81,7 +86,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, seed: int = 42, buckets
         "bucket",
         (F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("start"),
     ).join(F.broadcast(plan.select("source", "full", "rest")), "source")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     chosen = (
         docs.join(offsets, ["source", "bucket"])
         .withColumn("upto", F.col("start") + F.sum("n_tokens").over(inside))

@@ -50,12 +50,14 @@ def selected_cells(weights: DataFrame, rate: float = RATE, seed: int = 0) -> Dat
 
 
 def sample_records(records: DataFrame, weights: DataFrame, rate: float = RATE, seed: int = 0) -> DataFrame:
-    """All Records of the selected cells with the cell's inclusion probability.
+    """All Records of the selected cells, with the cell's inclusion probability as `sample_probability`.
 
     The hash test needs no join for most rows: a Record whose hash is above rate x (largest weight) can't
-    be selected, and is dropped in the scan. Repeated Records all come out; an empty table gives none.
+    be selected, and is dropped in the scan. Repeated Records all come out; a column of the name
+    sample_probability is replaced; an empty table gives none.
     """
-    top = weights.agg(F.max("weight").alias("top_weight"))  # one row
-    cells = selected_cells(weights, rate, seed)
-    near = records.crossJoin(F.broadcast(top)).where(unit_hash(F.col("row_idx"), F.col("col_idx"), seed=seed) < F.col("top_weight") * F.lit(rate)).drop("top_weight")
-    return near.join(cells.select("row_idx", "col_idx", F.col("probability").alias("sample_probability")), ["row_idx", "col_idx"])
+    top = weights.agg(F.max("weight").alias("__top"))  # one row
+    cells = selected_cells(weights, rate, seed).select(F.col("row_idx").alias("__r"), F.col("col_idx").alias("__c"), F.col("probability").alias("sample_probability"))
+    rows = records.drop("sample_probability")
+    near = rows.crossJoin(F.broadcast(top)).where(unit_hash(F.col("row_idx"), F.col("col_idx"), seed=seed) < F.col("__top") * F.lit(rate)).drop("__top")
+    return near.join(cells, (F.col("row_idx") == F.col("__r")) & (F.col("col_idx") == F.col("__c"))).drop("__r", "__c")
