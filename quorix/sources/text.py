@@ -158,6 +158,28 @@ def with_unit_gamma(docs: DataFrame, topics: int) -> DataFrame:
     return docs.withColumn("gamma", F.array_repeat(F.lit(1.0), topics))
 
 
+def with_random_gamma(docs: DataFrame, topics: int, seed: int = 0, key: str = "doc_id") -> DataFrame:
+    """Gamma(100, 1/100) starts, nearly 1, from a generator seeded by the document, not by the partition."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as st
+
+    from quorix.session import ship_package
+
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.random.default_rng([seed, abs(int(i or 0))]).gamma(100.0, 0.01, topics).tolist() for i in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*b.schema.names, "gamma"])
+
+    schema = st.StructType([*docs.schema.fields, st.StructField("gamma", st.ArrayType(st.DoubleType()))])
+    return docs.mapInArrow(run, schema)
+
+
 def docword(lines: DataFrame) -> DataFrame:
     """UCI `doc word count` lines, 1-based; header lines (fewer fields) are dropped. (doc, word, count), 0-based."""
     p = _tokens(F.col(LINE))

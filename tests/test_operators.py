@@ -31,6 +31,9 @@ def test_other_formats(spark):
     docs = T.documents(lines(spark, "3:2 1:1 x:y 4", "", None)).collect()
     assert [(r.words, r.counts) for r in docs] == [([3, 1], [2, 1]), ([], []), ([], [])]
     assert T.with_unit_gamma(T.documents(lines(spark, "1:1")), 3).first().gamma == [1.0] * 3
+    numbered = T.documents(lines(spark, "1:1")).withColumn("doc_id", F.lit(5))
+    a, b = (T.with_random_gamma(numbered.repartition(n), 3).first().gamma for n in (1, 3))
+    assert a == b and all(0.5 < x < 1.5 for x in a)
     assert [tuple(r) for r in T.docword(lines(spark, "3", "4", "5", "1 2 3")).collect()] == [(0, 1, 3)]
     assert [tuple(r) for r in T.token_table(lines(spark, "7\t1|2|3", "bad")).collect()] == [(7, [1, 2, 3])]
     log = T.click_log(lines(spark, "\t".join(map(str, range(12))))).first()
