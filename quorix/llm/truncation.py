@@ -116,11 +116,12 @@ def end_counts(df: DataFrame, ends: DataFrame) -> DataFrame:
 WITH k AS (
   SELECT DISTINCT key FROM (SELECT explode(array(trigram_key, context_key, word_key)) AS key FROM {wanted}) WHERE key IS NOT NULL
 ), l AS (
-  SELECT explode(split(regexp_replace(body, '{_DIGITS}', '0'), '\\n')) AS line FROM {src} WHERE body IS NOT NULL
+  SELECT split(regexp_replace(body, '{_DIGITS}', '0'), '\\n') AS lines FROM {src} WHERE body IS NOT NULL
 ), w AS (
-  SELECT {_words("line")} AS w FROM l WHERE line <> ''
+  SELECT {_words("line")} AS w, at = size(lines) - 1 AS unended FROM l LATERAL VIEW posexplode(lines) AS at, line WHERE line <> ''
 ), p AS (
-  SELECT w, i, i = size(w) - 1 AS fin FROM w LATERAL VIEW posexplode(w) AS i, word
+  -- where a text stops without a line end, its last word neither goes on nor ends: that is what is asked
+  SELECT w, i, i = size(w) - 1 AS fin FROM w LATERAL VIEW posexplode(w) AS i, word WHERE NOT (unended AND i = size(w) - 1)
 ), g AS (
   SELECT explode(array({", ".join(_keys("w", "i"))})) AS key, fin FROM p
 )
@@ -178,7 +179,7 @@ def detect_truncated(df: DataFrame) -> DataFrame:
 
     evidence: 'json', 'fence', 'limit', 'trigram', 'bracket' or 'base64', the first that applies, else null.
     Defined cases: null, empty and blank texts are never truncated, nor are texts that only lack white
-    space at the end; a null source has no field limit; an unknown or null fmt is judged by its words;
+    space at the end; a null source may have any source's field limit; an unknown or null fmt is judged by its words;
     repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
     """
     s = df.sparkSession
@@ -199,22 +200,25 @@ def detect_truncated(df: DataFrame) -> DataFrame:
 WITH lim AS (
   SELECT source, collect_set(CASE WHEN unit = 'chars' THEN length END) AS char_limits, collect_set(CASE WHEN unit = 'bytes' THEN length END) AS byte_limits
   FROM {f} GROUP BY source
+  -- a text of unknown source may have met any source's limit
+  UNION ALL SELECT NULL, collect_set(CASE WHEN unit = 'chars' THEN length END), collect_set(CASE WHEN unit = 'bytes' THEN length END) FROM {f}
 ), residue AS (
   SELECT mode(length(code64) % 4) AS usual FROM {e} WHERE code64 <> '' AND line_end
 ), j AS (
   SELECT e.*, coalesce(array_contains(char_limits, chars), false)
       OR coalesce(exists(byte_limits, x -> bytes = x OR (chars < bytes AND NOT line_end AND bytes BETWEEN x - {UTF8_SLACK} AND x)), false) AS at_limit,
-    coalesce(t.inside, 0) AS t_in, coalesce(t.at_end, 0) - 1 AS t_end, coalesce(x.inside, 0) AS x_in, coalesce(x.at_end, 0) - 1 AS x_end,
-    coalesce(u.inside, 0) AS u_in, coalesce(u.at_end, 0) - 1 AS u_end, usual
-  FROM {e} e LEFT JOIN lim ON e.source = lim.source
+    coalesce(t.inside, 0) AS t_in, coalesce(t.at_end, 0) AS t_end, coalesce(x.inside, 0) AS x_in, coalesce(x.at_end, 0) AS x_end,
+    coalesce(u.inside, 0) AS u_in, coalesce(u.at_end, 0) AS u_end, usual
+  FROM {e} e LEFT JOIN lim ON e.source <=> lim.source
   LEFT JOIN {c} t ON e.trigram_key = t.key LEFT JOIN {c} x ON e.context_key = x.key LEFT JOIN {c} u ON e.word_key = u.key
   CROSS JOIN residue
 ), v AS (
   SELECT *,
     CASE WHEN t_in + t_end >= {LEAST_SEEN} THEN t_end <= {MOST_ENDS} * (t_in + t_end)
          WHEN x_in + x_end >= {LEAST_SEEN} THEN x_end <= {MOST_ENDS} * (x_in + x_end)
-         WHEN u_in + u_end >= {LEAST_WORD_SEEN} THEN u_end <= {MOST_ENDS} * (u_in + u_end)
-         ELSE false END AS inside_line,
+           -- part of a word: hardly seen as a word, in a context that is well known
+           OR (u_in + u_end < {LEAST_SEEN} AND x_in + x_end >= {LEAST_WORD_SEEN})
+         ELSE u_in + u_end >= {LEAST_WORD_SEEN} AND u_end <= {MOST_ENDS} * (u_in + u_end) END AS inside_line,
     -- the end of a sentence, a closed bracket or string, a rule or an emoji
     last_char RLIKE '[.?!:;。？！：…)\\]}}\"`=*_|-]' OR last_char RLIKE '[^\\x00-\\x7f\\p{{L}}\\p{{N}}]' AS closed_end
   FROM j
