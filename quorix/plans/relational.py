@@ -131,14 +131,14 @@ def doc_bow_lines(spark: SparkSession, d: str) -> DataFrame:
     return T.bag_of_words_lines(c)
 
 
-@query(f"""WITH {_CLICKS} SELECT user_id, sum(clicks) AS clicks, sum(impressions) AS impressions, round((sum(clicks) + 0.05 * 75) / (sum(impressions) + 75), 9) AS rate FROM c GROUP BY user_id""")
+@query(f"""WITH {_CLICKS} SELECT user_id, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, round((sum(clicks) + 0.05 * 75) / (sum(impressions) + 75), 9) AS rate FROM c GROUP BY user_id""")
 def ctr_by_user(spark: SparkSession, d: str) -> DataFrame:
     s = clicks(spark, d).groupBy("user_id").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
     return s.withColumn("rate", F.round(X.smoothed_rate(F.col("clicks"), F.col("impressions")), 9))
 
 
 @query(f"""WITH {_CLICKS}, h AS (SELECT user_id, hour(ts) AS hour, clicks, impressions FROM c)
-SELECT CASE WHEN grouping(user_id) = 0 THEN 'user_id' ELSE 'hour' END AS entity, CASE WHEN grouping(user_id) = 0 THEN user_id ELSE hour END AS id, sum(clicks) AS clicks, sum(impressions) AS impressions
+SELECT CASE WHEN grouping(user_id) = 0 THEN 'user_id' ELSE 'hour' END AS entity, CASE WHEN grouping(user_id) = 0 THEN user_id ELSE hour END AS id, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions
 FROM h GROUP BY GROUPING SETS ((user_id), (hour))""")
 def ctr_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     c = clicks(spark, d).select("user_id", F.hour("ts").cast("bigint").alias("hour"), "clicks", "impressions")
@@ -440,7 +440,7 @@ def lr_margin(spark: SparkSession, d: str) -> DataFrame:
     return M.margins(lr_rows(spark, d), lr_weights(spark, d)).withColumn("margin", F.round("margin", 6))
 
 
-@query(f"WITH {_LR} SELECT feature, round(sum(m.label * (1 - sg) * value), 5) AS g FROM x JOIN m USING (row_id) GROUP BY feature")
+@query(f"WITH {_LR} SELECT CAST(feature AS INTEGER) AS feature, round(sum(m.label * (1 - sg) * value), 5) AS g FROM x JOIN m USING (row_id) GROUP BY feature")
 def lr_gradient(spark: SparkSession, d: str) -> DataFrame:
     return M.gradient(lr_rows(spark, d), lr_weights(spark, d)).withColumn("g", F.round("g", 5))
 
@@ -506,7 +506,7 @@ def mean_factor_norm(spark: SparkSession, d: str) -> DataFrame:
     return N.mean_factor_norm(table(spark, d, "embeddings"), "embedding").select(_r("mean_norm"))
 
 
-@query("""SELECT date_trunc('hour', ts) AS window_start, user_id, sum(CAST(event_type = 'click' AS INTEGER)) AS clicks, sum(CAST(event_type IN ('click', 'view') AS INTEGER)) AS impressions,
+@query("""SELECT date_trunc('hour', ts) AS window_start, user_id, CAST(sum(CAST(event_type = 'click' AS INTEGER)) AS BIGINT) AS clicks, CAST(sum(CAST(event_type IN ('click', 'view') AS INTEGER)) AS BIGINT) AS impressions,
 round((sum(CAST(event_type = 'click' AS INTEGER)) + 3.75) / (sum(CAST(event_type IN ('click', 'view') AS INTEGER)) + 75), 9) AS rate FROM events GROUP BY 1, 2""")
 def ctr_by_hour(spark: SparkSession, d: str) -> DataFrame:
     from quorix.streaming.rates import windowed_rates
