@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorix.session import cut
+from quorix.session import cut, snapshot
 
 #: A final trigram needs so many occurrences to be judged by itself, a final context so many.
 LEAST_SEEN = 5
@@ -40,8 +40,8 @@ _BLANK = "concat(' ', char(9), char(10), char(11), char(12), char(13), char(0),
 # Digits are one class, so that counts of rows or cells don't make words rare.
 _DIGITS = "[0-9]+(?:[.,][0-9]+)*"
 #: Bits of the filter that keeps words' keys away from the aggregation unless some text ends with them.
-#: A fixed 8 MB however many texts there are; a fuller filter only lets more keys through.
-FILTER_WORDS = 1 << 20
+#: A fixed 4 MB however many texts there are; a fuller filter only lets more keys through.
+FILTER_WORDS = 1 << 19
 
 
 def _words(line: str) -> str:
@@ -141,37 +141,32 @@ def field_limits(ends: DataFrame) -> DataFrame:
     characters don't count for limits in bytes.
     """
     s = ends.sparkSession
-    view = _register(ends, "lengths")
-
-    def spikes(texts: str, unit: str) -> str:
-        return f"""
-  SELECT n.source, n.length, n.n FROM (
-    SELECT source, {unit} AS length, CAST(floor(ln({unit}) / ln(1.05)) AS INT) AS band, count(*) AS n
-    FROM {texts} WHERE {unit} >= 64 GROUP BY source, {unit}
-  ) n JOIN (
-    SELECT source, band + shift AS band, sum(n) AS n_near FROM (
-      SELECT source, CAST(floor(ln({unit}) / ln(1.05)) AS INT) AS band, count(*) AS n FROM {texts} WHERE {unit} >= 64 GROUP BY 1, 2
-    ) LATERAL VIEW explode(array(-1, 0, 1)) AS shift GROUP BY 1, 2
-  ) c ON n.source = c.source AND n.band = c.band
-  JOIN (SELECT source, count(*) AS n_all FROM {texts} GROUP BY source) a ON n.source = a.source
-  WHERE n.n >= {LIMIT_TEXTS} AND n.n >= {LIMIT_SHARE} * n_all AND n.n >= {LIMIT_FACTOR} * (n_near - n.n) / (0.15 * n.length)"""
-
-    return s.sql(
-        f"""
-WITH d AS (
-  SELECT source, text_hash, max(chars) AS chars, max(bytes) AS bytes FROM {view} WHERE source IS NOT NULL GROUP BY source, text_hash
-), by_chars AS ({spikes("d", "chars")}
-), by_bytes AS ({spikes("d", "bytes")}
+    # a histogram of lengths, materialised once: everything below reads this small table
+    once = ends.where("source IS NOT NULL").groupBy("source", "text_hash").agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
+    lengths = snapshot(once.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("n")))
+
+    def spikes(texts: DataFrame, unit: str) -> DataFrame:
+        view = _register(texts, unit)
+        return s.sql(
+            f"""
+WITH h AS (
+  SELECT source, {unit} AS length, CAST(floor(ln({unit}) / ln(1.05)) AS INT) AS band, sum(n) AS n FROM {view} WHERE {unit} >= 64 GROUP BY source, {unit}
+), b AS (
+  SELECT source, band, sum(n) AS n_band FROM h GROUP BY source, band
 ), c AS (
-  SELECT x.source, x.length, x.n FROM by_chars x LEFT JOIN by_bytes y ON x.source = y.source AND x.length = y.length
-  WHERE x.n >= coalesce(y.n, 0)
-), rest AS (
-  SELECT d.* FROM d LEFT ANTI JOIN c ON d.source = c.source AND d.chars = c.length
-), b AS ({spikes("rest", "bytes")}
+  SELECT source, band + shift AS band, sum(n_band) AS n_near FROM b LATERAL VIEW explode(array(-1, 0, 1)) AS shift GROUP BY 1, 2
+), a AS (
+  SELECT source, sum(n_band) AS n_all FROM b GROUP BY source
 )
-SELECT source, 'chars' AS unit, length, n FROM c UNION ALL SELECT source, 'bytes', length, n FROM b
-"""
-    )
+SELECT h.source, h.length, h.n FROM h JOIN c ON h.source = c.source AND h.band = c.band JOIN a ON h.source = a.source
+WHERE h.n >= {LIMIT_TEXTS} AND h.n >= {LIMIT_SHARE} * n_all AND h.n >= {LIMIT_FACTOR} * (n_near - h.n) / (0.15 * h.length)"""
+        )
+
+    in_bytes = spikes(lengths, "bytes").select("source", "length", F.col("n").alias("n_bytes"))
+    in_chars = spikes(lengths, "chars").join(in_bytes, ["source", "length"], "left").where("n >= coalesce(n_bytes, 0)")
+    in_chars = snapshot(in_chars.select("source", F.lit("chars").alias("unit"), "length", "n"))
+    rest = lengths.join(in_chars.select("source", F.col("length").alias("chars")), ["source", "chars"], "left_anti")
+    return snapshot(in_chars.unionByName(spikes(rest, "bytes").select("source", F.lit("bytes").alias("unit"), "length", "n")))
 
 
 def detect_truncated(df: DataFrame) -> DataFrame:
