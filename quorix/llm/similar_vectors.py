@@ -2,15 +2,16 @@
 
 Vectors are normalised and quantised to int8 with one scale each, and the exact length of the
 quantisation error is kept. Cells around centroids (fitted on a bounded sample) hold the vectors; a
-vector is compared with its own cell and the next nearest ones. Inside a cell, tiles of integer products
-give each pair's cosine with a proven error bound; pairs whose upper bound reaches the threshold and the
+vector is compared with its own cell and the next nearest ones. How many is measured before: some vectors
+are compared with all, and as many cells are taken as their true neighbours need for the recall that is
+asked for. Inside a cell, tiles of integer products give each pair's cosine with a proven error bound; pairs whose upper bound reaches the threshold and the
 k-th best lower bound survive, are recomputed from the float vectors and merged per vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,18 @@ CELL_ROWS = 512
 MOST_CELLS = 16384
 #: Vectors of the sample per centroid: the sample is at most SAMPLE_PER_CELL * MOST_CELLS vectors per side.
 SAMPLE_PER_CELL = 8
-#: Cells a vector is compared with.
+#: Fewest cells a vector is compared with.
 PROBES = 4
+#: Share of the true neighbours that the cells must reach, for the nearest ones and for pairs above a threshold.
+RECALL = 0.95
+PAIR_RECALL = 0.999
+#: Vectors per side whose true neighbours are found by brute force to measure that share, and the fewest pairs to judge by.
+ASKERS = 1024
+LEAST_PAIRS = 50
 #: Rows of a tile; larger cells are cut into a grid of tiles.
 TILE_ROWS = 4096
+#: So many times as many asking rows are held by a tile.
+ASKS_PER_ROW = 8
 #: Surviving pairs up to this number are broadcast to fetch their float vectors; more are joined by shuffle.
 BROADCAST_PAIRS = 300_000
 
@@ -94,20 +103,112 @@ def nearest_cells(x: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class _Cells:
-    """Centroids of one side and, per cell, the number of tiles its rows are cut into."""
+    """Centroids of one side, how many a vector meets and, per cell, the numbers of tiles its base and asking rows are cut into."""
 
     centre: np.ndarray | None
     tiles: np.ndarray
+    ask_tiles: np.ndarray
+    probes: int = 1
 
 
 def _plan_cells(sample: np.ndarray, n_rows: int, exhaustive: bool, seed: int) -> _Cells:
     if exhaustive or not len(sample):
         # blocks instead of cells: every query meets every block
-        return _Cells(None, np.array([max(1, -(-n_rows // TILE_ROWS))]))
+        return _Cells(None, np.array([max(1, -(-n_rows // TILE_ROWS))]), np.array([1]))
     cells = int(min(MOST_CELLS, max(1, -(-n_rows // CELL_ROWS))))
     centre = fit_centroids(sample, cells, seed=seed)
     share = np.bincount(nearest_cells(sample, centre, 1)[:, 0], minlength=len(centre)) / len(sample)
-    return _Cells(centre, np.maximum(1, np.ceil(share * n_rows / TILE_ROWS)).astype(np.int64))
+    tiles = np.maximum(1, np.ceil(share * n_rows / TILE_ROWS)).astype(np.int64)
+    return _Cells(centre, tiles, tiles)
+
+
+def _with_probes(plan: _Cells, probes: int, sample: np.ndarray, n_rows: int) -> _Cells:
+    """The plan with a number of probes, and so many asking tiles as the sample's probes let expect."""
+    if plan.centre is None:
+        return plan
+    probes = min(probes, len(plan.centre))
+    met = np.bincount(nearest_cells(sample, plan.centre, probes).ravel(), minlength=len(plan.centre)) / len(sample)
+    asks = np.ceil(met * n_rows / (TILE_ROWS * ASKS_PER_ROW)).astype(np.int64)
+    return replace(plan, probes=probes, ask_tiles=np.maximum(plan.tiles, asks))
+
+
+_TRUE = "side string, id int, nbr int, cos float, ahead int, back int"
+
+
+def _cell_rank(x: np.ndarray, centre: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """For each row, how many centroids are nearer than the one of `cell`."""
+    out = np.empty(len(x), np.int32)
+    for a in range(0, len(x), 1024):
+        s = x[a : a + 1024] @ centre.T
+        out[a : a + 1024] = (s > np.take_along_axis(s, cell[a : a + 1024, None], 1)).sum(1)
+    return out
+
+
+def _true_neighbours(batches: Iterator[pa.RecordBatch], plans: dict[str, _Cells], askers: dict[str, tuple[np.ndarray, np.ndarray]], k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """Each asker's k nearest rows of this partition, with the rank of the cells: theirs for the asker, the asker's for them."""
+    best = {}
+    for batch in batches:
+        sides = np.array(batch.column(0).to_pylist(), object)
+        for side, (q_ids, q) in askers.items():
+            mine = np.nonzero(sides == side)[0]
+            x, at = unit_rows(batch.column(2).take(pa.array(mine)), dim)
+            if not len(x):
+                continue
+            ids = batch.column(1).take(pa.array(mine[at])).to_numpy()
+            s = q @ x.T
+            s[q_ids[:, None] == ids[None, :]] = -np.inf
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(q), 1))
+            cos, nbr, vec = np.take_along_axis(s, top, 1), ids[top], x[top]
+            if side in best:
+                cos, nbr, vec = (np.concatenate([a, b], axis=1) for a, b in zip(best[side], (cos, nbr, vec)))
+                top = np.argsort(-cos, axis=1)[:, :k]
+                cos, nbr, vec = np.take_along_axis(cos, top, 1), np.take_along_axis(nbr, top, 1), np.take_along_axis(vec, top[:, :, None], 1)
+            best[side] = cos, nbr, vec
+    for side, (cos, nbr, vec) in best.items():
+        q_ids, q = askers[side]
+        centre = plans[side].centre
+        i, j = np.nonzero(np.isfinite(cos))
+        y = vec[i, j]
+        ahead = _cell_rank(q[i], centre, nearest_cells(y, centre, 1)[:, 0])
+        back = _cell_rank(y, centre, nearest_cells(q, centre, 1)[i, 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([side] * len(i), pa.string()), pa.array(q_ids[i].astype(np.int32)), pa.array(nbr[i, j].astype(np.int32)), pa.array(cos[i, j].astype(np.float32)), pa.array(ahead), pa.array(back)],
+            names=["side", "id", "nbr", "cos", "ahead", "back"],
+        )
+
+
+def probes_needed(cos: np.ndarray, rank: np.ndarray, min_cos: float, recall: float) -> int:
+    """Fewest probes that reach `recall` of the pairs above the threshold; of the most similar ones if these are few."""
+    order = np.argsort(-cos, kind="stable")
+    rank = np.sort(rank[order[: max(LEAST_PAIRS, int((cos >= min_cos).sum()))]])
+    return max(PROBES, int(rank[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1) if len(rank) else PROBES
+
+
+def measured_probes(rows: DataFrame, plans: dict[str, _Cells], sizes: dict[str, int], k: int, min_cos: float, recall: float, dim: int, mutual: bool, seed: int) -> dict[str, int]:
+    """Per side, the cells a vector must meet, measured on the true neighbours of at most ASKERS vectors in one pass over the rows."""
+    askers = {}
+    for side, plan in plans.items():
+        if plan.centre is None or len(plan.centre) <= PROBES:
+            continue
+        of_side = rows.where((F.col("side") == side) & F.col("asks"))
+        n = sizes[side] if mutual else of_side.count()
+        share = min(1.0, ASKERS * 1.5 / max(n, 1))
+        # another hash than the sample's: centroids fit the vectors they were made of too well
+        picked = of_side.where(F.pmod(F.xxhash64(F.lit(seed + 1), "id", F.lit("ask")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("id", "f").limit(ASKERS).toArrow()
+        x, at = unit_rows(picked["f"].combine_chunks(), dim)
+        if len(x):
+            askers[side] = picked["id"].combine_chunks().to_numpy()[at], x
+    if not askers:
+        return {}
+    near = rows.select("side", "id", "f").mapInArrow(lambda b: _true_neighbours(b, plans, askers, k, dim), _TRUE)
+    near = near.groupBy("side", "id", "nbr").agg(F.max("cos").alias("cos"), F.min("ahead").alias("ahead"), F.min("back").alias("back"))
+    first = F.row_number().over(Window.partitionBy("side", "id").orderBy(F.desc("cos"), "nbr"))
+    found = near.withColumn("r", first).where(F.col("r") <= k).drop("r").toPandas()
+    out = {}
+    for side, g in found.groupby("side"):
+        rank = np.minimum(g["ahead"], g["back"]) if mutual else g["ahead"]
+        out[side] = probes_needed(g["cos"].to_numpy(), rank.to_numpy(), min_cos, recall)
+    return out
 
 
 def _mix(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -115,7 +216,7 @@ def _mix(ids: np.ndarray, salt: int) -> np.ndarray:
     return (h >> np.uint64(33)).astype(np.int64)
 
 
-def _assign(batches: Iterator[pa.RecordBatch], plans: dict[str, _Cells], dim: int, probes: int) -> Iterator[pa.RecordBatch]:
+def _assign(batches: Iterator[pa.RecordBatch], plans: dict[str, _Cells], dim: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("side", pa.string()), ("id", pa.int32()), ("cell", pa.int32()), ("tb", pa.int32()), ("tq", pa.int32()), ("role", pa.int32()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32())]
     )
@@ -131,11 +232,11 @@ def _assign(batches: Iterator[pa.RecordBatch], plans: dict[str, _Cells], dim: in
             ids = ids_all.take(pa.array(at)).to_numpy()
             asks = asks_all[at]
             code, scale, err = quantise(x)
-            home = np.zeros((len(x), 1), np.int32) if plan.centre is None else nearest_cells(x, plan.centre, probes)
+            home = np.zeros((len(x), 1), np.int32) if plan.centre is None else nearest_cells(x, plan.centre, plan.probes)
             pick, cell, tb, tq, role = [], [], [], [], []
             for rank in range(home.shape[1]):
-                tiles = plan.tiles[home[:, rank]]
-                one = tiles == 1
+                tiles, q_tiles = plan.tiles[home[:, rank]], plan.ask_tiles[home[:, rank]]
+                one = (tiles == 1) & (q_tiles == 1)
                 base = rank == 0
                 # small cells: one row that is base, query or both
                 sel = np.nonzero(one & (base | asks))[0]
@@ -146,7 +247,6 @@ def _assign(batches: Iterator[pa.RecordBatch], plans: dict[str, _Cells], dim: in
                 role.append(base * 1 + asks[sel] * 2)
                 # large cells: a grid of tiles; a base row meets all query tiles of its base tile and vice versa
                 many = np.nonzero(~one)[0]
-                q_tiles = np.ones_like(tiles) if plan.centre is None else tiles
                 if base and len(many):
                     sel = np.repeat(many, q_tiles[many])
                     pick.append(sel)
@@ -240,7 +340,8 @@ def similar_vectors(
     min_cos: float = -1.0,
     asks: Column | None = None,
     dim: int = 48,
-    probes: int = PROBES,
+    probes: int | None = None,
+    recall: float = RECALL,
     exhaustive: bool = False,
     side: str = "side",
     id_: str = "id",
@@ -250,7 +351,8 @@ def similar_vectors(
     """(side, id, nbr, cos, rank): for each asking vector its k most similar others of the same side.
 
     `asks` restricts the asking rows (default: all); all rows can be found. With `exhaustive` every
-    asking vector meets every block of the side (exact); otherwise its `probes` nearest cells.
+    asking vector meets every block of the side (exact); otherwise its `probes` nearest cells (default: as many
+    as `recall` of the true neighbours at `min_cos` or more need, measured on this table and never below PROBES).
     Defined cases: unusable vectors (see unit_rows) and null ids or sides neither ask nor are found; an id
     delivered again is one id, and with several different vectors its similarity is the largest of them;
     ties of the cosine go to the smaller id; an empty table gives no rows; extra columns are ignored.
@@ -260,7 +362,7 @@ def similar_vectors(
         F.col(side).alias("side"), F.col(id_).cast("int").alias("id"), F.col(vector).cast("array<float>").alias("f"), ask.alias("asks")
     )
     sizes = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plans = {}
+    plans, samples = {}, {}
     for s, n in sizes.items():
         want = min(MOST_CELLS, -(-n // CELL_ROWS)) * SAMPLE_PER_CELL
         sample = np.empty((0, dim), np.float32)
@@ -269,11 +371,14 @@ def similar_vectors(
             share = min(1.0, want * 1.2 / n)
             picked = rows.where((F.col("side") == s) & (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))).select("f").limit(2 * want + 64).toArrow()
             sample = unit_rows(picked["f"].combine_chunks(), dim)[0] if picked.num_rows else sample
-        plans[s] = _plan_cells(sample, n, exhaustive, seed)
-    coded = rows.mapInArrow(lambda b: _assign(b, plans, dim, probes), _CODED)
+        plans[s], samples[s] = _plan_cells(sample, n, exhaustive, seed), sample
+    mutual = asks is None and not exhaustive
+    need = {} if exhaustive or probes else measured_probes(rows, plans, sizes, k, min_cos, recall, dim, mutual, seed)
+    plans = {s: _with_probes(plan, probes or need.get(s, PROBES), samples[s], sizes[s]) for s, plan in plans.items()}
+    coded = rows.mapInArrow(lambda b: _assign(b, plans, dim), _CODED)
     found = (
         coded.groupBy("side", "cell", "tb", "tq")
-        .applyInArrow(_compare(k, min_cos, dim, mutual=asks is None and not exhaustive), _PAIRS)
+        .applyInArrow(_compare(k, min_cos, dim, mutual), _PAIRS)
         .groupBy("side", "id", "nbr")
         .agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
     )
@@ -309,5 +414,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def similar_pairs(df: DataFrame, min_cos: float = 0.95, k: int = 10, **options: object) -> DataFrame:
     """(side, id_a, id_b): pairs with id_a < id_b of which one is among the k most similar of the other."""
-    near = similar_vectors(df, k=k, min_cos=min_cos, **options)
+    near = similar_vectors(df, k=k, min_cos=min_cos, **{"recall": PAIR_RECALL, **options})
     return near.select("side", F.least("id", "nbr").alias("id_a"), F.greatest("id", "nbr").alias("id_b")).distinct()

@@ -91,3 +91,25 @@ def test_few_vectors(spark, n):
     x = clustered(4, 700)[:n]
     got = {(r.id_a, r.id_b) for r in S.similar_pairs(spark.createDataFrame(rows(x)[:n], SCHEMA)).collect()}
     assert got == true_pairs(x, 0.95)[0]
+
+
+def top_ten(x):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    return {(i, int(j)) for i, row in enumerate(np.argpartition(-c, 10, axis=1)[:, :10]) for j in row}
+
+
+def test_recall_of_the_nearest_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 32)  # 94 cells
+    x = np.random.default_rng(5).normal(size=(3000, 48)).astype(np.float32)
+    x[:, 12:] *= 0.4
+    df = spark.createDataFrame([("r", i, [float(v) for v in r], "", "") for i, r in enumerate(x)], SCHEMA)
+    got = {(r.id, r.nbr) for r in S.similar_vectors(df, k=10).select("id", "nbr").collect()}
+    assert len(got & top_ten(x)) >= 0.9 * len(x) * 10
+
+
+def test_probes_needed_follow_the_pairs_asked_for():
+    cos = np.concatenate([np.full(100, 0.97), np.full(900, 0.4)])
+    rank = np.concatenate([np.full(100, 1), np.arange(900) % 50])
+    assert S.probes_needed(cos, rank, 0.95, 0.999) == S.PROBES and S.probes_needed(cos, rank, -1.0, 0.95) > 40
