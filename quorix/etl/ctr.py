@@ -93,8 +93,9 @@ def features(train: DataFrame, log: DataFrame, tokens: dict[str, DataFrame], pro
 
     Entities that `train` never saw get no rate feature; users without profile no gender and age. A rate bin
     is the largest rate over the number of bins. Rows without impressions or with depth 0 give no row.
+    Ids and token indices that lie outside their block of the layout raise.
     """
-    at = layout.offsets()
+    at, width = layout.offsets(), dict(layout.widths())
     rows = log.where((F.col("impressions") > 0) & (F.col("depth") > 0))
     ad_ids = train.select("ad").distinct()
     from quorix.operators.partition import dense_index
@@ -112,21 +113,25 @@ def features(train: DataFrame, log: DataFrame, tokens: dict[str, DataFrame], pro
     def put(name: str, value: Column) -> Column:
         return F.array((value + at[name]).cast("int"))
 
+    def inside(name: str, value: Column) -> Column:
+        message = F.concat(F.lit(f"{name} outside its {width[name]} features: "), value.cast("string"))
+        return F.when((value < 0) | (value >= width[name]), F.raise_error(message).cast("int")).otherwise(value)
+
     def put_if(name: str, condition: Column, value: Column) -> Column:
         return F.when(F.coalesce(condition, F.lit(False)), put(name, value)).otherwise(F.array().cast("array<int>"))
 
     def bag(name: str, entity: str) -> Column:
-        moved = F.transform(F.coalesce(F.col(f"{entity}_list"), F.array().cast("array<int>")), lambda t: (t + at[name]).cast("int"))
+        moved = F.transform(F.coalesce(F.col(f"{entity}_list"), F.array().cast("array<int>")), lambda t: (inside(name, t) + at[name]).cast("int"))
         return F.when(F.coalesce(F.col(f"{entity}_clicked"), F.lit(False)), moved).otherwise(F.array().cast("array<int>"))
 
     parts = [
         F.array(F.lit(0)),
         *(put_if(f"{e}_rate", F.col(f"{e}_rate").isNotNull(), F.col(f"{e}_rate")) for e in RATED),
-        put_if("user_id", F.col("user_clicked"), F.col("user")),
-        put_if("ad_id", F.col("ad_clicked"), F.col("ad_index")),
-        put_if("query_id", F.col("query_clicked"), F.col("query")),
-        put("user_bin", bucketize(F.col("user"), max(layout.users // layout.id_bins, 1), layout.id_bins)),
-        put("query_bin", bucketize(F.col("query"), max(layout.queries // layout.id_bins, 1), layout.id_bins)),
+        put_if("user_id", F.col("user_clicked"), inside("user_id", F.col("user"))),
+        put_if("ad_id", F.col("ad_clicked"), inside("ad_id", F.col("ad_index"))),
+        put_if("query_id", F.col("query_clicked"), inside("query_id", F.col("query"))),
+        put("user_bin", bucketize(inside("user_id", F.col("user")), max(layout.users // layout.id_bins, 1), layout.id_bins)),
+        put("query_bin", bucketize(inside("query_id", F.col("query")), max(layout.queries // layout.id_bins, 1), layout.id_bins)),
         *(put(f"{e}_length", F.least(F.coalesce(F.size(F.col(f"{e}_list")), F.lit(0)), F.lit(w - 1))) for e, w in LENGTHS),
         put_if("gender", F.col("gender").isNotNull(), F.col("gender")),
         put_if("age", F.col("age").isNotNull(), F.col("age") - 1),

@@ -134,7 +134,9 @@ def ctr_features(spark: SparkSession, d: str) -> DataFrame:
     lists = ids.select("id", F.transform(F.sequence(F.lit(0), F.col("id") % 4), lambda i: (i + F.col("id") % 9).cast("int")).alias("tokens"))
     indexed = ctr_etl.indexed_tokens(lists, ctr_etl.vocabulary(lists, top=20))
     profile = log.select("user").distinct().select("user", (F.col("user") % 3).alias("gender"), (F.col("user") % 6 + 1).alias("age"))
-    layout = ctr_etl.CtrLayout(users=150, queries=60, ads=24, query_tokens=20, keyword_tokens=20, id_bins=10)
+    # minutes and hours are 60 and 24 whatever the table; users are as many as it holds
+    users = (log.agg(F.max("user")).first()[0] or 0) + 1
+    layout = ctr_etl.CtrLayout(users=users, queries=60, ads=24, query_tokens=20, keyword_tokens=20, id_bins=10)
     return ctr_etl.features(log, log, {e: indexed for e in ("query", "title", "description", "keyword")}, profile, layout)
 
 
