@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorix.session import cut
+from quorix.session import cut, snapshot
 
 #: Vectors per cell that the number of centroids aims at, and the most centroids.
 CELL_ROWS = 512
@@ -300,8 +300,12 @@ def tile_pairs(
     lower = s - bound
     lower[q_ids[:, None] == b_ids[None, :]] = -np.inf
     floor = np.full(len(q_ids), min_cos, np.float32)
-    if len(b_ids) > k:
-        floor = np.maximum(floor, np.partition(lower, len(b_ids) - k, axis=1)[:, len(b_ids) - k])
+    # the k-th best is one of ids, not of rows: an id's rows would fill the places of others
+    order = np.argsort(b_ids, kind="stable")
+    starts = np.nonzero(np.diff(b_ids[order], prepend=b_ids[order][:1] - 1))[0]
+    per_id = lower if len(starts) == len(b_ids) else np.maximum.reduceat(lower[:, order], starts, axis=1)
+    if per_id.shape[1] > k:
+        floor = np.maximum(floor, np.partition(per_id, per_id.shape[1] - k, axis=1)[:, per_id.shape[1] - k])
     s += bound
     i, j = np.nonzero((s >= floor[:, None]) & np.isfinite(lower))
     return i, j, lower[i, j], s[i, j]
@@ -361,6 +365,8 @@ def similar_vectors(
     rows = df.where(F.col(side).isNotNull() & F.col(id_).isNotNull()).select(
         F.col(side).alias("side"), F.col(id_).cast("int").alias("id"), F.col(vector).cast("array<float>").alias("f"), ask.alias("asks")
     )
+    # an id delivered again with the same vector is one row; written once, since it is read several times
+    rows = snapshot(rows.groupBy("side", "id", "f").agg(F.max("asks").alias("asks")))
     sizes = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
     plans, samples = {}, {}
     for s, n in sizes.items():

@@ -113,3 +113,24 @@ def test_probes_needed_follow_the_pairs_asked_for():
     cos = np.concatenate([np.full(100, 0.97), np.full(900, 0.4)])
     rank = np.concatenate([np.full(100, 1), np.arange(900) % 50])
     assert S.probes_needed(cos, rank, 0.95, 0.999) == S.PROBES and S.probes_needed(cos, rank, -1.0, 0.95) > 40
+
+
+def test_ids_delivered_many_times_leave_room_for_others(spark):
+    x = clustered(6, 600)
+    x[:300] = x[:1] + 0.3 * np.abs(x[:1]).mean() * np.random.default_rng(6).normal(size=(300, 48))  # close together
+    df = spark.createDataFrame([r for r in rows(x)[: len(x)] for _ in range(12)], SCHEMA)
+    got = S.similar_vectors(df, k=10, asks=F.col("id") % 20 == 0, exhaustive=True).collect()
+    plain = S.similar_vectors(df.distinct(), k=10, asks=F.col("id") % 20 == 0, exhaustive=True).collect()
+    assert {(r.id, r.nbr, r["rank"]) for r in got} == {(r.id, r.nbr, r["rank"]) for r in plain}
+    assert len(got) == 10 * len(range(0, len(x), 20))
+
+
+def test_versions_of_an_id_count_once_for_the_kth_bound():
+    x = clustered(7, 300)
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    near = np.argsort(-(u @ u[0]))[1:31]
+    some = u[near]
+    versions = np.concatenate([some, np.repeat(some[:3], 20, axis=0)])  # three ids with 21 rows each
+    ids = np.concatenate([near, np.repeat(near[:3], 20)])
+    _, j, _, _ = S.tile_pairs(np.array([-1]), S.quantise(u[:1]), ids, S.quantise(versions), 10, -1.0)
+    assert set(near[:10].tolist()) <= set(ids[j].tolist())
