@@ -181,8 +181,12 @@ def detect_truncated(df: DataFrame) -> DataFrame:
     ends = cut(
         text_ends(df).selectExpr(
             "doc_id", "source", "fmt", "chars", "bytes", "text_hash", "line_end", "right(last_line, 1) AS last_char", "json_open", "fence_open",
-            # a heading or a list item of two words, or a web address
-            r"last_line RLIKE '^[# ]*[#-] [^ ]+ [^ ]+\\s*$' OR last_line RLIKE '://[^ ]*\\s*$' AS listed",
+            # a heading of two words or a web address; a list item of two words. In the percent format a Markdown
+            # line starts with one more '#', which cell markers and outputs share
+            r"last_line RLIKE concat(CASE WHEN fmt = 'percent' THEN '^# ' ELSE '^' END, '#+ [^ ]+ [^ ]+\\s*$') OR last_line RLIKE '://[^ ]*\\s*$' AS headed",
+            r"last_line RLIKE concat(CASE WHEN fmt = 'percent' THEN '^# ' ELSE '^' END, ' *- [^ ]+ [^ ]+\\s*$') AS item",
+            # a closed string, as at the end of an error line
+            r"last_line RLIKE '(^|[ (=,:])([\\x22\\x27])[^\\x22\\x27]*\\2\\s*$' AS quoted",
             r"last_line RLIKE '^[# ]*([-=*_~])\\1{9,}\\s*$' AS ruled",
             "regexp_extract(last_line, '(?:^|[^A-Za-z0-9+/=])([A-Za-z0-9+/=]{60,}+)$', 1) AS code64",
             "length(translate(last_line, '([{', '')) < length(translate(last_line, ')]}', '')) AS bracket_open",
@@ -214,8 +218,8 @@ WITH lim AS (
            -- part of a word: hardly seen as a word, in a context that is well known
            OR (u_in + u_end < {LEAST_SEEN} AND x_in + x_end >= {LEAST_WORD_SEEN})
          ELSE u_in + u_end >= {LEAST_WORD_SEEN} AND u_end <= {MOST_ENDS} * (u_in + u_end) END AS inside_line,
-    -- the end of a sentence, a closed bracket or string, a rule or an emoji
-    last_char RLIKE '[.?!:;。？！：…)\\]}}\"`=*_|-]' OR last_char RLIKE '[^\\x00-\\x7f\\p{{L}}\\p{{N}}]' AS closed_end
+    -- the end of a sentence, a closed bracket or span, or an emoji; rules are seen as a whole line
+    quoted OR last_char RLIKE '[.?!;。？！：…)\\]}}`*]' OR last_char RLIKE '[^\\x00-\\x7f\\p{{L}}\\p{{N}}]' AS closed_end
   FROM j
 )
 SELECT doc_id, source, CASE
@@ -224,8 +228,9 @@ SELECT doc_id, source, CASE
     WHEN at_limit AND NOT ruled AND NOT coalesce(fmt = 'ipynb', false) THEN 'limit'
     WHEN coalesce(fmt = 'ipynb', false) OR line_end THEN NULL
     WHEN code64 <> '' THEN CASE WHEN length(code64) % 4 <> usual THEN 'base64' END
-    WHEN listed THEN NULL
     WHEN bracket_open THEN 'bracket'
+    -- a list item ends with a word that is known; names in headings may stand nowhere else
+    WHEN headed OR ruled OR (item AND u_in + u_end >= {LEAST_SEEN}) THEN NULL
     WHEN inside_line AND NOT closed_end THEN 'trigram'
   END AS evidence
 FROM v

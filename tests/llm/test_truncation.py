@@ -79,3 +79,12 @@ def test_rates_and_empty(spark):
 def test_very_long_line(spark):
     rows = [(1, "A" * 2_000_000 + " end of it", "s", "percent"), (2, "B" * 3_000_000, "s", "percent")]
     assert len(run(spark, rows)) == 2
+
+
+def test_cut_markers_outputs_and_statements(spark):
+    body = "# %% [markdown]\n# - merge window\n# - check margin\n# ## season torven\n# %% In [1]\nout <- read_table(river)\n# Out [1]\n# File /opt/lib/core.py\n# KeyError: 'mimi'\n"
+    whole = [(i, body, "s", "percent") for i in range(40)] + [(i, "- merge window\n\nThe panel is done.\n", "s", "md") for i in range(40, 60)]
+    cuts = {100 + i: body[: body.index(at) + len(at)] for i, at in enumerate(["# %% [mark", "# Out [", "# File /opt/li", "out <-", "# - merge win"])}
+    ends = {200 + i: body[: body.index(at) + len(at)] for i, at in enumerate(["# - check margin", "# ## season torven", "# KeyError: 'mimi'", "core.py"])}
+    got = run(spark, whole + [(i, f"{t}", "s", "percent") for i, t in {**cuts, **ends}.items()])
+    assert {i for i, r in got.items() if r.truncated} == set(cuts)
