@@ -140,9 +140,32 @@ def ctr_features(spark: SparkSession, d: str) -> DataFrame:
     return ctr_etl.features(log, log, {e: indexed for e in ("query", "title", "description", "keyword")}, profile, layout)
 
 
-@query
-def ads_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Ads pipeline over documents: dictionary of frequent tokens and remapped rows."""
+def _ads(spark: SparkSession, d: str) -> ads_etl.AdsTables:
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     rows = docs.select(F.col("doc_id").alias("row_id"), F.when(F.col("fmt") == "md", 1).otherwise(-1).alias("label"), F.filter(F.split("text", " "), lambda t: t != "").alias("tokens"), (F.col("doc_id") % 10 == 0).alias("test"))
-    return ads_etl.build(rows.where("NOT test"), rows.where("test"), above=20).test
+    return ads_etl.build(rows.where("NOT test"), rows.where("test"), above=20)
+
+
+@query
+def ads_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Ads pipeline over documents: the remapped training and test rows, told apart by `split`."""
+    made = _ads(spark, d)
+    return made.train.withColumn("split", F.lit("train")).unionByName(made.test.withColumn("split", F.lit("test")))
+
+
+@query
+def ads_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Ads pipeline over documents: each training token with its count."""
+    return _ads(spark, d).counts
+
+
+@query
+def ads_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Ads pipeline over documents: how many training tokens have which count."""
+    return _ads(spark, d).histogram
+
+
+@query
+def ads_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Ads pipeline over documents: the frequent training tokens with their indices."""
+    return _ads(spark, d).dictionary
