@@ -13,15 +13,21 @@ ASK_EVERY = 100
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled Records; a value that is no number is shown as null."""
     ratings = table(spark, sf_dir, "ratings")
-    weights = sampling.batch_weights(ratings)
-    return sampling.sample_records(ratings, weights).select("rec_id", "row_idx", "col_idx", "value", "batch_no", "sample_probability")
+    value = F.when(~F.isnan("value"), F.col("value")).alias("value")
+    return sampling.sample_records(ratings, sampling.batch_weights(ratings)).select("rec_id", "row_idx", "col_idx", value, "batch_no", "sample_probability")
 
 
 def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.selected_cells(sampling.batch_weights(table(spark, sf_dir, "ratings")))
 
 
+def p3_grown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells from weights stored and advanced batch after batch."""
+    return sampling.selected_cells(sampling.stored_weights(table(spark, sf_dir, "ratings")))
+
+
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "factors_r").unionByName(table(spark, sf_dir, "factors_c"))
 
@@ -75,7 +81,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_sample, p3_cells, p4_found, p4_neighbours, p5_found, p5_counts, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_rates)
+    for f in (p3_sample, p3_cells, p3_grown_cells, p4_found, p4_neighbours, p5_found, p5_counts, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_rates)
 }
 
 _SAMPLED = """
@@ -102,8 +108,9 @@ m AS (SELECT term_id, n_entries, n_records, CASE WHEN n_records <= 3 THEN 'rare'
 
 ORACLE = {
     "p3_cells": _SAMPLED + "SELECT row_idx, col_idx, weight, probability FROM s",
+    "p3_grown_cells": _SAMPLED + "SELECT row_idx, col_idx, weight, probability FROM s",
     "p3_sample": _SAMPLED
-    + "SELECT rec_id, r.row_idx, r.col_idx, value, batch_no, probability AS sample_probability FROM ratings r JOIN s ON r.row_idx = s.row_idx AND r.col_idx = s.col_idx",
+    + "SELECT rec_id, r.row_idx, r.col_idx, CASE WHEN NOT isnan(value) THEN value END AS value, batch_no, probability AS sample_probability FROM ratings r JOIN s ON r.row_idx = s.row_idx AND r.col_idx = s.col_idx",
     "p4_found": _USABLE
     + """SELECT DISTINCT a.side, a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.side = b.side AND a.id < b.id
 WHERE list_cosine_similarity(a.f, b.f) >= 0.95""",
