@@ -79,9 +79,15 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(truncation.detect_truncated(table(spark, sf_dir, "documents")))
 
 
+def p8_by_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts each kind of evidence marks, the named method's (trigram) first asked of every text."""
+    judged = truncation.detect_truncated(table(spark, sf_dir, "documents"))
+    return judged.where("truncated").groupBy("evidence").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p3_sample, p3_cells, p3_grown_cells, p4_found, p4_neighbours, p5_found, p5_counts, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_rates)
+    for f in (p3_sample, p3_cells, p3_grown_cells, p4_found, p4_neighbours, p5_found, p5_counts, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_rates, p8_by_evidence)
 }
 
 _SAMPLED = """

@@ -1,21 +1,20 @@
 """Texts that lost their end to a field limit or a broken transfer.
 
-Everything is Spark SQL. Word trigrams are counted inside lines and at line ends over the whole corpus;
-a text whose final trigram (or, where that is rare, final context of two words) is frequent inside lines
-and almost never ends one was cut in the middle of a sentence or statement. Words that are cut themselves
-form trigrams that occur nowhere else, which is why the context is asked, too.
-
-Trigrams alone can't see a cut that falls on a place where a line may end, so three kinds of evidence
-with the same standing are added: a length at which far more texts of a source end than its other
-lengths let expect (a field limit, in characters or bytes), a JSON document that isn't closed, and a
-Markdown code fence or a bracket of the last line that is still open.
+Everything is Spark SQL. Word trigrams are counted inside and at ends over the whole corpus; a text whose
+final trigram is frequent inside and almost never terminal was cut. Words that are cut themselves form
+trigrams that occur nowhere else, so a rare trigram backs off: to its context of two words, to the classes
+of its three words (JSON notebooks) and to its last word. In Markdown and scripts an end is the end of a
+line; a JSON notebook is one sequence of words whose only end is the end of the text. Every text is asked.
+
+Trigrams can't see a cut that falls on a place where a line may end. For texts that they leave open, other
+evidence is added, and named in the result: a JSON document that isn't closed, a Markdown code block without
+its closing fence, a length at which far more texts of a source end than its other lengths let expect (a
+field limit, in characters or bytes), an odd base64 length, an open bracket in the last line.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorix.session import cut, snapshot
@@ -24,7 +23,7 @@ from quorix.session import cut, snapshot
 LEAST_SEEN = 5
 #: It is cut inside a line if at most this share of the occurrences ends a line.
 MOST_ENDS = 0.05
-#: A final word alone is asked where trigram and context are rare.
+#: A final word alone, or the classes of the final words, are asked where trigram and context are rare.
 LEAST_WORD_SEEN = 20
 #: A field limit: at least so many different texts of a source with exactly this length ...
 LIMIT_TEXTS = 3
@@ -39,9 +38,12 @@ UTF8_SLACK = 3
 _BLANK = "concat(' ', char(9), char(10), char(11), char(12), char(13), char(0), char(160), '\u3000', '\ufeff')"
 # Digits are one class, so that counts of rows or cells don't make words rare.
 _DIGITS = "[0-9]+(?:[.,][0-9]+)*"
-#: Bits of the filter that keeps words' keys away from the aggregation unless some text ends with them.
-#: A fixed 4 MB however many texts there are; a fuller filter only lets more keys through.
-FILTER_WORDS = 1 << 19
+#: The filter that keeps words' keys away from the aggregation unless some text ends with them has this many
+#: bits per final key, up to a bound of 16 MB; beyond 8 million keys it is fuller and lets more keys through.
+FILTER_BITS = 16
+MOST_FILTER_WORDS = 1 << 21
+# A JSON notebook as one line: escaped and real line ends and commas separate words.
+_FLAT = r"translate(replace({text}, '\\n', ' '), concat(char(10), char(13), char(9), ','), '    ')"
 
 
 def _words(line: str) -> str:
@@ -49,87 +51,113 @@ def _words(line: str) -> str:
     return rf"split(trim(concat(' ', char(9), char(13)), {line}), '[ \\t\\r]+')"
 
 
-def _keys(w: str, i: str) -> tuple[str, str, str]:
-    """Trigram, context of two words and single word at 0-based position `i` of a word array, hashed, as SQL."""
+def _keys(w: str, i: str, whole: str) -> tuple[str, str, str, str]:
+    """Trigram, context of two words, single word and classes of the three words at 0-based position `i` of a word
+    array, hashed, as SQL. A word's class is its last character; only whole texts (JSON) have the last key."""
     back = [f"coalesce(get({w}, {i} - {d}), '^')" for d in (2, 1)]
-    return f"xxhash64({back[0]}, {back[1]}, get({w}, {i}))", f"xxhash64({back[0]}, {back[1]}, 1)", f"xxhash64(get({w}, {i}), 2)"
+    return (
+        f"xxhash64({back[0]}, {back[1]}, get({w}, {i}), {whole})",
+        f"xxhash64({back[0]}, {back[1]}, 1, {whole})",
+        f"xxhash64(get({w}, {i}), 2, {whole})",
+        f"CASE WHEN {whole} THEN xxhash64(right({back[0]}, 1), right({back[1]}, 1), right(get({w}, {i}), 1), 3) END",
+    )
+
+
+_KEY_NAMES = ("trigram_key", "context_key", "word_key", "class_key")
 
 
-def _register(df: DataFrame, name: str) -> str:
-    """A temporary view with a name of its own; lazily evaluated plans keep what they were made of."""
-    view = f"quorix_trunc_{name}_{id(df)}"
-    df.createOrReplaceTempView(view)
-    return view
+def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """A query over DataFrames, named in the text as $name; it is analysed at once, so the views don't stay."""
+    views = {}
+    for name, df in frames.items():
+        views[name] = f"quorix_trunc_{name}_{id(df)}"
+        df.createOrReplaceTempView(views[name])
+        text = text.replace(f"${name}", views[name])
+    out = spark.sql(text)
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return out
 
 
 def text_ends(df: DataFrame) -> DataFrame:
     """One row per non-blank text: lengths, final words and structural evidence, but not the text itself."""
-    s = df.sparkSession
-    src = _register(df.select("doc_id", "source", "fmt", F.col("text").cast("string").alias("text")), "src")
-    return s.sql(
+    return _sql(
+        df.sparkSession,
         rf"""
 WITH t AS (
   -- one-element lateral views keep the optimizer from repeating these expressions in each place of use
-  SELECT doc_id, source, fmt, text, body, last_line FROM {src}
+  SELECT doc_id, source, fmt, coalesce(fmt = 'ipynb', false) AS whole, text, body, last_line FROM $src
   LATERAL VIEW explode(array(rtrim({_BLANK}, text))) AS body
-  LATERAL VIEW explode(array(substring_index(body, char(10), -1))) AS last_line
+  LATERAL VIEW explode(array(CASE WHEN fmt = 'ipynb' THEN '' ELSE substring_index(body, char(10), -1) END)) AS last_line
   WHERE text IS NOT NULL
 ), e AS (
-  SELECT doc_id, source, fmt, length(text) AS chars, octet_length(text) AS bytes, xxhash64(text) AS text_hash,
+  SELECT doc_id, source, fmt, whole, length(text) AS chars, octet_length(text) AS bytes, xxhash64(text) AS text_hash,
     right(text, 1) IN (char(10), char(13)) AS line_end,
-    last_line,
+    last_line, CASE WHEN whole THEN {_FLAT.format(text="body")} ELSE last_line END AS unit,
     -- a whole document closes its object and parses; notebooks may hold the non-standard numbers NaN and Infinity
-    fmt = 'ipynb' AND (right(body, 1) <> '}}' OR CASE WHEN try_parse_json(text) IS NOT NULL THEN false
+    whole AND (right(body, 1) <> '}}' OR CASE WHEN try_parse_json(text) IS NOT NULL THEN false
       ELSE try_parse_json(regexp_replace(regexp_replace(text, '-?\\b(NaN|Infinity)\\b', 'null'), '[\\x00-\\x1f]', ' ')) IS NULL END) AS json_open,
-    fmt = 'md' AND pmod((length(text) - length(regexp_replace(text, '(^|\\n)```', '$1'))) DIV 3, 2) = 1 AS fence_open
+    CASE WHEN fmt = 'md' THEN (length(text) + 1 - length(replace(concat(char(10), text), concat(char(10), '```'), char(10)))) DIV 3 ELSE 0 END AS fences
   FROM t WHERE body <> ''
 )
-SELECT e.*, words FROM e LATERAL VIEW explode(array({_words(f"regexp_replace(last_line, '{_DIGITS}', '0')")})) AS words
-"""
+SELECT e.*, words FROM e LATERAL VIEW explode(array({_words(f"regexp_replace(unit, '{_DIGITS}', '0')")})) AS words
+""",
+        src=df.select("doc_id", "source", "fmt", F.col("text").cast("string").alias("text")),
     )
 
 
-def key_filter(ends: DataFrame) -> DataFrame:
-    """One row, bits: a bit array in which each final key of some text is set. At most FILTER_WORDS rows reach the driver."""
-    spot = f"pmod(key, {FILTER_WORDS * 64}L)"
-    keys = ends.select(F.explode(F.array("trigram_key", "context_key", "word_key")).alias("key")).where("key IS NOT NULL")
-    rows = keys.selectExpr(f"CAST({spot} DIV 64 AS INT) AS at", f"shiftleft(1L, CAST({spot} % 64 AS INT)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    one = pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, FILTER_WORDS], pa.int32()), pa.array(bits))})
-    return ends.sparkSession.createDataFrame(one)
+def key_filter(ends: DataFrame) -> tuple[DataFrame, int]:
+    """(one row, bits: a bit array in which each final key of some text is set; its length in 64-bit words)."""
+    words = 1 << 10
+    while words < MOST_FILTER_WORDS and words * 64 < ends.count() * len(_KEY_NAMES) * FILTER_BITS:
+        words *= 2
+    spot = f"pmod(key, {words * 64}L)"
+    one = _sql(
+        ends.sparkSession,
+        f"""
+WITH b AS (
+  SELECT CAST({spot} DIV 64 AS INT) AS at, bit_or(shiftleft(1L, CAST({spot} % 64 AS INT))) AS bits
+  FROM (SELECT explode(array({", ".join(_KEY_NAMES)})) AS key FROM $ends) WHERE key IS NOT NULL GROUP BY 1
+)
+SELECT transform(array_sort(collect_list(struct(r.id AS at, coalesce(b.bits, 0L) AS bits))), x -> x.bits) AS bits
+FROM range({words}) r LEFT JOIN b ON r.id = b.at""",
+        ends=ends,
+    )
+    return one, words
 
 
 def end_counts(df: DataFrame, ends: DataFrame) -> DataFrame:
-    """(key, inside, at_end): of each final trigram, context or word, how often it goes on and how often its line ends there.
+    """(key, inside, at_end): of each final trigram, context, word or class, how often it goes on and how often it ends a line (JSON: a text).
 
-    All words of all texts are counted. A bit filter of fixed size drops most keys that end no text before
-    the partial aggregation; the exact semi join comes after it.
+    All words of all texts are counted. A bit filter drops most keys that end no text before the partial
+    aggregation; the exact semi join comes after it.
     """
-    s = df.sparkSession
-    src = _register(df.select(F.col("text").cast("string").alias("body")), "body")
-    wanted = _register(ends, "wanted")
-    bits = _register(key_filter(ends), "bits")
-    spot = f"pmod(key, {FILTER_WORDS * 64}L)"
-    return s.sql(
+    bits, words = key_filter(ends)
+    spot = f"pmod(key, {words * 64}L)"
+    return _sql(
+        df.sparkSession,
         rf"""
 WITH k AS (
-  SELECT DISTINCT key FROM (SELECT explode(array(trigram_key, context_key, word_key)) AS key FROM {wanted}) WHERE key IS NOT NULL
+  SELECT DISTINCT key FROM (SELECT explode(array({", ".join(_KEY_NAMES)})) AS key FROM $wanted) WHERE key IS NOT NULL
 ), l AS (
-  SELECT split(regexp_replace(body, '{_DIGITS}', '0'), '\\n') AS lines FROM {src} WHERE body IS NOT NULL
+  SELECT whole, CASE WHEN whole THEN array({_FLAT.format(text="body")}) ELSE split(body, '\\n') END AS lines
+  FROM (SELECT coalesce(fmt = 'ipynb', false) AS whole, regexp_replace(CASE WHEN fmt = 'ipynb' THEN rtrim({_BLANK}, text) ELSE text END, '{_DIGITS}', '0') AS body FROM $src WHERE text IS NOT NULL)
 ), w AS (
-  SELECT {_words("line")} AS w, at = size(lines) - 1 AS unended FROM l LATERAL VIEW posexplode(lines) AS at, line WHERE line <> ''
+  SELECT whole, {_words("line")} AS w, NOT whole AND at = size(lines) - 1 AS unended FROM l LATERAL VIEW posexplode(lines) AS at, line WHERE line <> ''
 ), p AS (
   -- where a text stops without a line end, its last word neither goes on nor ends: that is what is asked
-  SELECT w, i, i = size(w) - 1 AS fin FROM w LATERAL VIEW posexplode(w) AS i, word WHERE NOT (unended AND i = size(w) - 1)
+  SELECT whole, w, i, i = size(w) - 1 AS fin FROM w LATERAL VIEW posexplode(w) AS i, word WHERE NOT (unended AND i = size(w) - 1)
 ), g AS (
-  SELECT explode(array({", ".join(_keys("w", "i"))})) AS key, fin FROM p
+  SELECT explode(array({", ".join(_keys("w", "i", "whole"))})) AS key, fin FROM p
 )
 SELECT c.key, inside, at_end FROM (
-  SELECT key, count_if(NOT fin) AS inside, count_if(fin) AS at_end FROM g CROSS JOIN (SELECT /*+ BROADCAST(b) */ bits FROM {bits} b)
+  SELECT key, count_if(NOT fin) AS inside, count_if(fin) AS at_end FROM g CROSS JOIN (SELECT /*+ BROADCAST(b) */ bits FROM $bits b)
   WHERE bit_get(get(bits, CAST({spot} DIV 64 AS INT)), CAST({spot} % 64 AS INT)) = 1 GROUP BY key
 ) c LEFT SEMI JOIN k ON c.key = k.key
-"""
+""",
+        src=df.select("fmt", F.col("text").cast("string").alias("text")),
+        wanted=ends,
+        bits=bits,
     )
 
 
@@ -146,11 +174,11 @@ def field_limits(ends: DataFrame) -> DataFrame:
     lengths = snapshot(once.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("n")))
 
     def spikes(texts: DataFrame, unit: str) -> DataFrame:
-        view = _register(texts, unit)
-        return s.sql(
+        return _sql(
+            s,
             f"""
 WITH h AS (
-  SELECT source, {unit} AS length, CAST(floor(ln({unit}) / ln(1.05)) AS INT) AS band, sum(n) AS n FROM {view} WHERE {unit} >= 64 GROUP BY source, {unit}
+  SELECT source, {unit} AS length, CAST(floor(ln({unit}) / ln(1.05)) AS INT) AS band, sum(n) AS n FROM $texts WHERE {unit} >= 64 GROUP BY source, {unit}
 ), b AS (
   SELECT source, band, sum(n) AS n_band FROM h GROUP BY source, band
 ), c AS (
@@ -159,7 +187,8 @@ WITH h AS (
   SELECT source, sum(n_band) AS n_all FROM b GROUP BY source
 )
 SELECT h.source, h.length, h.n FROM h JOIN c ON h.source = c.source AND h.band = c.band JOIN a ON h.source = a.source
-WHERE h.n >= {LIMIT_TEXTS} AND h.n >= {LIMIT_SHARE} * n_all AND h.n >= {LIMIT_FACTOR} * (n_near - h.n) / (0.15 * h.length)"""
+WHERE h.n >= {LIMIT_TEXTS} AND h.n >= {LIMIT_SHARE} * n_all AND h.n >= {LIMIT_FACTOR} * (n_near - h.n) / (0.15 * h.length)""",
+            texts=texts,
         )
 
     in_bytes = spikes(lengths, "bytes").select("source", "length", F.col("n").alias("n_bytes"))
@@ -172,7 +201,7 @@ WHERE h.n >= {LIMIT_TEXTS} AND h.n >= {LIMIT_SHARE} * n_all AND h.n >= {LIMIT_FA
 def detect_truncated(df: DataFrame) -> DataFrame:
     """(doc_id, source, evidence, truncated) of every row of `df` (doc_id, text, source, fmt).
 
-    evidence: 'json', 'fence', 'limit', 'trigram', 'bracket' or 'base64', the first that applies, else null.
+    evidence: 'trigram', 'json', 'fence', 'limit', 'base64' or 'bracket', the first that applies, else null.
     Defined cases: null, empty and blank texts are never truncated, nor are texts that only lack white
     space at the end; a null source may have any source's field limit; an unknown or null fmt is judged by its words;
     repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
@@ -180,7 +209,7 @@ def detect_truncated(df: DataFrame) -> DataFrame:
     s = df.sparkSession
     ends = cut(
         text_ends(df).selectExpr(
-            "doc_id", "source", "fmt", "chars", "bytes", "text_hash", "line_end", "right(last_line, 1) AS last_char", "json_open", "fence_open",
+            "doc_id", "source", "fmt", "whole", "chars", "bytes", "text_hash", "line_end", "right(last_line, 1) AS last_char", "json_open", "fences",
             # a heading of two words or a web address; a list item of two words. In the percent format a Markdown
             # line starts with one more '#', which cell markers and outputs share
             r"last_line RLIKE concat(CASE WHEN fmt = 'percent' THEN '^# ' ELSE '^' END, '#+ [^ ]+ [^ ]+\\s*$') OR last_line RLIKE '://[^ ]*\\s*$' AS headed",
@@ -190,26 +219,26 @@ def detect_truncated(df: DataFrame) -> DataFrame:
             r"last_line RLIKE '^[# ]*([-=*_~])\\1{9,}\\s*$' AS ruled",
             "regexp_extract(last_line, '(?:^|[^A-Za-z0-9+/=])([A-Za-z0-9+/=]{60,}+)$', 1) AS code64",
             "length(translate(last_line, '([{', '')) < length(translate(last_line, ')]}', '')) AS bracket_open",
-            *(f"{key} AS {name}" for key, name in zip(_keys("words", "(size(words) - 1)"), ("trigram_key", "context_key", "word_key"))),
+            *(f"{key} AS {name}" for key, name in zip(_keys("words", "(size(words) - 1)", "whole"), _KEY_NAMES)),
         )
     )
-    e, c, f = _register(ends, "e"), _register(cut(end_counts(df, ends)), "c"), _register(field_limits(ends), "f")
-    judged = s.sql(
+    judged = _sql(
+        s,
         rf"""
 WITH lim AS (
   SELECT source, collect_set(CASE WHEN unit = 'chars' THEN length END) AS char_limits, collect_set(CASE WHEN unit = 'bytes' THEN length END) AS byte_limits
-  FROM {f} GROUP BY source
+  FROM $limits GROUP BY source
   -- a text of unknown source may have met any source's limit
-  UNION ALL SELECT NULL, collect_set(CASE WHEN unit = 'chars' THEN length END), collect_set(CASE WHEN unit = 'bytes' THEN length END) FROM {f}
+  UNION ALL SELECT NULL, collect_set(CASE WHEN unit = 'chars' THEN length END), collect_set(CASE WHEN unit = 'bytes' THEN length END) FROM $limits
 ), residue AS (
-  SELECT mode(length(code64) % 4) AS usual FROM {e} WHERE code64 <> '' AND line_end
+  SELECT mode(length(code64) % 4) AS usual FROM $ends WHERE code64 <> '' AND line_end
 ), j AS (
   SELECT e.*, coalesce(array_contains(char_limits, chars), false)
       OR coalesce(exists(byte_limits, x -> bytes = x OR (chars < bytes AND NOT line_end AND bytes BETWEEN x - {UTF8_SLACK} AND x)), false) AS at_limit,
-    coalesce(t.inside, 0) AS t_in, coalesce(t.at_end, 0) AS t_end, coalesce(x.inside, 0) AS x_in, coalesce(x.at_end, 0) AS x_end,
-    coalesce(u.inside, 0) AS u_in, coalesce(u.at_end, 0) AS u_end, usual
-  FROM {e} e LEFT JOIN lim ON e.source <=> lim.source
-  LEFT JOIN {c} t ON e.trigram_key = t.key LEFT JOIN {c} x ON e.context_key = x.key LEFT JOIN {c} u ON e.word_key = u.key
+    -- the end of a whole text is counted, but mustn't speak for itself
+    {", ".join(f"coalesce({a}.inside, 0) AS {a}_in, greatest(coalesce({a}.at_end, 0) - CAST(whole AS INT), 0) AS {a}_end" for a in "txuk")}, usual
+  FROM $ends e LEFT JOIN lim ON e.source <=> lim.source
+  LEFT JOIN $counts t ON e.trigram_key = t.key LEFT JOIN $counts x ON e.context_key = x.key LEFT JOIN $counts u ON e.word_key = u.key LEFT JOIN $counts k ON e.class_key = k.key
   CROSS JOIN residue
 ), v AS (
   SELECT *,
@@ -217,26 +246,29 @@ WITH lim AS (
          WHEN x_in + x_end >= {LEAST_SEEN} THEN x_end <= {MOST_ENDS} * (x_in + x_end)
            -- part of a word: hardly seen as a word, in a context that is well known
            OR (u_in + u_end < {LEAST_SEEN} AND x_in + x_end >= {LEAST_WORD_SEEN})
-         ELSE u_in + u_end >= {LEAST_WORD_SEEN} AND u_end <= {MOST_ENDS} * (u_in + u_end) END AS inside_line,
+         WHEN k_in + k_end >= {LEAST_WORD_SEEN} THEN k_end <= {MOST_ENDS} * (k_in + k_end)
+         ELSE u_in + u_end >= {LEAST_WORD_SEEN} AND u_end <= {MOST_ENDS} * (u_in + u_end) END AS goes_on,
     -- the end of a sentence, a closed bracket or span, or an emoji; rules are seen as a whole line
     quoted OR last_char RLIKE '[.?!;。？！：…)\\]}}`*]' OR last_char RLIKE '[^\\x00-\\x7f\\p{{L}}\\p{{N}}]' AS closed_end
   FROM j
 )
 SELECT doc_id, source, CASE
-    WHEN coalesce(json_open, false) THEN 'json'
-    WHEN coalesce(fence_open, false) THEN 'fence'
-    WHEN at_limit AND NOT ruled AND NOT coalesce(fmt = 'ipynb', false) THEN 'limit'
-    WHEN coalesce(fmt = 'ipynb', false) OR line_end THEN NULL
+    WHEN whole THEN CASE WHEN goes_on THEN 'trigram' WHEN json_open THEN 'json' END
+    -- a list item ends with a word that is known; names in headings may stand nowhere else
+    WHEN NOT line_end AND code64 = '' AND goes_on AND NOT (closed_end OR headed OR ruled OR (item AND u_in + u_end >= {LEAST_SEEN})) THEN 'trigram'
+    WHEN fences % 2 = 1 THEN 'fence'
+    WHEN at_limit AND NOT ruled THEN 'limit'
+    WHEN line_end THEN NULL
     WHEN code64 <> '' THEN CASE WHEN length(code64) % 4 <> usual THEN 'base64' END
     WHEN bracket_open THEN 'bracket'
-    -- a list item ends with a word that is known; names in headings may stand nowhere else
-    WHEN headed OR ruled OR (item AND u_in + u_end >= {LEAST_SEEN}) THEN NULL
-    WHEN inside_line AND NOT closed_end THEN 'trigram'
   END AS evidence
 FROM v
-"""
+""",
+        ends=ends,
+        counts=cut(end_counts(df, ends)),
+        limits=field_limits(ends),
     )
-    blank = df.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\s\x00 　﻿]")).select("doc_id", "source", F.lit(None).cast("string").alias("evidence"))
+    blank = df.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\s\x00 　﻿]")).select("doc_id", "source", F.lit(None).cast("string").alias("evidence"))
     return judged.unionByName(blank).withColumn("truncated", F.col("evidence").isNotNull())
 
 

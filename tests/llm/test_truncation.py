@@ -46,7 +46,21 @@ def test_planted_cuts_are_found(spark):
     assert len(got) == len(docs)
     assert len(found & cut) >= 0.85 * len(cut)
     assert len(found - cut) <= 0.03 * len(docs)
-    assert {"json", "limit", "trigram"} <= {r.evidence for r in got.values()}
+    by = [got[i].evidence for i in found]
+    assert {"limit", "trigram"} <= set(by)
+    # the trigram decides first, also about JSON texts
+    assert "trigram" in {got[i].evidence for i in found if docs[i][3] == "ipynb"}
+
+
+def test_whole_texts_end_only_once(spark):
+    """In JSON a line's end is no end: the same words are complete at the end of a text and cut inside it."""
+    whole = json.dumps({"cells": [{"source": "we count rows"}, {"source": "we plot rows"}], "nbformat": 4}, indent=1)
+    inner = whole[: whole.index("we plot")]
+    rows = [(i, whole, "s", "ipynb") for i in range(40)] + [(40 + i, inner.rstrip()[: -i or None], "s", "ipynb") for i in range(9)]
+    got = run(spark, rows)
+    assert [got[i].truncated for i in range(40)] == [False] * 40
+    assert [got[40 + i].truncated for i in range(9)] == [True] * 9
+    assert sum(got[40 + i].evidence == "trigram" for i in range(9)) >= 5
 
 
 def test_defined_cases(spark):
