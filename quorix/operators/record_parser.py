@@ -3,16 +3,17 @@
 Lines of the delimited feeds run through a quote-aware finite-state tokenizer. Its transitions are
 computed for every start state over fixed-size chunks of all lines of an Arrow batch at once, the
 chunks' transition maps are composed along each line, and a second sweep with the then known start
-states marks the separators. No step loops over the bytes of a line in Python.
+states marks the separators. Fields are spans of one buffer; they are trimmed, checked and typed as whole
+columns. No step loops over lines or over the bytes of a line in Python.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +53,14 @@ _STEP[QUOTED] = (QUOTED, CLOSING, QUOTED)
 _STEP[CLOSING] = (BROKEN, QUOTED, START)
 _STEP[BROKEN] = (BROKEN, BROKEN, BROKEN)
 
-_INDEX = re.compile(rb"[0-9]+\Z")
-_VALUE = re.compile(rb"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\Z")
-_TRIM = b" \r"
+# A value as a regular expression; Arrow runs it in linear time.
+_VALUE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _MAX_INDEX = 2147483647
+#: Bytes of a chunk; a line of more bytes has several, whose transitions are composed.
+CHUNK = 64
 
 
-def tokenize(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokenize(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """States before each byte of many records held in one buffer.
 
     Returns (state before each byte of `data`, state after each record, first broken byte of each
@@ -80,12 +82,11 @@ def tokenize(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int
     order = np.argsort(-size, kind="stable")
     sorted_size = size[order]
     cls = _CLASS[data]
-    # The transition map of each chunk, for all start states at once.
+    # The transition map of each chunk that another one follows, for all start states at once.
     maps = np.tile(np.arange(5, dtype=np.uint8), (total, 1))
-    if pieces.max() > 1:
-        for j in range(int(sorted_size[0])):
-            live = order[: np.searchsorted(-sorted_size, -j, side="left")]
-            maps[live] = _STEP[maps[live], cls[at[live] + j][:, None]]
+    full = np.nonzero(rank < pieces[owner] - 1)[0]  # all of them have `chunk` bytes
+    for j in range(chunk if len(full) else 0):
+        maps[full] = _STEP[maps[full], cls[at[full] + j][:, None]]
     # Composition along each record gives the state in which each chunk starts.
     begin = np.full(total, START, np.uint8)
     for r in range(1, int(pieces.max())):
@@ -105,136 +106,246 @@ def tokenize(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int
     return before, final, fault
 
 
-def _index(field: bytes) -> int | None:
-    if not _INDEX.match(field):
-        return None
-    n = int(field) if len(field) < 4000 else int(field.lstrip(b"0")[:11] or b"0")
-    return n if n <= _MAX_INDEX else None
-
-
-def _number(field: bytes) -> float | None:
-    if not _VALUE.match(field):
-        return None
+class _Text:
+    """A buffer of bytes with what any span of it needs to be judged without a loop."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.data = data
+        blank = (data == 32) | (data == 13)
+        self.inked = np.nonzero(~blank)[0]
+        self.digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        self.not_zero = np.nonzero(data != 48)[0]
+
+    def trim(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The spans without spaces and carriage returns around them."""
+        first = np.append(self.inked, len(self.data))[np.searchsorted(self.inked, starts)]
+        starts = np.minimum(first, ends)
+        return starts, self.end(starts, ends)
+
+    def end(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The ends of the spans without spaces and carriage returns in front of them."""
+        return np.maximum(np.append(-1, self.inked)[np.searchsorted(self.inked, ends)] + 1, starts)
+
+    def index(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, whether it is one): ASCII digits with a number up to _MAX_INDEX."""
+        good = (ends > starts) & (self.digits[ends] - self.digits[starts] == ends - starts)
+        at = np.minimum(np.append(self.not_zero, len(self.data))[np.searchsorted(self.not_zero, starts)], ends)
+        good &= ends - at <= 10
+        number = np.zeros(len(starts), np.int64)
+        for j in range(10):
+            live = np.nonzero(good & (at + j < ends))[0]
+            number[live] = number[live] * 10 + (self.data[at[live] + j] - 48)
+        good &= number <= _MAX_INDEX
+        return np.where(good, number, 0), good
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of rising spans that don't overlap, as an Arrow array over this buffer."""
+        if not len(starts):
+            return pa.array([], pa.binary())
+        # fields alternate with what lies between them
+        edges = np.stack([starts, ends], 1).ravel().astype(np.int32)
+        both = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(self.data)])
+        return both.take(pa.array(np.arange(0, len(edges) - 1, 2)))
+
+
+def _numbers(fields: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(float32 value, whether it is one) of byte strings."""
+    good = np.array(pc.match_substring_regex(fields, _VALUE).fill_null(False), bool)
+    value = np.zeros(len(fields), np.float32)
     with np.errstate(over="ignore"):
-        x = np.float32(float(field))
-    return float(x) if np.isfinite(x) else None
-
-
-class _Rows:
-    def __init__(self) -> None:
-        self.columns: list[list] = [[] for _ in _ARROW]
-
-    def add(self, *row: object) -> None:
-        for column, x in zip(self.columns, row):
-            column.append(x)
-
-    def batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, _ARROW)], schema=_ARROW)
-
-
-def _typed(rows: _Rows, line_id: int | None, feed: str, fields: list[tuple[bytes, int]], ts: bool, note: bool) -> None:
-    """A record of row, column, value and perhaps an epoch or a note; `fields` come with their offsets."""
-    row, col, value = _index(fields[0][0]), _index(fields[1][0]), _number(fields[2][0])
-    epoch = _index(fields[3][0]) if ts else None
-    for reason, x, k in (("row_idx", row, 0), ("col_idx", col, 1), ("value", value, 2), ("ts", epoch, 3)):
-        if x is None and (k < 3 or ts):
-            rows.add(line_id, feed, 0, None, None, None, None, None, reason, fields[k][1])
-            return
-    text = fields[3][0].decode("utf-8", "replace") if note else None
-    rows.add(line_id, feed, 0, row, col, value, epoch, text, None, None)
-
-
-def _plain_fields(line: bytes, separator: bytes) -> list[tuple[bytes, int]]:
-    out, at = [], 0
-    for part in line.split(separator):
-        out.append((part.strip(_TRIM), at))
-        at += len(part) + len(separator)
-    return out
-
-
-def _adjacency(rows: _Rows, line_id: int | None, line: bytes) -> None:
-    def reject(reason: str, offset: int) -> None:
-        rows.add(line_id, "adjacency", 0, None, None, None, None, None, reason, offset)
-
-    parts = line.split(b"\t")
-    if len(parts) != 2:
-        return reject("column_count", len(parts[0]))
-    pairs, at = [], len(parts[0]) + 1
-    for part in parts[1].split(b" "):
-        if pair := part.strip(_TRIM):
-            pairs.append((pair.split(b":"), at))
-        at += len(part) + 1
-    bad = [at for p, at in pairs if len(p) != 2]
-    if bad or not pairs:
-        return reject("column_count", bad[0] if bad else len(line))
-    row = _index(parts[0].strip(_TRIM))
-    if row is None:
-        return reject("row_idx", 0)
-    cols = [_index(p[0]) for p, _ in pairs]
-    if None in cols:
-        return reject("col_idx", pairs[cols.index(None)][1])
-    values = [_number(p[1]) for p, _ in pairs]
-    if None in values:
-        k = values.index(None)
-        return reject("value", pairs[k][1] + len(pairs[k][0][0]) + 1)
-    for k, (c, v) in enumerate(zip(cols, values)):
-        rows.add(line_id, "adjacency", k, row, c, v, None, None, None, None)
-    return None
-
-
-def _delimited(rows: _Rows, records: list[tuple[int | None, str, bytes]], chunk: int) -> None:
-    """Lines of the feeds `triple` and `noted`, all at once."""
-    lengths = np.array([len(x[2]) for x in records], np.int64)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    raw = b"".join(x[2] for x in records)
-    data = np.frombuffer(raw, np.uint8)
-    before, final, fault = tokenize(data, starts, ends, chunk)
-    commas = np.nonzero((data == ord(",")) & (before != QUOTED) & (before != BROKEN))[0]
-    lo, hi = np.searchsorted(commas, starts), np.searchsorted(commas, ends)
-    for i, (line_id, feed, line) in enumerate(records):
-        if final[i] in (BROKEN, QUOTED):
-            offset = int(fault[i] - starts[i]) if fault[i] >= 0 else len(line)
-            rows.add(line_id, feed, 0, None, None, None, None, None, "quoting", offset)
-            continue
-        want, found = (3 if feed == "triple" else 4), int(hi[i] - lo[i]) + 1
-        if found != want:
-            rows.add(line_id, feed, 0, None, None, None, None, None, "column_count", len(line))
-            continue
-        cuts = [-1, *(int(c - starts[i]) for c in commas[lo[i] : hi[i]]), len(line)]
-        fields = []
-        for a, b in zip(cuts, cuts[1:]):
-            field = line[a + 1 : b]
-            fields.append((field[1:-1].replace(b'""', b'"') if field[:1] == b'"' else field.strip(_TRIM), a + 1))
-        _typed(rows, line_id, feed, fields, ts=False, note=feed == "noted")
-
-
-def parse_batch(line_ids: list[int | None], feeds: list[str | None], lines: list[str | None], chunk: int = 256) -> pa.RecordBatch:
+        value[good] = np.array([float(x) for x in fields.filter(pa.array(good)).to_pylist()], np.float64).astype(np.float32)
+    good &= np.isfinite(value)
+    return np.where(good, value, 0), good
+
+
+def _rows(ids: pa.Array, feeds: pa.Array, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Result rows; columns that are not given are null."""
+    out = {"line_id": ids, "feed": feeds, **columns}
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name in out and isinstance(out[f.name], np.ndarray) else out.get(f.name, pa.nulls(len(ids), f.type)).cast(f.type) for f in _ARROW], schema=_ARROW)
+
+
+class _Lines:
+    """The lines of one feed in one buffer, with the first reason that applies to each."""
+
+    def __init__(self, ids: pa.Array, feeds: pa.Array, lines: pa.Array) -> None:
+        self.ids, self.feeds = ids, feeds
+        _, offsets, data = lines.buffers()
+        edges = np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+        self.text = _Text(np.frombuffer(data, np.uint8)[: edges[-1]] if data is not None else np.empty(0, np.uint8))
+        self.starts = edges[:-1]
+        self.ends = self.text.end(self.starts, edges[1:])
+        self.reason = np.full(len(lines), -1)
+        self.offset = np.zeros(len(lines), np.int64)
+        self.reject(self.ends == self.starts, "column_count", self.starts)
+
+    def reject(self, which: np.ndarray, reason: str, at: np.ndarray) -> None:
+        """Lines of the mask that have no reason yet, with the place of the fault in the buffer."""
+        new = which & (self.reason < 0)
+        self.reason[new] = REASONS.index(reason)
+        self.offset[new] = (at - self.starts)[new]
+
+    def open(self) -> np.ndarray:
+        return np.nonzero(self.reason < 0)[0]
+
+    def rejected(self) -> pa.RecordBatch:
+        bad = np.nonzero(self.reason >= 0)[0]
+        at = pa.array(bad)
+        return _rows(self.ids.take(at), self.feeds.take(at), ordinal=np.zeros(len(bad), np.int32), reason=pa.array(np.array(REASONS, object)[self.reason[bad]], pa.string()), offset=self.offset[bad].astype(np.int32))
+
+    def fields(self, separators: np.ndarray, width: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lines, starts, ends) of the open lines' fields, one column per field; lines with another number of fields are rejected."""
+        lo, hi = np.searchsorted(separators, self.starts), np.searchsorted(separators, self.ends)
+        self.reject(hi - lo + 1 != want, "column_count", self.ends)
+        rows = self.open()
+        n = int(want[rows[0]]) if len(rows) else 1
+        cuts = separators[lo[rows][:, None] + np.arange(n - 1)] if n > 1 and len(rows) else np.empty((len(rows), n - 1), np.int64)
+        return rows, np.concatenate([self.starts[rows][:, None], cuts + width], 1), np.concatenate([cuts, self.ends[rows][:, None]], 1)
+
+
+def _typed(lines: _Lines, rows: np.ndarray, at: np.ndarray, columns: list[tuple[str, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rejects lines by the first column that holds no number; gives the rows that stay."""
+    for k, (reason, _, good) in enumerate(columns):
+        bad, where = np.zeros(len(lines.reason), bool), lines.starts.copy()
+        bad[rows], where[rows] = ~good, at[:, k]
+        lines.reject(bad, reason, where)
+    return np.nonzero(lines.reason[rows] < 0)[0]
+
+
+def _delimited(lines: _Lines, chunk: int, width: int) -> list[pa.RecordBatch]:
+    """Lines of a feed with commas and quotes: `triple` (3 fields) or `noted` (4)."""
+    text = lines.text
+    before, final, fault = tokenize(text.data, lines.starts, lines.ends, chunk)
+    lines.reject((final == BROKEN) | (final == QUOTED), "quoting", np.where(fault >= 0, fault, lines.ends))
+    commas = np.nonzero((text.data == ord(",")) & (before != QUOTED) & (before != BROKEN))[0]
+    rows, a, b = lines.fields(commas, 1, np.full(len(lines.reason), width))
+    if not len(rows):
+        return [lines.rejected()]
+    quoted = (b > a) & (text.data[np.minimum(a, len(text.data) - 1)] == ord('"'))
+    starts, ends = text.trim(a.ravel(), b.ravel())
+    starts = np.where(quoted, a + 1, starts.reshape(a.shape))
+    ends = np.where(quoted, b - 1, ends.reshape(a.shape))
+
+    def column(k: int) -> pa.Array:
+        raw = text.spans(starts[:, k], ends[:, k])
+        return pc.if_else(pa.array(quoted[:, k]), pc.replace_substring(raw, b'""', b'"'), raw) if quoted[:, k].any() else raw
+
+    # doubled quotes make no number, so the raw bytes may be judged
+    value, is_value = _numbers(column(2))
+    numbers = [("row_idx", *text.index(starts[:, 0], ends[:, 0])), ("col_idx", *text.index(starts[:, 1], ends[:, 1])), ("value", value, is_value)]
+    kept = _typed(lines, rows, a, numbers)
+    at = pa.array(rows[kept])
+    note = {"note": column(3).take(pa.array(kept)).cast(pa.string())} if width == 4 else {}
+    good = _rows(lines.ids.take(at), lines.feeds.take(at), ordinal=np.zeros(len(kept), np.int32), **{n: x[kept] for n, x, _ in numbers}, **note)
+    return [good, lines.rejected()]
+
+
+def _movielens(lines: _Lines) -> list[pa.RecordBatch]:
+    text = lines.text
+    colon = text.data == ord(":")
+    # of a run of colons, pairs are taken from its start
+    spots = np.nonzero(colon)[0]
+    first = np.nonzero(np.diff(spots, prepend=-2) > 1)[0]
+    in_run = np.arange(len(spots)) - np.repeat(first, np.diff(np.append(first, len(spots))))
+    # a separator lies inside one line: neither a run nor a pair goes on in the next one
+    line = np.searchsorted(lines.starts, spots, side="right") - 1
+    begun = np.maximum(spots - in_run, lines.starts[line]) if len(spots) else spots
+    pairs = spots[((spots - begun) % 2 == 0) & np.isin(spots + 1, spots) & (spots + 1 < lines.ends[line])] if len(spots) else spots
+    rows, a, b = lines.fields(pairs, 2, np.full(len(lines.reason), 4))
+    if not len(rows):
+        return [lines.rejected()]
+    starts, ends = (x.reshape(a.shape) for x in text.trim(a.ravel(), b.ravel()))
+    value, is_value = _numbers(text.spans(starts[:, 2], ends[:, 2]))
+    numbers = [("row_idx", *text.index(starts[:, 0], ends[:, 0])), ("col_idx", *text.index(starts[:, 1], ends[:, 1])), ("value", value, is_value), ("ts", *text.index(starts[:, 3], ends[:, 3]))]
+    kept = _typed(lines, rows, a, numbers)
+    at = pa.array(rows[kept])
+    return [_rows(lines.ids.take(at), lines.feeds.take(at), ordinal=np.zeros(len(kept), np.int32), **{n: x[kept] for n, x, _ in numbers}), lines.rejected()]
+
+
+def _adjacency(lines: _Lines) -> list[pa.RecordBatch]:
+    text = lines.text
+    tabs = np.nonzero(text.data == 9)[0]
+    lo, hi = np.searchsorted(tabs, lines.starts), np.searchsorted(tabs, lines.ends)
+    first = np.append(tabs, len(text.data))[lo]
+    lines.reject(hi - lo != 1, "column_count", np.minimum(first, lines.ends))
+    rows = lines.open()
+    if not len(rows):
+        return [lines.rejected()]
+    # pairs: spans between spaces, trimmed, without the empty ones
+    spaces = np.nonzero(text.data == 32)[0]
+    body, stop = first[rows] + 1, lines.ends[rows]
+    s_lo, s_hi = np.searchsorted(spaces, body), np.searchsorted(spaces, stop)
+    n = s_hi - s_lo + 1
+    owner = np.repeat(np.arange(len(rows)), n)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    padded = np.append(spaces, len(text.data))
+    raw_a = np.where(rank == 0, body[owner], padded[np.minimum(s_lo[owner] + rank - 1, len(spaces))] + 1)
+    raw_b = np.where(rank == n[owner] - 1, stop[owner], padded[np.minimum(s_lo[owner] + rank, len(spaces))])
+    a, b = text.trim(raw_a, raw_b)
+    some = b > a
+    owner, raw_a, a, b = owner[some], raw_a[some], a[some], b[some]
+    colons = np.nonzero(text.data == ord(":"))[0]
+    c_lo, c_hi = np.searchsorted(colons, a), np.searchsorted(colons, b)
+
+    def reject_first(bad: np.ndarray, reason: str, at: np.ndarray) -> None:
+        """The first bad pair of a line gives the place."""
+        spots = np.nonzero(bad)[0]
+        who, at_first = np.unique(owner[spots], return_index=True)
+        mask, where = np.zeros(len(lines.reason), bool), lines.starts.copy()
+        mask[rows[who]], where[rows[who]] = True, at[spots[at_first]]
+        lines.reject(mask, reason, where)
+
+    reject_first(c_hi - c_lo != 1, "column_count", raw_a)
+    none = np.ones(len(rows), bool)
+    none[owner] = False
+    empty = np.zeros(len(lines.reason), bool)
+    empty[rows[none]] = True
+    lines.reject(empty, "column_count", lines.ends)
+    row, is_row = text.index(*text.trim(lines.starts[rows], first[rows]))
+    bad = np.zeros(len(lines.reason), bool)
+    bad[rows[~is_row]] = True
+    lines.reject(bad, "row_idx", lines.starts)
+    alive = lines.reason[rows][owner] < 0
+    owner, raw_a, a, b = owner[alive], raw_a[alive], a[alive], b[alive]
+    colon = colons[c_lo[alive]] if alive.any() else np.empty(0, np.int64)
+    col, is_col = text.index(a, colon)
+    reject_first(~is_col, "col_idx", raw_a)
+    value, is_value = _numbers(text.spans(colon + 1, b))
+    reject_first(~is_value, "value", colon + 1)
+    kept = np.nonzero(lines.reason[rows][owner] < 0)[0]
+    who = owner[kept]
+    new = np.nonzero(np.diff(who, prepend=-1))[0]
+    ordinal = np.arange(len(who)) - np.repeat(new, np.diff(np.append(new, len(who))))
+    at = pa.array(rows[who])
+    return [_rows(lines.ids.take(at), lines.feeds.take(at), ordinal=ordinal.astype(np.int32), row_idx=row[who], col_idx=col[kept], value=value[kept]), lines.rejected()]
+
+
+#: Readers of the feeds.
+_FEEDS = {"triple": lambda x, chunk: _delimited(x, chunk, 3), "noted": lambda x, chunk: _delimited(x, chunk, 4), "movielens": lambda x, _: _movielens(x), "adjacency": lambda x, _: _adjacency(x)}
+
+
+def parse_arrays(ids: pa.Array, feeds: pa.Array, lines: pa.Array, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Parse parallel arrays of lines, feed by feed; see parse_lines."""
+    lines = lines.fill_null("" if pa.types.is_string(lines.type) else b"").cast(pa.binary())
+    known = pc.is_in(feeds, value_set=pa.array(list(_FEEDS), pa.string()))
+    other = pc.invert(known)
+    if pc.any(other).as_py():
+        ids_of, feeds_of = ids.filter(other), feeds.filter(other)
+        n = len(ids_of)
+        yield _rows(ids_of, feeds_of, ordinal=np.zeros(n, np.int32), reason=pa.array(["feed"] * n, pa.string()), offset=np.zeros(n, np.int32))
+    for feed, parse in _FEEDS.items():
+        mine = pc.equal(feeds, feed).fill_null(False)
+        if pc.any(mine).as_py():
+            yield from parse(_Lines(ids.filter(mine), feeds.filter(mine), lines.filter(mine)), chunk)
+
+
+def parse_batch(line_ids: list[int | None], feeds: list[str | None], lines: list[str | None], chunk: int = CHUNK) -> pa.RecordBatch:
     """Parse parallel lists of lines; see parse_lines."""
-    rows, delimited = _Rows(), []
-    for line_id, feed, text in zip(line_ids, feeds, lines):
-        if feed not in ("triple", "noted", "movielens", "adjacency"):
-            rows.add(line_id, feed, 0, None, None, None, None, None, "feed", 0)
-            continue
-        line = (text or "").encode("utf-8", "surrogatepass").rstrip(_TRIM)
-        if not line:
-            rows.add(line_id, feed, 0, None, None, None, None, None, "column_count", 0)
-        elif feed == "movielens":
-            fields = _plain_fields(line, b"::")
-            if len(fields) != 4:
-                rows.add(line_id, feed, 0, None, None, None, None, None, "column_count", len(line))
-            else:
-                _typed(rows, line_id, feed, fields, ts=True, note=False)
-        elif feed == "adjacency":
-            _adjacency(rows, line_id, line)
-        else:
-            delimited.append((line_id, feed, line))
-    if delimited:
-        _delimited(rows, delimited, chunk)
-    return rows.batch()
-
-
-def parse_lines(df: DataFrame, line_id: str = "line_id", feed: str = "feed", line: str = "line", chunk: int = 256) -> DataFrame:
+    raw = pa.array([(x or "").encode("utf-8", "surrogatepass") for x in lines], pa.binary())
+    parts = list(parse_arrays(pa.array(line_ids, pa.int64()), pa.array(feeds, pa.string()), raw, chunk))
+    return pa.Table.from_batches(parts, _ARROW).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else pa.RecordBatch.from_pylist([], _ARROW)
+
+
+def parse_lines(df: DataFrame, line_id: str = "line_id", feed: str = "feed", line: str = "line", chunk: int = CHUNK) -> DataFrame:
     """Typed records and rejected lines of a table of raw lines, in one pass without a shuffle.
 
     A valid line gives one row (adjacency: one row per pair, numbered by `ordinal`) with `reason` null;
@@ -247,7 +358,7 @@ def parse_lines(df: DataFrame, line_id: str = "line_id", feed: str = "feed", lin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield parse_batch(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), chunk)
+                yield from parse_arrays(b.column(0), b.column(1), b.column(2), chunk)
 
     picked = df.select(F.col(line_id).cast("bigint").alias("line_id"), F.col(feed).alias("feed"), F.col(line).alias("line"))
     return picked.mapInArrow(run, PARSED_SCHEMA)
