@@ -1,8 +1,9 @@
 """Per-key results for tables in which a few keys hold most records.
 
 Records are first grouped by key AND value. That group-by has partial aggregation and its keys are
-spread even within one hot key, so no task sees more of a hot key than its distinct values. All
-further results (distinct counts, sums, modes, quantiles) come from the weighted values.
+spread even within one hot key. All further results come from the weighted values: counts, sums, distinct
+counts and modes by partial aggregation, quantiles by ranges of values, so no task sees a whole hot key,
+however many distinct values it has.
 """
 
 from __future__ import annotations
@@ -23,6 +24,17 @@ def compress(df: DataFrame, sides: dict[str, str], value: str) -> DataFrame:
     return df.select(F.inline(F.array(*picked))).groupBy("side", "key_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_range(v: Column) -> Column:
+    """The range of a number, rising with it: 256 ranges per power of two. A float's range holds at most about 23,000
+    distinct values, and there are at most about 142,000 ranges."""
+    size = F.floor(F.log2(F.abs(v)) * 256) + 1_000_000
+    return F.when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v) * 2_000_000).otherwise(F.signum(v) * size).cast("int")
+
+
+def _usable(value: str = "value") -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(value)
+
+
 def key_stats(compressed: DataFrame) -> DataFrame:
     """Count, sum, mean, distinct values, mode and median of every non-null key.
 
@@ -30,27 +42,19 @@ def key_stats(compressed: DataFrame) -> DataFrame:
     (smallest of the most frequent) and median (lower one) are taken; these are null (n_distinct: 0)
     where a key has no such record. NaN and null values count in n only.
     """
-    keyed = compressed.where(F.col("key_id").isNotNull())
-    usable = F.col("value").isNotNull() & ~F.isnan("value")
-    v = F.when(usable, F.col("value").cast("double"))
-    by = Window.partitionBy("side", "key_id")
-    weight = F.when(usable, F.col("n")).otherwise(F.lit(0))
-    ranked = keyed.select("side", "key_id", "n", v.alias("v"), weight.alias("w")).withColumns(
-        {
-            # the lower median: the first value at which half of the weight is reached
-            "below": F.sum("w").over(by.orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)),
-            "all_w": F.sum("w").over(by),
-        }
-    )
-    return ranked.groupBy("side", "key_id").agg(
+    v = F.when(_usable(), F.col("value").cast("double"))
+    weight = F.when(_usable(), F.col("n")).otherwise(F.lit(0))
+    keyed = compressed.where(F.col("key_id").isNotNull()).select("side", "key_id", "n", v.alias("v"), weight.alias("w"))
+    sums = keyed.groupBy("side", "key_id").agg(
         F.sum("n").alias("n"),
         F.sum("w").alias("n_values"),
         F.sum(F.col("v") * F.col("w")).alias("value_sum"),
         (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("value_mean"),
         F.count("v").alias("n_distinct"),
         F.max_by("v", F.when(F.col("v").isNotNull(), F.struct(F.col("w"), -F.col("v")))).alias("value_mode"),
-        F.min(F.when(F.col("below") * 2 >= F.col("all_w"), F.col("v"))).alias("value_median"),
     )
+    median = weighted_quantiles(compressed, [0.5]).withColumnRenamed("q0", "value_median")
+    return sums.join(median, ["side", "key_id"], "left")
 
 
 def heavy_keys(compressed: DataFrame, share: float) -> DataFrame:
@@ -65,16 +69,24 @@ def heavy_keys(compressed: DataFrame, share: float) -> DataFrame:
 
 
 def weighted_quantiles(compressed: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Exact lower quantiles q0, q1, ... per (side, key_id) from the weighted values."""
-    by = Window.partitionBy("side", "key_id")
-    rows = compressed.where(F.col("key_id").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")).withColumns(
-        {
-            "below": F.sum("n").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)),
-            "all_n": F.sum("n").over(by),
-        }
-    )
-
-    def at(p: float) -> Column:
-        return F.min(F.when(F.col("below") >= F.col("all_n") * F.lit(p), F.col("value").cast("double")))
+    """Exact lower quantiles q0, q1, ... per (side, key_id) from the weighted values.
 
-    return rows.groupBy("side", "key_id").agg(*(at(p).alias(f"q{i}") for i, p in enumerate(probabilities)))
+    A quantile is the first value at which its share of the key's weight is reached. No task holds a whole
+    key: the weights of its value ranges are summed first, and only the values of the range in which a
+    quantile lies are sorted. Keys without a number give no row.
+    """
+    rows = compressed.where(F.col("key_id").isNotNull() & _usable()).select("side", "key_id", F.col("value").cast("double").alias("value"), "n")
+    rows = rows.withColumn("range", value_range(F.col("value")))
+    by = Window.partitionBy("side", "key_id")  # at most one row per value range
+    ranges = rows.groupBy("side", "key_id", "range").agg(F.sum("n").alias("w")).withColumns(
+        {"upto": F.sum("w").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)), "whole": F.sum("w").over(by)}
+    )
+    # the same arithmetic in both steps: a quantile lies in exactly one range
+    targets = F.array(*(F.struct(F.lit(i).alias("q"), (F.col("whole") * F.lit(float(p))).alias("target")) for i, p in enumerate(probabilities)))
+    before = F.col("upto") - F.col("w")
+    here = F.filter(targets, lambda t: (t["target"] <= F.col("upto")) & ((t["target"] > before) | (before == 0)))
+    wanted = ranges.select("side", "key_id", "range", before.alias("before"), F.explode(here).alias("t")).select("side", "key_id", "range", "before", "t.q", "t.target")
+    inside = Window.partitionBy("side", "key_id", "range", "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.join(wanted, ["side", "key_id", "range"]).withColumn("upto", F.col("before") + F.sum("n").over(inside)).where("upto >= target")
+    firsts = (F.min(F.when(F.col("q") == i, F.col("value"))).alias(f"q{i}") for i in range(len(probabilities)))
+    return found.groupBy("side", "key_id").agg(*firsts)

@@ -39,7 +39,12 @@ def p2_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.key_stats(_compressed(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_rejects_by_reason, p2_found, p2_key_stats)}
+def p2_key_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least, the quartiles and the largest value of every key."""
+    return cs.weighted_quantiles(_compressed(spark, sf_dir), [0.0, 0.25, 0.75, 1.0])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_rejects_by_reason, p2_found, p2_key_stats, p2_key_quantiles)}
 
 # The parser's rules once more, as regular expressions over whole lines.
 _PARSE_SQL = r"""
@@ -115,4 +120,8 @@ o AS (SELECT side, key_id, v AS value_mode FROM m QUALIFY row_number() OVER (PAR
 SELECT v.side, v.key_id, CAST(count(*) AS BIGINT) AS n, CAST(count(v) AS BIGINT) AS n_values, sum(v) AS value_sum, avg(v) AS value_mean,
   CAST(count(DISTINCT v) AS BIGINT) AS n_distinct, any_value(o.value_mode) AS value_mode, quantile_disc(v, 0.5) AS value_median
 FROM v LEFT JOIN o ON v.side = o.side AND v.key_id = o.key_id GROUP BY ALL""",
+    "p2_key_quantiles": """
+WITH k AS (SELECT 'row' AS side, row_idx AS key_id, value FROM ratings UNION ALL SELECT 'col', col_idx, value FROM ratings),
+v AS (SELECT side, key_id, CAST(value AS DOUBLE) AS v FROM k WHERE key_id IS NOT NULL AND NOT isnan(value))
+SELECT side, key_id, min(v) AS q0, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q2, max(v) AS q3 FROM v GROUP BY ALL""",
 }
