@@ -41,6 +41,20 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("side", "id", "nbr", F.round("cos", 6).alias("cos"), "rank")
 
 
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar vectors of the asking ids through the index, without a threshold."""
+    near = similar_vectors.similar_vectors(_factors(spark, sf_dir), k=10, asks=F.col("id") % ASK_EVERY == 0)
+    return near.select("side", "id", "nbr", F.round("cos", 6).alias("cos"), "rank")
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the 10 true neighbours of the asking ids the index finds, per side."""
+    true = p4_neighbours(spark, sf_dir).select("side", "id", "nbr")
+    found = p4_nearest(spark, sf_dir).select("side", "id", "nbr", F.lit(1).alias("hit"))
+    both = true.join(found, ["side", "id", "nbr"], "left").groupBy("side")
+    return both.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = term_counts.mark_terms(table(spark, sf_dir, "sparse_blocks"))
     return marked.where(F.col("mark").isNotNull()).select("term_id", "mark")
@@ -87,7 +101,7 @@ def p8_by_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_sample, p3_cells, p3_grown_cells, p4_found, p4_neighbours, p5_found, p5_counts, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_rates, p8_by_evidence)
+    for f in (p3_sample, p3_cells, p3_grown_cells, p4_found, p4_neighbours, p4_nearest, p4_recall, p5_found, p5_counts, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_rates, p8_by_evidence)
 }
 
 _SAMPLED = """

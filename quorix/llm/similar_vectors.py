@@ -5,7 +5,8 @@ quantisation error is kept. Cells around centroids (fitted on a bounded sample)
 vector is compared with its own cell and the next nearest ones. How many is measured before: some vectors
 are compared with all, and as many cells are taken as their true neighbours need for the recall that is
 asked for. Inside a cell, tiles of integer products give each pair's cosine with a proven error bound; pairs whose upper bound reaches the threshold and the
-k-th best lower bound survive, are recomputed from the float vectors and merged per vector.
+k-th best lower bound survive (heaps of the k best per vector, in both directions where all rows ask), are
+recomputed from the float vectors and merged per vector.
 """
 
 from __future__ import annotations
@@ -244,7 +245,7 @@ def _assign(batches: Iterator[pa.RecordBatch], plans: dict[str, _Cells], dim: in
                 cell.append(home[sel, rank])
                 tb.append(np.zeros(len(sel), np.int64))
                 tq.append(np.zeros(len(sel), np.int64))
-                role.append(base * 1 + asks[sel] * 2)
+                role.append(base * 1 + asks[sel] * (6 if base else 2))
                 # large cells: a grid of tiles; a base row meets all query tiles of its base tile and vice versa
                 many = np.nonzero(~one)[0]
                 if base and len(many):
@@ -261,7 +262,7 @@ def _assign(batches: Iterator[pa.RecordBatch], plans: dict[str, _Cells], dim: in
                     cell.append(home[sel, rank])
                     tb.append(_ranks(tiles[many]))
                     tq.append(_mix(ids[sel], 2) % q_tiles[sel])
-                    role.append(np.full(len(sel), 2))
+                    role.append(np.full(len(sel), 6 if base else 2))
             p = np.concatenate(pick)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(code.tobytes())])
             yield pa.RecordBatch.from_arrays(
@@ -285,10 +286,8 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def tile_pairs(
-    q_ids: np.ndarray, q: tuple[np.ndarray, np.ndarray, np.ndarray], b_ids: np.ndarray, b: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, min_cos: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Surviving (query row, base row, lower, upper) of one tile.
+def bounds(q: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the cosines of two sets of codes with scales and errors.
 
     The product of int8 codes is exact in float32 (48 * 127**2 < 2**24). With unit vectors the error of
     the rebuilt cosine is at most e_q + e_b + e_q * e_b.
@@ -297,18 +296,79 @@ def tile_pairs(
     s *= q[1][:, None]
     s *= b[1][None, :]
     bound = q[2][:, None] + b[2][None, :] * (1 + q[2][:, None]) + np.float32(1e-6)
-    lower = s - bound
+    return s - bound, s + bound
+
+
+def best_lower(lower: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k best lower bounds in no order, over ids and not over rows: an id's rows would fill the places of others."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.nonzero(np.diff(ids[order], prepend=ids[order][:1] - 1))[0]
+    per_id = lower if len(starts) == len(ids) else np.maximum.reduceat(lower[:, order], starts, axis=1)
+    n = per_id.shape[1]
+    if n < k:
+        return np.concatenate([per_id, np.full((len(per_id), k - n), -np.inf, np.float32)], axis=1)
+    return np.partition(per_id, n - k, axis=1)[:, n - k :]
+
+
+def _floors(lower: np.ndarray, hits: np.ndarray, ids: np.ndarray, k: int, min_cos: float) -> np.ndarray:
+    """What a row's upper bounds must reach: the threshold and, where more than k reach it, the k-th best lower bound."""
+    floor = np.full(len(lower), min_cos, np.float32)
+    crowded = np.nonzero(hits.sum(1) > k)[0]
+    if len(crowded):
+        floor[crowded] = np.maximum(floor[crowded], best_lower(lower[crowded], ids, k).min(1))
+    return floor
+
+
+def tile_pairs(
+    q_ids: np.ndarray, q: tuple[np.ndarray, np.ndarray, np.ndarray], b_ids: np.ndarray, b: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, min_cos: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Surviving (query row, base row, lower, upper) of one tile."""
+    lower, upper = bounds(q, b)
     lower[q_ids[:, None] == b_ids[None, :]] = -np.inf
-    floor = np.full(len(q_ids), min_cos, np.float32)
-    # the k-th best is one of ids, not of rows: an id's rows would fill the places of others
-    order = np.argsort(b_ids, kind="stable")
-    starts = np.nonzero(np.diff(b_ids[order], prepend=b_ids[order][:1] - 1))[0]
-    per_id = lower if len(starts) == len(b_ids) else np.maximum.reduceat(lower[:, order], starts, axis=1)
-    if per_id.shape[1] > k:
-        floor = np.maximum(floor, np.partition(per_id, per_id.shape[1] - k, axis=1)[:, per_id.shape[1] - k])
-    s += bound
-    i, j = np.nonzero((s >= floor[:, None]) & np.isfinite(lower))
-    return i, j, lower[i, j], s[i, j]
+    hits = (upper >= min_cos) & np.isfinite(lower)
+    i, j = np.nonzero(hits & (upper >= _floors(lower, hits, b_ids, k, min_cos)[:, None]))
+    return i, j, lower[i, j], upper[i, j]
+
+
+class _Heaps:
+    """The k best lower bounds of each base row over all asking rows of a tile that visit its cell.
+
+    A vector that many others find near would otherwise answer each of them. Slices come one after the
+    other, each with all rows of its ids; what later slices make hopeless is dropped at the end.
+    """
+
+    def __init__(self, n: int, k: int, min_cos: float) -> None:
+        self.best, self.k, self.min_cos = np.full((n, k), -np.inf, np.float32), k, min_cos
+        self.kept: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, lower: np.ndarray, upper: np.ndarray, ids: np.ndarray) -> None:
+        hits = (upper >= self.min_cos) & np.isfinite(lower)
+        met = np.nonzero(hits.any(0))[0]
+        if not len(met):
+            return
+        low, up, hits = lower[:, met].T, upper[:, met].T, hits[:, met].T
+        both = np.concatenate([self.best[met], best_lower(low, ids, self.k)], axis=1)
+        self.best[met] = np.partition(both, self.k, axis=1)[:, self.k :]
+        j, i = np.nonzero(hits & (up >= self.best[met].min(1)[:, None]))
+        self.kept.append((met[j], ids[i], low[j, i], up[j, i]))
+
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        """(base row, id of the asking row, lower, upper)"""
+        if not self.kept:
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.float32)
+        row, ids, low, up = (np.concatenate(x) for x in zip(*self.kept))
+        good = up >= self.best.min(1)[row]
+        return row[good], ids[good], low[good], up[good]
+
+
+def _slices(ids: np.ndarray, size: int) -> Iterator[slice]:
+    """Slices of about `size` rows of sorted ids; the rows of an id stay together."""
+    a = 0
+    while a < len(ids):
+        b = len(ids) if a + size >= len(ids) else int(np.searchsorted(ids, ids[a + size]))
+        b = b if b > a else int(np.searchsorted(ids, ids[a], side="right"))
+        yield slice(a, b)
+        a = b
 
 
 def _compare(k: int, min_cos: float, dim: int, mutual: bool):  # noqa: ANN202
@@ -319,20 +379,25 @@ def _compare(k: int, min_cos: float, dim: int, mutual: bool):  # noqa: ANN202
         code = np.frombuffer(b"".join(group["code"].to_pylist()), np.int8).reshape(len(ids), dim)
         parts = (code, group["scale"].to_numpy(), group["err"].to_numpy())
         base, ask = np.nonzero(role & 1)[0], np.nonzero(role & 2)[0]
-        a, n, lo, up = [], [], [], []
-        for at in range(0, len(ask), 1024) if len(base) else ():
-            rows = ask[at : at + 1024]
-            i, j, lower, upper = tile_pairs(ids[rows], tuple(p[rows] for p in parts), ids[base], tuple(p[base] for p in parts), k, min_cos)
-            a.append(ids[rows][i])
-            n.append(ids[base][j])
-            lo.append(lower)
-            up.append(upper)
-        a, n = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (a, n))
-        lo, up = (np.concatenate(x) if x else np.empty(0, np.float32) for x in (lo, up))
-        if mutual:
-            a, n, lo, up = np.concatenate([a, n]), np.concatenate([n, a]), np.tile(lo, 2), np.tile(up, 2)
+        ask = ask[np.argsort(ids[ask], kind="stable")]
+        out, of_base = [], tuple(p[base] for p in parts)
+        heaps = _Heaps(len(base), k, min_cos)
+        for at in _slices(ids[ask], 1024) if len(base) else ():
+            rows = ask[at]
+            lower, upper = bounds(tuple(p[rows] for p in parts), of_base)
+            lower[ids[rows][:, None] == ids[base][None, :]] = -np.inf
+            hits = (upper >= min_cos) & np.isfinite(lower)
+            i, j = np.nonzero(hits & (upper >= _floors(lower, hits, ids[base], k, min_cos)[:, None]))
+            out.append((ids[rows][i], ids[base][j], lower[i, j], upper[i, j]))
+            # rows at home in this cell are base rows, too, and ask for themselves
+            visits = np.nonzero(role[rows] & 4 == 0)[0]
+            if mutual and len(visits):
+                heaps.add(lower[visits], upper[visits], ids[rows[visits]])
+        row, other, low, up = heaps.pairs()
+        out.append((ids[base][row], other, low, up))
+        a, n, lo, up = (np.concatenate(x) for x in zip(*out))
         side = group["side"][0].as_py() if len(ids) else ""
-        return pa.Table.from_arrays([pa.array([side] * len(a), pa.string()), pa.array(a), pa.array(n), pa.array(lo), pa.array(up)], schema=schema)
+        return pa.Table.from_arrays([pa.array([side] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(lo, pa.float32()), pa.array(up, pa.float32())], schema=schema)
 
     return run
 
