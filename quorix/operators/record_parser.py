@@ -56,8 +56,8 @@ _STEP[BROKEN] = (BROKEN, BROKEN, BROKEN)
 # A value as a regular expression; Arrow runs it in linear time.
 _VALUE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _MAX_INDEX = 2147483647
-#: Bytes of a chunk; a line of more bytes has several, whose transitions are composed.
-CHUNK = 64
+#: Bytes of a chunk; a longer line has several, whose transitions are composed.
+CHUNK = 16
 
 
 def tokenize(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
