@@ -134,3 +134,34 @@ def test_versions_of_an_id_count_once_for_the_kth_bound():
     ids = np.concatenate([near, np.repeat(near[:3], 20)])
     _, j, _, _ = S.tile_pairs(np.array([-1]), S.quantise(u[:1]), ids, S.quantise(versions), 10, -1.0)
     assert set(near[:10].tolist()) <= set(ids[j].tolist())
+
+
+def test_a_hub_answers_its_own_k_only():
+    """Reverse pairs: the k nearest visiting rows of each base row, in slices of any size, with ids of several rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 48)).astype(np.float32)
+    x[1:] = 0.6 * x[1:] + x[0]  # all are near row 0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.repeat(np.arange(200), 2).astype(np.int32)
+    code = S.quantise(x)
+    heaps, base = S._Heaps(3, 5, -1.0), tuple(p[:3] for p in code)
+    for at in S._slices(ids[3:], 37):
+        rows = np.arange(3, 400)[at]
+        assert set(ids[rows]).isdisjoint(ids[np.setdiff1d(np.arange(3, 400), rows)])
+        heaps.add(*(m.copy() for m in S.bounds(tuple(p[rows] for p in code), base)), ids[rows])
+    row, other, low, up = heaps.pairs()
+    true = x[:3].astype(float) @ x[3:].T.astype(float)
+    for r in range(3):
+        best = {i: true[r][ids[3:] == i].max() for i in set(ids[3:].tolist())}
+        assert set(sorted(best, key=best.get)[-5:]) <= set(other[row == r].tolist())
+        assert 5 <= (row == r).sum() < 40 and (low[row == r] <= up[row == r]).all()
+
+
+def test_index_recall_of_a_query_set(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 32)
+    x = np.random.default_rng(9).normal(size=(3000, 48)).astype(np.float32)
+    x[:, 12:] *= 0.4
+    df = spark.createDataFrame([("r", i, [float(v) for v in r], "", "") for i, r in enumerate(x)], SCHEMA)
+    got = {(r.id, r.nbr) for r in S.similar_vectors(df, k=10, asks=F.col("id") % 20 == 0).select("id", "nbr").collect()}
+    want = {(i, j) for i, j in top_ten(x) if i % 20 == 0}
+    assert len(got & want) >= 0.9 * len(want)
