@@ -54,11 +54,14 @@ def curvature(x: Design, y: np.ndarray, w: np.ndarray, d: np.ndarray) -> float:
     return float((np.maximum(s * (1 - s), MIN_CURVATURE) * x.times(d) ** 2).sum())
 
 
-def conjugate_direction(g: np.ndarray, last_g: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Hestenes-Stiefel; falls back on the gradient where the denominator vanishes."""
+def conjugate_direction(g: np.ndarray, last_g: np.ndarray, d: np.ndarray, clip: float | None = None) -> np.ndarray:
+    """Hestenes-Stiefel, its factor within +-`clip`; falls back on the gradient where the denominator vanishes."""
     dg = g - last_g
     den = d @ dg
-    return g.copy() if abs(den) < 1e-300 else g - d * ((g @ dg) / den)
+    if abs(den) < 1e-300:
+        return g.copy()
+    beta = (g @ dg) / den
+    return g - d * (beta if clip is None else min(max(beta, -clip), clip))
 
 
 def quasi_newton_direction(g: np.ndarray, last_g: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -73,20 +76,34 @@ def quasi_newton_direction(g: np.ndarray, last_g: np.ndarray, step: np.ndarray)
     return -g + a_w * step + a_g * dg
 
 
-def solve_gradient(x: Design, y: np.ndarray, w: np.ndarray, prior: np.ndarray, lam: float, rounds: int, method: str, intercept: int = -1) -> np.ndarray:
+def objective(x: Design, y: np.ndarray, w: np.ndarray, prior: np.ndarray, shrink: np.ndarray | float, l1: float = 0.0) -> float:
+    """Penalised log-likelihood of a block: minus shrink/2 (w - prior)^2 and, elastic, l1 |w - prior|."""
+    d = w - prior
+    return log_likelihood(x, y, w) - float((np.asarray(shrink) / 2 * d * d).sum()) - l1 * float(np.abs(d).sum())
+
+
+def solve_gradient(
+    x: Design, y: np.ndarray, w: np.ndarray, prior: np.ndarray, lam: float, rounds: int, method: str, intercept: int = -1, clip: float | None = None, stop: float = 0.0
+) -> np.ndarray:
     """CG or one-pair quasi-Newton ascent to the penalised optimum around `prior`, with exact Newton step
-    length along the direction. The first two rounds are steepest ascent; the intercept isn't shrunk."""
+    length along the direction. The first two rounds are steepest ascent; the intercept isn't shrunk.
+    `clip` bounds the conjugate factor; `stop` ends once the objective changes by no more than it."""
     shrink = np.full(x.p, lam)
     if intercept >= 0:
         shrink[intercept] = 0.0
     w = w.astype(np.float64).copy()
-    last_g, d, step = None, None, None
+    last_g, d, step, last = None, None, None, None
     for t in range(rounds):
+        if stop > 0:
+            now = objective(x, y, w, prior, shrink)
+            if last is not None and abs(now - last) <= stop:
+                break
+            last = now
         g = gradient(x, y, w) - shrink * (w - prior)
         if t < 2:
             d = g
         elif method == "CG":
-            d = conjugate_direction(g, last_g, d)
+            d = conjugate_direction(g, last_g, d, clip)
         else:
             d = quasi_newton_direction(g, last_g, step)
         den = float(shrink @ d**2) + curvature(x, y, w, d)
@@ -116,6 +133,16 @@ def bound_terms(x: Design, y: np.ndarray, w: np.ndarray, bound: str, precision:
     return a, y / 2 - a * score
 
 
+def bound_objective(x: Design, y: np.ndarray, w: np.ndarray, bound: str, precision: np.ndarray | None = None) -> float:
+    """The log-likelihood's lower bound at its own expansion point: below it for JAAKKOLA with a spread, else equal to it."""
+    if bound != "JAAKKOLA":
+        return log_likelihood(x, y, w)
+    score = x.times(w)
+    spread = np.bincount(x.rows, x.vals**2 / precision[x.cols], x.n) if precision is not None else 0.0
+    xi = np.sqrt(score**2 + spread)
+    return float((-np.log1p(np.exp(-xi)) + (y * score - xi) / 2).sum())
+
+
 def solve_cd(
     x: Design,
     y: np.ndarray,
@@ -128,17 +155,25 @@ def solve_cd(
     em_bayes: bool = False,
     ard: bool = False,
     l1: float = 0.0,
+    stop: float = 0.0,
 ) -> tuple[np.ndarray, float | np.ndarray, float]:
     """Coordinate descent on the bound; returns (w, gamma, gamma * squared error).
 
     prec = sum a x^2 + rho gamma + 1e-5; w = (sum x (r + a w x) + rho gamma prior) / prec. With `em_bayes`
     gamma = (.005 + p) / (.005 + rho * SE), SE = sum((w - prior)^2 + 1 / prec); with `ard` one gamma per
-    feature. `l1` adds an L1 dead zone around the prior (elastic net).
+    feature. `l1` adds an L1 dead zone around the prior (elastic net). `stop` ends once the log-likelihood
+    changes by no more than it.
     """
     w = w.astype(np.float64).copy()
     prec = np.ones(x.p)
     se = np.zeros(x.p)
+    last = None
     for _ in range(rounds):
+        if stop > 0:
+            now = log_likelihood(x, y, w)
+            if last is not None and abs(now - last) <= stop:
+                break
+            last = now
         a, r = bound_terms(x, y, w, bound, prec)
         reg = rho * (np.asarray(gamma, np.float64) if ard else np.full(x.p, float(gamma)))
         for j in range(x.p):
@@ -163,20 +198,46 @@ def solve_cd(
     return w, gamma, float((np.asarray(gamma) * se).sum())
 
 
-def solve_t_prior(x: Design, y: np.ndarray, w: np.ndarray, prior: np.ndarray, rounds: int, rho: float, dof: float = 4.0, intercept: int = -1) -> np.ndarray:
-    """CG under a heavy-tailed t prior, as re-weighted Gaussian priors: far weights are pulled less."""
-    for _ in range(max(1, rounds)):
-        shrink = rho * (dof + 1) / (dof + rho * (w - prior) ** 2)
-        if intercept >= 0:
-            shrink[intercept] = 0.0
-        g = gradient(x, y, w) - shrink * (w - prior)
-        den = float(shrink @ g**2) + curvature(x, y, w, g)
-        if den <= 0:
+def solve_t_prior(
+    x: Design, y: np.ndarray, w: np.ndarray, prior: np.ndarray, rounds: int, shape: float, scale: float = 1.0, stop: float = 0.0, intercept: int = -1
+) -> np.ndarray:
+    """CG under a heavy-tailed t prior of the whole difference from `prior`.
+
+    The log prior is -(shape + p/2) log(1 + R / (2 scale)), R the squared residual; it acts like a Gaussian prior of
+    the weight (shape + p/2) / (scale + R/2), less its change along the direction. The intercept is free.
+    """
+    free = np.ones(x.p)
+    if intercept >= 0:
+        free[intercept] = 0.0
+    w = w.astype(np.float64).copy()
+    half = shape + x.p / 2
+    last_g, d, last = None, None, None
+    for _ in range(rounds):
+        diff = free * (w - prior)
+        r = float(diff @ diff)
+        if stop > 0:
+            now = log_likelihood(x, y, w) - half * np.log1p(r / (2 * scale))
+            if last is not None and abs(now - last) <= stop:
+                break
+            last = now
+        weight = half / (scale + r / 2)
+        g = gradient(x, y, w) - weight * diff
+        d = g if d is None else conjugate_direction(g, last_g, d)
+        last_g = g
+        along = float(d @ diff)
+        den = curvature(x, y, w, d) + weight * (float(free @ d**2) - along * along / (scale + r / 2))
+        if den <= 0 or not np.isfinite(den):
             break
-        w = w + g * ((g @ g) / den)
+        w += d * ((g @ d) / den)
     return w
 
 
+def t_weight(w: np.ndarray, prior: np.ndarray, shape: float, scale: float) -> tuple[float, float]:
+    """(weight of the Gaussian prior that a t prior acts like at w, squared residual)."""
+    r = float(((w - prior) ** 2).sum())
+    return (shape + len(w) / 2) / (scale + r / 2), r
+
+
 def global_scalar(local: np.ndarray, eta: np.ndarray, gamma: np.ndarray, lam: float) -> float:
     """argmin over w of sum eta_k |w - w_k| + gamma_k / 2 (w - w_k)^2 + lam / 2 w^2, by search over the breakpoints."""
     order = np.argsort(local, kind="stable")

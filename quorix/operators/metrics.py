@@ -1,12 +1,11 @@
-"""Evaluation metrics and exact one-step algebra of logistic regression and factorizations, as DataFrames.
+"""Evaluation metrics as DataFrames. Training and queries use the same ones.
 
-Logistic data are exploded rows (row_id, label, feature, value); weights are (feature, w). Features without
-weight count 0 and a weight without data is ignored.
+Scored rows are (label, score); predicted rows have value and pred.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorix.functions import exprs
@@ -14,127 +13,72 @@ from quorix.functions import exprs
 THRESHOLDS = 500
 
 
-def scores(data: DataFrame, weights: DataFrame, key: str = "row_id") -> DataFrame:
-    """(row_id, label, score): w . x; rows whose features all lack a weight score 0."""
-    joined = data.join(weights.select("feature", "w"), "feature", "left")
-    return joined.groupBy(key, "label").agg(F.sum(F.coalesce(F.col("w") * F.col("value"), F.lit(0.0))).alias("score"))
+def margins(scored: DataFrame) -> DataFrame:
+    return scored.select(*(c for c in scored.columns if c != "score"), (F.col("label") * F.col("score")).alias("margin"))
 
 
-def margins(data: DataFrame, weights: DataFrame, key: str = "row_id") -> DataFrame:
-    return scores(data, weights, key).select(key, "label", (F.col("label") * F.col("score")).alias("margin"))
+def score_histogram(scored: DataFrame, thresholds: int = THRESHOLDS) -> DataFrame:
+    """(b, pos, neg, llh): rows by the number of thresholds (i - 1) / 500 they exceed, with their log-likelihood.
 
-
-def gradient(data: DataFrame, weights: DataFrame, key: str = "row_id") -> DataFrame:
-    """(feature, g): sum over rows of y (1 - sigmoid(margin)) x."""
-    m = margins(data, weights, key).select(key, "label", (F.col("label") * (1 - exprs.sigmoid(F.col("margin")))).alias("r"))
-    return data.join(m, [key, "label"]).groupBy("feature").agg(F.sum(F.col("r") * F.col("value")).alias("g"))
-
-
-def curvature(data: DataFrame, weights: DataFrame, direction: DataFrame, key: str = "row_id") -> DataFrame:
-    """One row, h: sum over rows of max(s (1 - s), 1e-5) (d . x)^2 with s the sigmoid of the margin."""
-    both = weights.select("feature", "w").join(direction.select("feature", "d"), "feature", "full")
-    sums = data.join(both, "feature", "left").groupBy(key, "label").agg(
-        F.sum(F.coalesce(F.col("w") * F.col("value"), F.lit(0.0))).alias("wx"), F.sum(F.coalesce(F.col("d") * F.col("value"), F.lit(0.0))).alias("dx")
-    )
-    s = exprs.sigmoid(F.col("label") * F.col("wx"))
-    return sums.agg(F.sum(F.greatest(s * (1 - s), F.lit(1e-5)) * F.col("dx") * F.col("dx")).alias("h"))
-
-
-def llh(data: DataFrame, weights: DataFrame, key: str = "row_id") -> DataFrame:
-    return margins(data, weights, key).agg(F.sum(exprs.log_likelihood(F.col("margin"))).alias("llh"))
-
-
-def objective(data: DataFrame, weights: DataFrame, lam: float, regularizer: str = "L2", key: str = "row_id") -> DataFrame:
-    """One row: negative log-likelihood plus lam |w| or lam/2 |w|^2."""
-    penalty = F.sum(F.abs("w")) * lam if regularizer == "L1" else F.sum(F.col("w") * F.col("w")) * (lam / 2)
-    reg = weights.agg(F.coalesce(penalty, F.lit(0.0)).alias("penalty"))  # one row
-    return llh(data, weights, key).crossJoin(F.broadcast(reg)).select((-F.col("llh") + F.col("penalty")).alias("objective"))
-
-
-def auc500(scored: DataFrame, thresholds: int = THRESHOLDS) -> DataFrame:
-    """One row, auc: trapezoid over the thresholds (i - 1) / 500.
-
-    Each row falls into the bucket of thresholds it exceeds; a histogram of at most 501 rows carries the
-    rest, so the data pass is one partial aggregation. Null where one class is missing.
+    At most 501 rows carry all metrics, so the data pass is one partial aggregation.
     """
-    p = exprs.sigmoid(F.col("score"))
-    # thresholds exceeded: those t_i = (i - 1) / n with p > t_i; i runs from 0 to n
-    passed = F.ceil(p * F.lit(thresholds)) + 1
-    hist = scored.groupBy(F.least(passed, F.lit(thresholds + 1)).alias("b")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    return auc_from_histogram(hist)
+    passed = F.least(F.ceil(exprs.sigmoid(F.col("score")) * F.lit(thresholds)) + 1, F.lit(thresholds + 1))
+    return scored.groupBy(passed.alias("b")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"), F.sum(exprs.log_likelihood(F.col("label") * F.col("score"))).alias("llh")
+    )
 
 
 def auc_from_histogram(hist: DataFrame) -> DataFrame:
-    """auc of (b, pos, neg), b the number of thresholds exceeded; equal buckets form one trapezoid."""
+    """One row (auc, llh) of a score histogram; equal buckets form one trapezoid. auc is null where one class is missing."""
     w = Window.orderBy(F.desc("b"))  # at most 501 rows
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = hist.select("b", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"), F.sum("pos").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_pos"), F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_neg"))
+    up, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = hist.select("b", "llh", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"), F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"))
     prev = rows.withColumns({"tp0": F.lag("tp", 1, 0).over(w), "fp0": F.lag("fp", 1, 0).over(w)})
     area = (F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0
-    return prev.agg((F.sum(area) / F.when((F.max("n_pos") > 0) & (F.max("n_neg") > 0), F.max("n_pos") * F.max("n_neg"))).alias("auc"))
+    both = F.when((F.max("n_pos") > 0) & (F.max("n_neg") > 0), F.max("n_pos") * F.max("n_neg"))
+    return prev.agg((F.sum(area) / both).alias("auc"), F.coalesce(F.sum("llh"), F.lit(0.0)).alias("llh"))
 
 
-def weight_norms(weights: DataFrame) -> DataFrame:
-    return weights.agg(F.sum(F.abs("w")).alias("l1"), F.sum(F.col("w") * F.col("w")).alias("l2"))
+def auc500(scored: DataFrame) -> DataFrame:
+    """One row, auc: trapezoid over the 500 thresholds."""
+    return auc_from_histogram(score_histogram(scored)).select("auc")
 
 
-def predictions(ratings: DataFrame, row_factors: DataFrame, col_factors: DataFrame) -> DataFrame:
-    """ratings with `pred`; an id without factor counts as the zero vector."""
-    r = row_factors.select(F.col("id").alias("row"), F.col("f").alias("fr"))
-    c = col_factors.select(F.col("id").alias("col"), F.col("f").alias("fc"))
-    dot = F.aggregate(F.zip_with("fr", "fc", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return ratings.join(r, "row", "left").join(c, "col", "left").withColumn("pred", F.coalesce(dot, F.lit(0.0))).drop("fr", "fc")
-
-
-def rmse(predicted: DataFrame, scale: float = 1.0) -> DataFrame:
-    d = F.col("pred") - F.col("value")
-    return predicted.agg((F.sqrt(F.avg(d * d)) * F.lit(scale)).alias("rmse"))
-
-
-def squared_error(predicted: DataFrame) -> DataFrame:
-    d = F.col("pred") - F.col("value")
-    return predicted.agg(F.sum(d * d).alias("se"), F.count(F.lit(1)).alias("n"))
+def weight_norms(weights: DataFrame) -> DataFrame:
+    """One row (l1, l2): sum of absolute weights and of their squares."""
+    return weights.agg(F.coalesce(F.sum(F.abs("w")), F.lit(0.0)).alias("l1"), F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0)).alias("l2"))
 
 
-def als_normal_equations(ratings: DataFrame, col_factors: DataFrame) -> DataFrame:
-    """(row, a, b, xtx), a <= b, and b = -1 for the right-hand side: the normal equations of one ALS half-step.
+def evaluation(scored: DataFrame, weights: DataFrame, lam: float, regularizer: str = "L2") -> DataFrame:
+    """One row (auc, llh, objective); the objective is the negative log-likelihood plus lam |w| or lam/2 |w|^2."""
+    penalty = F.col("l1") * lam if regularizer == "L1" else F.col("l2") * (lam / 2)
+    found = auc_from_histogram(score_histogram(scored)).crossJoin(F.broadcast(weight_norms(weights)))  # one row each
+    return found.select("auc", "llh", (penalty - F.col("llh")).alias("objective"))
 
-    Built from exploded products, so a hot row is summed partially in every task.
-    """
-    c = col_factors.select(F.col("id").alias("col"), "f")
-    joined = ratings.select("row", "col", "value").join(c, "col")
-    k = F.posexplode("f").alias("a", "fa")
-    left = joined.select("row", "value", "f", k)
-    terms = F.concat(
-        F.array(F.struct(F.lit(-1).alias("b"), (F.col("fa") * F.col("value")).cast("double").alias("v"))),
-        F.filter(F.transform("f", lambda x, i: F.struct(i.alias("b"), (F.col("fa") * x).cast("double").alias("v"))), lambda e: e["b"] >= F.col("a")),
-    )
-    return left.select("row", "a", F.inline(terms)).groupBy("row", "a", "b").agg(F.sum("v").alias("xtx"))
 
+def predicted(data: DataFrame, factors: DataFrame, dims: int) -> DataFrame:
+    """`data` (c0, c1[, c2], value) with `pred`, the product of the ids' factors (dim, id, f); an id without factor is the zero vector."""
+    joined = data
+    for d in range(dims):
+        joined = joined.join(factors.where(F.col("dim") == d).select(F.col("id").alias(f"c{d}"), F.col("f").alias(f"f{d}")), f"c{d}", "left")
+    p = F.transform("f0", lambda x: x.cast("double"))
+    for d in range(1, dims):
+        p = F.zip_with(p, F.col(f"f{d}"), lambda x, y: x * y.cast("double"))
+    dot = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    return joined.withColumn("pred", F.coalesce(dot, F.lit(0.0))).drop(*(f"f{d}" for d in range(dims)))
 
-def consensus_factors(stats: DataFrame, lam: float, regularizer: str = "L2") -> DataFrame:
-    """(id, k, f): global factor elements from block statistics (id, block, num, den).
-
-    An id in at most one block gets 0; else L2 num / (den + lam) or L1 soft(num, lam) / den.
-    """
-    from quorix.operators.counts import keyed_vector_sums
-
-    sums = keyed_vector_sums(stats, ["id"])
-    prox = exprs.l1_prox(F.col("num"), F.col("den"), lam) if regularizer == "L1" else exprs.l2_prox(F.col("num"), F.col("den"), lam)
-    return sums.select("id", "k", F.when(F.col("n_blocks") <= 1, F.lit(0.0)).otherwise(prox).alias("f"))
 
+def predictions(ratings: DataFrame, row_factors: DataFrame, col_factors: DataFrame) -> DataFrame:
+    """ratings (row, col, ...) with `pred`."""
+    both = row_factors.select(F.lit(0).alias("dim"), "id", "f").unionByName(col_factors.select(F.lit(1).alias("dim"), "id", "f"))
+    return predicted(ratings.withColumnsRenamed({"row": "c0", "col": "c1"}), both, 2).withColumnsRenamed({"c0": "row", "c1": "col"})
 
-def lda_log_likelihood(docs: DataFrame, topics: DataFrame, gammas: DataFrame) -> DataFrame:
-    """One row (llh, tokens, perplexity): sum of count * log(theta . beta) for given gamma and eta.
 
-    `docs` (doc_id, word, count), `gammas` (doc_id, topic, gamma), `topics` (topic, word, eta). Words without
-    topic weight are left out.
-    """
-    theta = gammas.select("doc_id", "topic", (F.col("gamma") / F.sum("gamma").over(Window.partitionBy("doc_id"))).alias("theta"))
-    beta = topics.select("topic", "word", (F.col("eta") / F.sum("eta").over(Window.partitionBy("topic"))).alias("beta"))
-    p = docs.join(beta, "word").join(theta, ["doc_id", "topic"]).groupBy("doc_id", "word", "count").agg(F.sum(F.col("theta") * F.col("beta")).alias("p"))
-    return p.agg(F.sum(F.col("count") * F.log("p")).alias("llh"), F.sum("count").alias("tokens")).withColumn("perplexity", F.exp(-F.col("llh") / F.col("tokens")))
+def squared_error(predicted: DataFrame) -> DataFrame:
+    """One row (se, n)."""
+    d = F.col("pred") - F.col("value")
+    return predicted.agg(F.sum(d * d).alias("se"), F.count(F.lit(1)).alias("n"))
 
 
-def soft(x: Column, lam: float) -> Column:
-    return F.when(x > lam, x - lam).when(x < -lam, x + lam).otherwise(F.lit(0.0))
+def rmse(predicted: DataFrame, scale: float = 1.0) -> DataFrame:
+    return squared_error(predicted).select((F.sqrt(F.col("se") / F.col("n")) * F.lit(scale)).alias("rmse"))

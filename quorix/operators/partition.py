@@ -59,8 +59,9 @@ def hash_split(df: DataFrame, key: str, train: float, seed: int = 0) -> tuple[Da
     return df.where(u < train), df.where(u >= train)
 
 
-def bernoulli(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    return df.sample(False, fraction, seed)
+def bernoulli(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
+    """A Bernoulli sample by a hash of the key: the same in every run and partitioning."""
+    return hash_split(df, key, fraction, seed)[0]
 
 
 def dense_index(df: DataFrame, key: str, into: str = "index") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorix.functions import exprs as X
 from quorix.functions import vectors as V
+from quorix.models.lr import Blocks
 from quorix.operators import counts as N
 from quorix.operators import metrics as M
 from quorix.operators import partition as P
@@ -56,15 +57,6 @@ def clicks(spark: SparkSession, d: str) -> DataFrame:
 _CLICKS = "c AS (SELECT user_id, event_type, ts, value, CAST(event_type = 'click' AS INTEGER) AS clicks, CAST(event_type IN ('click', 'view') AS INTEGER) AS impressions FROM events)"
 
 
-def lr_rows(spark: SparkSession, d: str) -> DataFrame:
-    """(row_id, label, feature, value): embeddings, label 0 against the rest, intercept 0."""
-    e = table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
-    label = F.when(F.col("label") == 0, 1).otherwise(-1)
-    idx = F.sequence(F.lit(0), F.size("embedding"))
-    val = F.concat(F.array(F.lit(1.0)), F.col("embedding").cast("array<double>"))
-    return T.explode_vectors(e.select(F.col("vec_id").alias("row_id"), label.alias("label"), idx.alias("idx"), val.alias("val")))
-
-
 def lr_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
     label = F.when(F.col("label") == 0, 1).otherwise(-1)
@@ -75,7 +67,11 @@ def lr_vectors(spark: SparkSession, d: str) -> DataFrame:
 def lr_weights(spark: SparkSession, d: str) -> DataFrame:
     """Closed-form start: mean difference of both classes per feature."""
     pos, neg = (F.avg(F.when(F.col("label") == s, F.col("value"))) for s in (1, -1))
-    return lr_rows(spark, d).groupBy("feature").agg((pos - neg).alias("w"))
+    return T.explode_vectors(lr_vectors(spark, d)).groupBy("feature").agg((pos - neg).alias("w"))
+
+
+def lr_blocks(spark: SparkSession, d: str) -> Blocks:
+    return Blocks.of(lr_vectors(spark, d), 4)
 
 
 _LR = """x AS (SELECT row_id, label, feature, value FROM (
@@ -435,30 +431,34 @@ def clamps(spark: SparkSession, d: str) -> DataFrame:
 # --- logistic regression at fixed weights -----------------------------------------------------------
 
 
+def _lr_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    w = lr_weights(spark, d)
+    return M.evaluation(lr_blocks(spark, d).scores(w), w, 1.0)
+
+
 @query(f"WITH {_LR} SELECT row_id, label, round(margin, 6) AS margin FROM m")
 def lr_margin(spark: SparkSession, d: str) -> DataFrame:
-    return M.margins(lr_rows(spark, d), lr_weights(spark, d)).withColumn("margin", F.round("margin", 6))
+    return M.margins(lr_blocks(spark, d).scores(lr_weights(spark, d))).withColumn("margin", F.round("margin", 6))
 
 
 @query(f"WITH {_LR} SELECT CAST(feature AS INTEGER) AS feature, round(sum(m.label * (1 - sg) * value), 5) AS g FROM x JOIN m USING (row_id) GROUP BY feature")
 def lr_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return M.gradient(lr_rows(spark, d), lr_weights(spark, d)).withColumn("g", F.round("g", 5))
+    return lr_blocks(spark, d).gradient(lr_weights(spark, d)).withColumn("g", F.round("g", 5))
 
 
 @query(f"WITH {_LR} SELECT round(sum(greatest(sg * (1 - sg), 1e-5) * score * score), 5) AS h FROM m")
 def lr_curvature(spark: SparkSession, d: str) -> DataFrame:
-    w = lr_weights(spark, d)
-    return M.curvature(lr_rows(spark, d), w, w.select("feature", F.col("w").alias("d"))).withColumn("h", F.round("h", 5))
+    return lr_blocks(spark, d).curvature(lr_weights(spark, d).withColumn("d", F.col("w"))).withColumn("h", F.round("h", 5))
 
 
 @query(f"WITH {_LR} SELECT round(sum(CASE WHEN margin > -10 THEN -ln(1 + exp(-margin)) ELSE margin END), 5) AS llh FROM m")
 def lr_llh(spark: SparkSession, d: str) -> DataFrame:
-    return M.llh(lr_rows(spark, d), lr_weights(spark, d)).withColumn("llh", F.round("llh", 5))
+    return _lr_evaluation(spark, d).select(F.round("llh", 5).alias("llh"))
 
 
 @query(f"WITH {_LR} SELECT round(sum(CASE WHEN margin > -10 THEN ln(1 + exp(-margin)) ELSE -margin END) + 0.5 * (SELECT sum(w * w) FROM w), 5) AS objective FROM m")
 def lr_objective(spark: SparkSession, d: str) -> DataFrame:
-    return M.objective(lr_rows(spark, d), lr_weights(spark, d), 1.0).withColumn("objective", F.round("objective", 5))
+    return _lr_evaluation(spark, d).select(F.round("objective", 5).alias("objective"))
 
 
 @query(f"""WITH {_LR}, p AS (SELECT label, CASE WHEN score < -10 THEN 4.5398e-05 WHEN score > 10 THEN 1 - 1e-05 ELSE 1 / (1 + exp(-score)) END AS p FROM s),
@@ -466,7 +466,7 @@ i AS (SELECT unnest(range(0, 502)) AS i), c AS (SELECT i, avg(CAST(p > (i - 1) /
 z AS (SELECT *, lead(tpr, 1, 0) OVER (ORDER BY i) AS t0, lead(fpr, 1, 0) OVER (ORDER BY i) AS f0 FROM c)
 SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM z""")
 def lr_auc500(spark: SparkSession, d: str) -> DataFrame:
-    return M.auc500(M.scores(lr_rows(spark, d), lr_weights(spark, d))).withColumn("auc", F.round("auc", 6))
+    return _lr_evaluation(spark, d).select(F.round("auc", 6).alias("auc"))
 
 
 # --- topic model at fixed parameters ----------------------------------------------------------------

@@ -34,7 +34,10 @@ class Bound(str, Enum):
 
 
 class Loss(str, Enum):
+    """Losses by name. Logistic regression has LOGISTIC, factorizations SQUARE; no model has HINGE."""
+
     LOGISTIC = "LOGISTIC"
+    HINGE = "HINGE"
     SQUARE = "SQUARE"
 
 
@@ -72,7 +75,12 @@ class LdaStrategy(str, Enum):
 
 @dataclass(frozen=True)
 class LrParams:
-    """Options of a logistic regression run. `optimizer` None: CD for block strategies, CG for dGM."""
+    """Options of a logistic regression run. `optimizer` None: CD for block strategies, CG for dGM.
+
+    `ard`: one precision per feature (hMEM, hecMEM). `elastic`: L1 distance from the prior beside the squared one (CD), and
+    its global step (hMEM, hecMEM). `t_prior`: (shape, scale) of a heavy-tailed prior (block strategies with CG). `clip`:
+    bound of the conjugate factor of CG. `inner_stop`: ends a block's rounds when its likelihood or objective stands still.
+    """
 
     strategy: LrStrategy = LrStrategy.ADMM
     optimizer: Optimizer | None = None
@@ -86,7 +94,13 @@ class LrParams:
     gamma: float = 1.0
     subsample: float = 0.1
     stop_auc: float = 1e-6
+    target_auc: float = 1.0
     include_dual: bool = False
+    ard: bool = False
+    elastic: float = 0.0
+    t_prior: tuple[float, float] | None = None
+    clip: float | None = None
+    inner_stop: float = 0.0
     seed: int = 0
 
     def resolved(self) -> Optimizer:
@@ -97,6 +111,10 @@ class LrParams:
             if opt is Optimizer.CD:
                 raise ValueError("dGM needs CG or LBFGS")
             return opt or Optimizer.CG
+        if self.ard and strategy not in (LrStrategy.HMEM, LrStrategy.HECMEM):
+            raise ValueError("ard needs hMEM or hecMEM")
+        if self.t_prior is not None and opt is not Optimizer.CG:
+            raise ValueError("t_prior needs CG")
         if strategy in (LrStrategy.MEM, LrStrategy.HMEM, LrStrategy.HECMEM):
             if opt not in (None, Optimizer.CD):
                 raise ValueError(f"{strategy.value} needs CD")
@@ -118,6 +136,7 @@ class MfParams:
     inner: int = 3
     reg: float = 0.0
     gamma: float = 1.0
+    gamma_cols: float | None = None
     weighted: bool = False
     em_bayes: bool = False
     vb: bool = False
