@@ -69,7 +69,3 @@ def max_norm(num: Column, den: Column, lam: float) -> Column:
     v = F.zip_with(num, den, lambda n, d: F.when(d == 0, F.lit(0.0)).otherwise(n / d))
     sq = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     return F.transform(v, lambda x: F.when(sq > lam, x * F.sqrt(F.lit(lam) / sq)).otherwise(x))
-
-
-def dual_ascent(lag: Column, local: Column, prior: Column) -> Column:
-    return lag + local - prior

@@ -16,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorix.functions import exprs
+from quorix.operators import metrics
+from quorix.operators.counts import keyed_vector_sums
+
 STATE_DDL = "block int, dim int, id int, f array<double>, prec array<double>, lag array<double>, gamma array<double>, n_obs double, se double"
 _LIST = pa.list_(pa.float64())
 _STATE = pa.schema(
@@ -131,46 +135,45 @@ def block_step(data: DataFrame, state: DataFrame, factors: DataFrame, run: Calla
     return data.groupBy("block").cogroup(routed.groupBy("block")).applyInArrow(run, STATE_DDL)
 
 
-def global_step(state: DataFrame, *, lam: float, regularizer: str, dual: bool, weighted: bool, plain: bool, own_only: Column) -> DataFrame:
+def global_step(state: DataFrame, *, lam: float, regularizer: str, dual: bool, weighted: bool, plain: bool, own_only: Column, blocks: bool = False) -> DataFrame:
     """(dim, id, f): sums of gamma (f [+ lag]) and gamma per id and factor, then the prox.
 
     `plain` averages with equal weights. An id in one block gets 0, except in the dimensions for which
-    `own_only` holds (the other dimensions have a single block): they take the local factors.
+    `own_only` holds (the other dimensions have a single block): they take the local factors. `blocks` adds
+    the sorted list of the contributing blocks.
     """
     n = F.when(F.lit(weighted), F.col("n_obs")).otherwise(F.lit(1.0))
-    elements = state.select(
-        "dim", "id", F.posexplode(F.arrays_zip("f", "lag", "gamma")).alias("k", "e"), n.alias("n")
-    )
-    g = F.lit(1.0) if plain else F.col("e.gamma") * F.col("n")
-    value = F.col("e.f") + F.col("e.lag") if dual else F.col("e.f")
-    sums = elements.groupBy("dim", "id", "k").agg(F.sum(g * value).alias("num"), F.sum(g).alias("den"), F.count(F.lit(1)).alias("n_blocks"), F.max("e.f").alias("only"))
-    if regularizer == "L1":
-        soft = F.when(F.col("num") > lam, F.col("num") - lam).when(F.col("num") < -lam, F.col("num") + lam).otherwise(F.lit(0.0))
-        merged = F.when(F.col("den") == 0, F.lit(0.0)).otherwise(soft / F.col("den"))
-    elif regularizer == "MAX":
-        merged = F.when(F.col("den") == 0, F.lit(0.0)).otherwise(F.col("num") / F.col("den"))
+    g = F.transform("gamma", lambda _: F.lit(1.0)) if plain else F.transform("gamma", lambda x: x * n)
+    value = F.zip_with("f", "lag", lambda f, u: f + u) if dual else F.col("f")
+    stats = state.select("dim", "id", "f", F.zip_with(g, value, lambda w, v: w * v).alias("num"), g.alias("den"), *(["block"] if blocks else []))
+    sums = keyed_vector_sums(stats, ["dim", "id"], only="f")
+    rows = sums.groupBy("dim", "id").agg(F.array_sort(F.collect_list(F.struct("k", "num", "den", "only"))).alias("v"), F.max("n_blocks").alias("n_blocks"))
+    num, den = F.col("v.num"), F.col("v.den")
+    if regularizer == "MAX":
+        merged = exprs.max_norm(num, den, lam if lam > 0 else float("inf"))
     else:
-        merged = F.when(F.col("den") + lam == 0, F.lit(0.0)).otherwise(F.col("num") / (F.col("den") + lam))
-    f = F.when(own_only, F.col("only")).when(F.col("n_blocks") <= 1, F.lit(0.0)).otherwise(merged)
-    rows = sums.select("dim", "id", "k", f.alias("f")).groupBy("dim", "id").agg(F.array_sort(F.collect_list(F.struct("k", "f"))).alias("v"))
-    out = rows.select("dim", "id", F.transform("v", lambda e: e["f"]).alias("f"))
-    if regularizer == "MAX" and lam > 0:
-        sq = F.aggregate("f", F.lit(0.0), lambda s, x: s + x * x)
-        out = out.select("dim", "id", F.when(sq > lam, F.transform("f", lambda x: x * F.sqrt(F.lit(lam) / sq))).otherwise(F.col("f")).alias("f"))
+        prox = exprs.l1_prox if regularizer == "L1" else exprs.l2_prox
+        merged = F.zip_with(num, den, lambda a, b: prox(a, b, lam))
+    f = F.when(own_only, F.col("v.only")).when(F.col("n_blocks") <= 1, F.transform("v", lambda _: F.lit(0.0))).otherwise(merged)
+    out = rows.select("dim", "id", f.alias("f"))
+    if blocks:
+        # at most one entry per block
+        out = out.join(state.groupBy("dim", "id").agg(F.array_sort(F.collect_set("block")).alias("blocks")), ["dim", "id"])
     return out
 
 
+def mean_gamma(state: DataFrame, per_block: bool = False) -> DataFrame:
+    """(dim, gamma): each dimension's precisions averaged over the blocks; `per_block`: (dim, block, gamma), the mean of each block's."""
+    of_block = state.groupBy("dim", "block").agg(F.first("gamma").alias("gamma"))  # equal in all rows of a block
+    if per_block:
+        return of_block.select("dim", "block", (F.aggregate("gamma", F.lit(0.0), lambda s, x: s + x) / F.size("gamma")).alias("gamma"))
+    means = of_block.select("dim", F.posexplode("gamma").alias("k", "g")).groupBy("dim", "k").agg(F.avg("g").alias("g"))
+    return means.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("v")).select("dim", F.col("v.g").alias("gamma"))
+
+
 def rmse(data: DataFrame, factors: DataFrame, dims: int, scale: float = 1.0) -> float:
     """Root mean squared error; an id without factor counts as the zero vector."""
-    joined = data
-    for d in range(dims):
-        joined = joined.join(factors.where(F.col("dim") == d).select(F.col("id").alias(f"c{d}"), F.col("f").alias(f"f{d}")), f"c{d}", "left")
-    p = F.col("f0")
-    for d in range(1, dims):
-        p = F.zip_with(p, F.col(f"f{d}"), lambda x, y: x * y)
-    pred = F.coalesce(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
-    d2 = (F.col("value") - pred) * (F.col("value") - pred)
-    return float(joined.agg(F.sqrt(F.avg(d2)).alias("e")).first()["e"] or 0.0) * scale
+    return float(metrics.rmse(metrics.predicted(data, factors, dims), scale).first()["rmse"] or 0.0)
 
 
 def local_rmse(state: DataFrame, scale: float = 1.0) -> float:

@@ -60,11 +60,15 @@ def bucket_counts(df: DataFrame, bucket: Column) -> DataFrame:
     return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def keyed_vector_sums(stats: DataFrame, keys: list[str], num: str = "num", den: str = "den") -> DataFrame:
-    """(keys, k, num, den, n_blocks): elementwise sums of numerators and precisions per key."""
-    pair = F.arrays_zip(F.col(num).alias("n"), F.col(den).alias("d"))
-    exploded = stats.select(*keys, F.posexplode(pair).alias("k", "e"))
-    return exploded.groupBy(*keys, "k").agg(F.sum("e.n").alias("num"), F.sum("e.d").alias("den"), F.count(F.lit(1)).alias("n_blocks"))
+def keyed_vector_sums(stats: DataFrame, keys: list[str], num: str = "num", den: str = "den", only: str | None = None) -> DataFrame:
+    """(keys, k, num, den, n_blocks[, only]): elementwise sums of numerators and precisions per key.
+
+    `only` names a third vector, of which the largest element is kept: a key in one block has that block's.
+    """
+    parts = [F.col(num).alias("n"), F.col(den).alias("d"), *([F.col(only).alias("o")] if only else [])]
+    exploded = stats.select(*keys, F.posexplode(F.arrays_zip(*parts)).alias("k", "e"))
+    kept = [F.max("e.o").alias("only")] if only else []
+    return exploded.groupBy(*keys, "k").agg(F.sum("e.n").alias("num"), F.sum("e.d").alias("den"), F.count(F.lit(1)).alias("n_blocks"), *kept)
 
 
 def block_membership(ratings: DataFrame, key: str, block: str) -> DataFrame:
@@ -83,11 +87,6 @@ def block_stats(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("block").agg(F.count(F.lit(1)).alias("nnz")).join(rows, "block").join(cols, "block").select("block", "n_rows", "n_cols", "nnz")
 
 
-def group_lines(df: DataFrame, key: str, part: Column, order: str) -> DataFrame:
-    """(key, line): the parts of each key joined by spaces in `order`. A key's parts must fit in a task."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))).alias("l")).select(key, F.array_join(F.transform("l", lambda e: e["p"]), " ").alias("line"))
-
-
 def mean_factor_norm(factors: DataFrame, f: str = "f") -> DataFrame:
     return factors.agg(F.avg(F.sqrt(F.aggregate(f, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("mean_norm"))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quorix.functions import exprs as X
 from quorix.functions import vectors as V
+from quorix.models.consensus import global_step
 from quorix.models.lr import Blocks
+from quorix.models.mf import Links, triangle
 from quorix.operators import counts as N
 from quorix.operators import metrics as M
 from quorix.operators import partition as P
@@ -259,7 +261,11 @@ SELECT row, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(sum(f[a + 1]
 def als_normal_eq(spark: SparkSession, d: str) -> DataFrame:
     r = ratings(spark, d)
     f = r.groupBy("col").agg(F.avg("value").alias("m")).select(F.col("col").alias("id"), F.array(F.lit(1.0), "m", (F.col("col") % 7).cast("double")).alias("f"))
-    return M.als_normal_equations(r, f).withColumn("xtx", F.round("xtx", 4))
+    f = f.withColumn("prec", F.transform("f", lambda _: F.lit(float("inf"))))
+    sums = Links.of(r, "row", "col", 4).normal_equations(f, 3)
+    # packed: the upper triangle of X'X row by row, then X'y
+    places = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get("packed", F.lit(i)).alias("v")) for i, (a, b) in enumerate([*zip(*map(list, triangle(3))), (0, -1), (1, -1), (2, -1)])))
+    return sums.select(F.col("id").alias("row"), F.inline(places)).groupBy("row", "a", "b").agg(F.round(F.sum("v"), 4).alias("xtx"))
 
 
 @query(f"""WITH {_GRID}, s AS (SELECT row AS id, block, [avg(value), count(*)::DOUBLE] AS f, [1.0::DOUBLE + block, 2.0::DOUBLE] AS g FROM g GROUP BY row, block),
@@ -268,8 +274,9 @@ SELECT id, CAST(k AS INTEGER) AS k, round(CASE WHEN count(*) <= 1 THEN 0 ELSE su
 def consensus_l2(spark: SparkSession, d: str) -> DataFrame:
     g = P.rating_blocks(ratings(spark, d), 4, 3, by="modulo").groupBy(F.col("row").alias("id"), "block").agg(F.avg("value").alias("m"), F.count(F.lit(1)).cast("double").alias("n"))
     den = F.array(1.0 + F.col("block"), F.lit(2.0))
-    s = g.select("id", "block", F.zip_with(F.array("m", "n"), den, lambda x, y: x * y).alias("num"), den.alias("den"))
-    return M.consensus_factors(s, 0.5).withColumn("f", F.round("f", 6))
+    state = g.select("block", F.lit(0).alias("dim"), "id", F.array("m", "n").alias("f"), F.array(F.lit(0.0), F.lit(0.0)).alias("lag"), den.alias("gamma"), F.lit(1.0).alias("n_obs"))
+    merged = global_step(state, lam=0.5, regularizer="L2", dual=False, weighted=False, plain=False, own_only=F.lit(False))
+    return merged.select("id", F.posexplode("f").alias("k", "f")).withColumn("f", F.round("f", 6))
 
 
 # --- text formats -----------------------------------------------------------------------------------
