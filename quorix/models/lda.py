@@ -24,8 +24,6 @@ from quorix.session import snapshot
 
 #: Largest topics x vocabulary matrix that may be held by the driver.
 MOST_CELLS = 50_000_000
-_STATS = "topic int, word int, stat double"
-_STAT_SCHEMA = pa.schema([("topic", pa.int32()), ("word", pa.int32()), ("stat", pa.float64())])
 
 
 @dataclass
@@ -44,35 +42,78 @@ def _docs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
             yield i, np.array(w, np.int64), np.array(c, np.float64)
 
 
-def _stat_batch(stats: np.ndarray, used: np.ndarray) -> pa.RecordBatch:
-    k = len(stats)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(np.arange(k), len(used)).astype(np.int32)), pa.array(np.tile(used, k).astype(np.int32)), pa.array(stats[:, used].ravel())], schema=_STAT_SCHEMA
-    )
+#: Rows of an E-step pass that aren't statistics: their topic, and the words of the scalars.
+_SCALARS, _LOG_THETA = -1, -2
+_NAMES = ("llh", "tokens", "bound", "n_docs")
+
+
+@dataclass
+class Pass:
+    """One pass over the documents: statistics topics x vocabulary, summed E[log theta], and the metrics of the topics it used.
+
+    bound holds the documents' part of the evidence lower bound.
+    """
+
+    stats: np.ndarray
+    log_theta: np.ndarray
+    llh: float
+    tokens: float
+    bound: float
+    n_docs: int
 
+    def metrics(self, eta: np.ndarray, beta: float) -> dict[str, float]:
+        """Log-likelihood, tokens, perplexity and evidence lower bound."""
+        perplexity = float(np.exp(-self.llh / self.tokens)) if self.tokens else float("nan")
+        return {"llh": self.llh, "tokens": self.tokens, "perplexity": perplexity, "bound": self.bound + K.topic_bound(eta, beta)}
 
-def sufficient_statistics(docs: DataFrame, eta: np.ndarray, alpha: np.ndarray, rounds: int, log_space: bool = False) -> DataFrame:
-    """(topic, word, stat) summed over all documents, gammas warm from alpha + 1."""
-    exp_beta = S.exp_dirichlet_expectation(eta)
-    shared = docs.sparkSession.sparkContext.broadcast((exp_beta, alpha))
+
+def e_pass(docs: DataFrame, eta: np.ndarray, alpha: np.ndarray, rounds: int, log_space: bool = False) -> Pass:
+    """Infer every document's topics from `eta` and sum what the M-step, alpha and the metrics need.
+
+    `docs` has (doc_id, words, counts), and perhaps `gamma`, the start of each document (default: ones). With 0 rounds
+    the given gammas are only evaluated.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((eta, alpha))
+    columns = ["doc_id", "words", "counts", *(["gamma"] if "gamma" in docs.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        eb, al = shared.value
+        e, al = shared.value
+        k = len(e)
+        totals = e.sum(1)
         for batch in batches:
-            stats = np.zeros_like(eb)
-            seen = np.zeros(eb.shape[1], bool)
-            for _, w, c in _docs(batch):
-                g = np.ones(len(eb))
+            local = list(_docs(batch))
+            gammas = [g for w, g in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()) if w] if len(columns) == 4 else None
+            used = np.unique(np.concatenate([w for _, w, _ in local])) if local else np.empty(0, np.int64)
+            log_beta = S.digamma(e[:, used]) - S.digamma(totals)[:, None]
+            exp_beta, beta = np.exp(log_beta), e[:, used] / totals[:, None]
+            stats, theta, sums = np.zeros((k, len(used))), np.zeros(k), np.zeros(len(_NAMES))
+            for n, (_, words, c) in enumerate(local):
+                w = np.searchsorted(used, words)
+                g = np.ones(k) if gammas is None else np.array(gammas[n], float)
                 if log_space:
-                    _, s = K.e_step_log(w, c, np.log(eb[:, w] + 1e-300), al, g, rounds)
-                    s = s / np.maximum(eb[:, w], K.PHI_FLOOR)
+                    g, s = K.e_step_log(w, c, log_beta[:, w], al, g, rounds)
+                    s = s / np.maximum(exp_beta[:, w], K.PHI_FLOOR)
                 else:
-                    _, s = K.e_step(w, c, eb[:, w], al, g, rounds)
+                    g, s = K.e_step(w, c, exp_beta[:, w], al, g, rounds)
                 stats[:, w] += s  # words are distinct inside a document
-                seen[w] = True
-            yield _stat_batch(stats, np.nonzero(seen)[0])
+                theta += S.dirichlet_expectation(g)
+                sums += (K.log_likelihood(w, c, g, beta[:, w]), c.sum(), K.document_bound(w, c, g, al, log_beta[:, w]), 1.0)
+            yield _triples(np.repeat(np.arange(k), len(used)), np.tile(used, k), stats.ravel())
+            yield _triples(np.full(len(sums), _SCALARS), np.arange(len(sums)), sums)
+            yield _triples(np.full(k, _LOG_THETA), np.arange(k), theta)
 
-    return docs.select("doc_id", "words", "counts").mapInArrow(run, _STATS).groupBy("topic", "word").agg(F.sum("stat").alias("stat"))
+    rows = docs.select(*columns).mapInArrow(run, "topic int, word int, stat double").groupBy("topic", "word").agg(F.sum("stat").alias("stat")).toArrow()
+    shared.destroy()
+    topic, word, stat = (rows[c].to_numpy() for c in ("topic", "word", "stat"))
+    stats, theta, sums = np.zeros(eta.shape), np.zeros(len(eta)), np.zeros(len(_NAMES))
+    for code, into in ((_SCALARS, sums), (_LOG_THETA, theta)):
+        into[word[topic == code]] = stat[topic == code]
+    stats[topic[topic >= 0], word[topic >= 0]] = stat[topic >= 0]
+    return Pass(stats, theta, float(sums[0]), float(sums[1]), float(sums[2]), int(sums[3]))
+
+
+def _triples(topic: np.ndarray, word: np.ndarray, stat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(topic.astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(stat)], names=["topic", "word", "stat"])
 
 
 def _matrix(stats: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -83,27 +124,6 @@ def _matrix(stats: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def evaluate(docs: DataFrame, eta: np.ndarray, alpha: np.ndarray, fold_in: int) -> dict[str, float]:
-    """Log-likelihood, tokens, perplexity and the evidence bound after folding in; one evaluation for all."""
-    shared = docs.sparkSession.sparkContext.broadcast((eta, alpha))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, al = shared.value
-        exp_beta, beta, log_beta = S.exp_dirichlet_expectation(e), S.row_normalise(e), S.dirichlet_expectation(e)
-        for batch in batches:
-            llh = tokens = bound = 0.0
-            for _, w, c in _docs(batch):
-                gamma, _ = K.e_step(w, c, exp_beta[:, w], al, np.ones(len(e)), fold_in)
-                llh += K.log_likelihood(w, c, gamma, beta[:, w])
-                bound += K.document_bound(w, c, gamma, al, log_beta[:, w])
-                tokens += c.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in (llh, tokens, bound)], names=["llh", "tokens", "bound"])
-
-    r = docs.select("doc_id", "words", "counts").mapInArrow(run, "llh double, tokens double, bound double").agg(F.sum("llh").alias("llh"), F.sum("tokens").alias("tokens"), F.sum("bound").alias("bound")).first()
-    llh, tokens = r["llh"] or 0.0, r["tokens"] or 0.0
-    return {"llh": llh, "tokens": tokens, "perplexity": float(np.exp(-llh / tokens)) if tokens else float("nan"), "bound": r["bound"] or 0.0}
-
-
 def document_topics(docs: DataFrame, eta: np.ndarray, alpha: np.ndarray, rounds: int) -> DataFrame:
     """(doc_id, gamma) after folding in."""
     shared = docs.sparkSession.sparkContext.broadcast((S.exp_dirichlet_expectation(eta), alpha))
@@ -159,7 +179,8 @@ def _block_run(shared, p: LdaParams, dual_on: bool, vocabulary: int):  # noqa: A
 def fit_lda(docs: DataFrame, p: LdaParams | None = None, vocabulary: int | None = None, validate: DataFrame | None = None) -> LdaModel:
     """Train on (doc_id, words, counts), words distinct within a document. Null and empty documents are left out.
 
-    `vocabulary` defaults to the largest word id + 1.
+    `vocabulary` defaults to the largest word id + 1. Metrics are taken on `validate` after folding in; without it, on the
+    training documents with the gammas of the next E-step (MRLDA: one pass over the documents per iteration).
     """
     p = p or LdaParams()
     strategy = LdaStrategy(p.strategy)
@@ -168,52 +189,44 @@ def fit_lda(docs: DataFrame, p: LdaParams | None = None, vocabulary: int | None
     v = vocabulary or (data.select(F.max(F.array_max("words")).alias("m")).first()["m"] or 0) + 1
     if v * p.topics > MOST_CELLS:
         raise ValueError(f"topics x vocabulary is above {MOST_CELLS}: raise the rarity threshold of the dictionary")
-    test = data if validate is None else validate.where(F.size("words") > 0)
+    test = None if validate is None else validate.where(F.size("words") > 0)
     alpha = np.full(p.topics, p.alpha)
     history: list[tuple[int, str, float]] = []
     if strategy is LdaStrategy.MRLDA:
         eta = initial_topics(p, v)
+        current = e_pass(data, eta, alpha, p.inner, p.log_space)
     else:
         eta = seed_topics(data, p, v)
         blocks = data.withColumn("block", hash_block(p.blocks, "doc_id", seed=p.seed)).repartition(p.blocks, "block").persist(StorageLevel.MEMORY_AND_DISK)
         state = spark.createDataFrame([], "block int, topic int, word int, eta double, dual double")
     for t in range(p.outer):
         if strategy is LdaStrategy.MRLDA:
-            stats = sufficient_statistics(data, eta, alpha, p.inner, p.log_space)
-            eta = K.m_step(_matrix(stats, eta.shape), S.exp_dirichlet_expectation(eta), p.beta)
+            eta = K.m_step(current.stats, S.exp_dirichlet_expectation(eta), p.beta)
+            if p.update_alpha:
+                alpha = K.newton_alpha_from(alpha, current.log_theta, current.n_docs)
+            # the next E-step also gives the metrics of these topics
+            if test is None or t + 1 < p.outer:
+                current = e_pass(data, eta, alpha, p.inner, p.log_space)
+            seen = current if test is None else e_pass(test, eta, alpha, p.fold_in)
         else:
             dual = strategy is LdaStrategy.VADMM
-            run = _block_run(spark.sparkContext.broadcast((eta, alpha)), p, dual, v)
-            solved = blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, "block int, topic int, word int, eta double, dual double")
+            shared = spark.sparkContext.broadcast((eta, alpha))
+            solved = blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_block_run(shared, p, dual, v), "block int, topic int, word int, eta double, dual double")
             state = snapshot(solved, replaces=state)
+            shared.destroy()
             value = F.col("eta") + F.col("dual") if dual else F.col("eta")
             sums = state.groupBy("topic", "word").agg(F.sum(value).alias("stat"), F.count(F.lit(1)).alias("n"))
             # a word that a block lacks keeps that block's prior, which is the global topic
             total = _matrix(sums.select("topic", "word", "stat"), eta.shape)
             have = _matrix(sums.select("topic", "word", F.col("n").cast("double").alias("stat")), eta.shape)
             eta = np.maximum((total + (p.blocks - have) * eta + p.beta) / (p.blocks + 1), K.POSITIVE_FLOOR)
-        if p.update_alpha:
-            gammas = document_topics(data, eta, alpha, p.inner)
-            shared = _expected_log_theta(gammas, p.topics)
-            alpha = K.newton_alpha_from(alpha, shared[0], shared[1])
-        history += [(t, k, float(x)) for k, x in evaluate(test, eta, alpha, p.fold_in).items()]
+            seen = e_pass(data if test is None else test, eta, alpha, p.fold_in)
+            if p.update_alpha:
+                own = seen if test is None else e_pass(data, eta, alpha, p.inner)
+                alpha = K.newton_alpha_from(alpha, own.log_theta, own.n_docs)
+        history += [(t, k, float(x)) for k, x in seen.metrics(eta, p.beta).items()]
     data.unpersist()
     topics = spark.createDataFrame(
         pa.table({"topic": np.repeat(np.arange(p.topics), v).astype(np.int32), "word": np.tile(np.arange(v), p.topics).astype(np.int32), "eta": eta.ravel()})
     )
     return LdaModel(topics, alpha, spark.createDataFrame(history, "iteration int, metric string, value double"), eta)
-
-
-def _expected_log_theta(gammas: DataFrame, topics: int) -> tuple[np.ndarray, int]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                g = np.asarray(b.column(0).flatten()).reshape(-1, topics)
-                e = S.dirichlet_expectation(g).sum(0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(topics).astype(np.int32)), pa.array(e), pa.array(np.full(topics, len(g)))], names=["topic", "e", "n"])
-
-    rows = gammas.select("gamma").mapInArrow(run, "topic int, e double, n bigint").groupBy("topic").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).collect()
-    out, n = np.zeros(topics), 0
-    for r in rows:
-        out[r["topic"]], n = r["e"], r["n"]
-    return out, n

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorix.functions import exprs as X
 from quorix.functions import vectors as V
-from quorix.models.consensus import global_step
-from quorix.models.lr import Blocks
+from quorix.functions.special import exp_dirichlet_expectation
+from quorix.models.consensus import global_step, mean_gamma
+from quorix.models.kernels_lda import m_step
+from quorix.models.lda import e_pass
+from quorix.models.lr import Blocks, fit_lr
 from quorix.models.mf import Links, triangle
 from quorix.operators import counts as N
 from quorix.operators import metrics as M
 from quorix.operators import partition as P
+from quorix.schema import LrParams, LrStrategy, MfParams, MfStrategy, Optimizer
 from quorix.session import table
 from quorix.sources import text as T
 
@@ -272,10 +279,7 @@ def als_normal_eq(spark: SparkSession, d: str) -> DataFrame:
 e AS (SELECT id, unnest(range(0, 2)) AS k, f, g FROM s)
 SELECT id, CAST(k AS INTEGER) AS k, round(CASE WHEN count(*) <= 1 THEN 0 ELSE sum(f[k + 1] * g[k + 1]) / (sum(g[k + 1]) + 0.5) END, 6) AS f FROM e GROUP BY ALL""")
 def consensus_l2(spark: SparkSession, d: str) -> DataFrame:
-    g = P.rating_blocks(ratings(spark, d), 4, 3, by="modulo").groupBy(F.col("row").alias("id"), "block").agg(F.avg("value").alias("m"), F.count(F.lit(1)).cast("double").alias("n"))
-    den = F.array(1.0 + F.col("block"), F.lit(2.0))
-    state = g.select("block", F.lit(0).alias("dim"), "id", F.array("m", "n").alias("f"), F.array(F.lit(0.0), F.lit(0.0)).alias("lag"), den.alias("gamma"), F.lit(1.0).alias("n_obs"))
-    merged = global_step(state, lam=0.5, regularizer="L2", dual=False, weighted=False, plain=False, own_only=F.lit(False))
+    merged = global_step(_factor_state(spark, d), lam=0.5, regularizer="L2", dual=False, weighted=False, plain=False, own_only=F.lit(False))
     return merged.select("id", F.posexplode("f").alias("k", "f")).withColumn("f", F.round("f", 6))
 
 
@@ -476,6 +480,66 @@ def lr_auc500(spark: SparkSession, d: str) -> DataFrame:
     return _lr_evaluation(spark, d).select(F.round("auc", 6).alias("auc"))
 
 
+_FIRST = """c AS (SELECT row_id % 4 AS block, row_id, label, feature, value FROM x),
+g AS (SELECT {b}, feature, sum(label * 0.5 * value) AS g FROM c GROUP BY ALL),
+m AS (SELECT c.block, row_id, sum(g * value) AS dx FROM c JOIN g ON c.feature = g.feature AND {on} GROUP BY ALL),
+h AS (SELECT {b}, sum(0.25 * dx * dx) AS h FROM m GROUP BY ALL),
+s AS (SELECT {b}, sum(g * g) AS gg, sum(g * g) FILTER (feature <> 0) AS reg FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {_LR.split('s AS (SELECT row_id')[0].rstrip().rstrip(',')}, {_FIRST.format(b='0 AS one', on='true')} SELECT CAST(feature AS INTEGER) AS feature, round(g * gg / (h + reg), 7) AS w FROM g, s, h")
+def lr_first_exact_step(spark: SparkSession, d: str) -> DataFrame:
+    """Weights after the first iteration of the exact gradient."""
+    w = fit_lr(lr_vectors(spark, d), LrParams(strategy=LrStrategy.DGM, blocks=4, outer=1)).weights
+    return w.select("feature", F.round("w", 7).alias("w"))
+
+
+@query(f"WITH {_LR.split('s AS (SELECT row_id')[0].rstrip().rstrip(',')}, {_FIRST.format(b='block', on='c.block = g.block')} SELECT CAST(feature AS INTEGER) AS feature, round(avg(g * gg / (h + reg)), 7) AS w FROM g JOIN s USING (block) JOIN h USING (block) GROUP BY feature")
+def lr_first_average(spark: SparkSession, d: str) -> DataFrame:
+    """Weights after the first averaging of four blocks, each one step from zero."""
+    v = lr_vectors(spark, d).withColumn("block", (F.col("row_id") % 4).cast("int"))
+    w = fit_lr(v, LrParams(strategy=LrStrategy.AVGM, optimizer=Optimizer.CG, blocks=4, outer=1, inner=1)).weights
+    return w.select("feature", F.round("w", 7).alias("w"))
+
+
+# --- factorization at given factors -----------------------------------------------------------------
+
+
+@query(f"""WITH {_RATINGS}, f AS (SELECT col, 1.0::DOUBLE AS x, avg(value) / 25 AS y FROM r GROUP BY col),
+s AS (SELECT row, count(*) AS n, sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c, sum(x * value) AS p, sum(y * value) AS q FROM r JOIN f USING (col) GROUP BY row),
+t AS (SELECT row, a + 0.1 * n AS a, b, c + 0.1 * n AS c, p, q FROM s)
+SELECT row AS id, round((c * p - b * q) / (a * c - b * b), 6) AS f0, round((a * q - b * p) / (a * c - b * b), 6) AS f1 FROM t""")
+def als_first_half_step(spark: SparkSession, d: str) -> DataFrame:
+    """Row factors of rank 2 solved from given column factors."""
+    r = ratings(spark, d)
+    f = r.groupBy(F.col("col").alias("id")).agg(F.array(F.lit(1.0), F.avg("value") / 25).alias("f")).withColumn("prec", F.array(F.lit(float("inf")), F.lit(float("inf"))))
+    p = MfParams(strategy=MfStrategy.DMAP, rank=2, gamma=0.1, weighted=True)
+    old = spark.createDataFrame([], "id int, f array<double>")
+    got = Links.of(r, "row", "col", 4).half_step(f, old, p, "ALS", False, 0.1)
+    return got.select("id", F.round(F.col("f")[0], 6).alias("f0"), F.round(F.col("f")[1], 6).alias("f1"))
+
+
+def _factor_state(spark: SparkSession, d: str) -> DataFrame:
+    """State rows of grid blocks: mean and number of each row's ratings as factors, 1 + block and 2 as precisions."""
+    g = P.rating_blocks(ratings(spark, d), 4, 3, by="modulo").groupBy(F.col("row").alias("id"), "block").agg(F.avg("value").alias("m"), F.count(F.lit(1)).cast("double").alias("n"))
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    return g.select("block", F.lit(0).alias("dim"), "id", F.array("m", "n").alias("f"), zero.alias("lag"), F.array(1.0 + F.col("block"), F.lit(2.0)).alias("gamma"), F.lit(1.0).alias("n_obs"))
+
+
+@query(f"""WITH {_GRID}, s AS (SELECT row AS id, block, avg(value) AS m, count(*)::DOUBLE AS n, 1.0 + block AS g FROM g GROUP BY row, block),
+v AS (SELECT id, sum(g * m) / sum(g) AS x, sum(n) * 2 / (2.0 * count(*)) AS y, list_sort(list(block)) AS blocks FROM s GROUP BY id HAVING count(*) > 1)
+SELECT id, [round(x * least(1, sqrt(400.0 / (x * x + y * y))), 6), round(y * least(1, sqrt(400.0 / (x * x + y * y))), 6)] AS f, blocks FROM v""")
+def consensus_maxnorm_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Global factors of ids in several blocks under the max norm, with the blocks they come from."""
+    merged = global_step(_factor_state(spark, d), lam=400.0, regularizer="MAX", dual=False, weighted=False, plain=False, own_only=F.lit(False), blocks=True)
+    return merged.where(F.size("blocks") > 1).select("id", F.transform("f", lambda x: F.round(x, 6)).alias("f"), "blocks")
+
+
+@query(f"WITH {_GRID}, b AS (SELECT DISTINCT block FROM g) SELECT CAST(0 AS INTEGER) AS dim, [round(avg(1.0 + block), 9), 2.0] AS gamma FROM b")
+def mean_block_gamma(spark: SparkSession, d: str) -> DataFrame:
+    return mean_gamma(_factor_state(spark, d)).select("dim", F.transform("gamma", lambda x: F.round(x, 9)).alias("gamma"))
+
+
 # --- topic model at fixed parameters ----------------------------------------------------------------
 
 
@@ -497,9 +561,43 @@ h AS (SELECT doc_id, topic, gamma / sum(gamma) OVER (PARTITION BY doc_id) AS the
 @query(f"""WITH {_TOPICS}, p AS (SELECT d.doc_id, d.word, d.count, sum(theta * beta) AS p FROM d JOIN b ON d.word = b.word JOIN h ON h.doc_id = d.doc_id AND h.topic = b.topic GROUP BY ALL)
 SELECT round(sum(count * ln(p)), 3) AS llh, CAST(sum(count) AS BIGINT) AS tokens, round(exp(-sum(count * ln(p)) / sum(count)), 6) AS perplexity FROM p""")
 def lda_loglik(spark: SparkSession, d: str) -> DataFrame:
+    docs, eta = _topic_arrays(spark, d)
+    r = e_pass(docs, eta, np.ones(4), rounds=0)
+    return spark.createDataFrame([(round(r.llh, 3), int(r.tokens), round(math.exp(-r.llh / r.tokens), 6))], "llh double, tokens bigint, perplexity double")
+
+
+def _topic_arrays(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
+    """(documents as arrays with gamma, topics matrix); words that no document holds have next to no weight."""
     docs, topics, gammas = _topic_inputs(spark, d)
-    s = M.lda_log_likelihood(docs, topics, gammas)
-    return s.select(F.round("llh", 3).alias("llh"), "tokens", F.round("perplexity", 6).alias("perplexity"))
+    words = docs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "count"))).alias("e")).select("doc_id", F.col("e.word").alias("words"), F.col("e.count").alias("counts"))
+    starts = gammas.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("topic", "gamma"))).alias("g")).select("doc_id", F.col("g.gamma").alias("gamma"))
+    rows = topics.toArrow()  # 4 topics x the suppliers
+    eta = np.full((4, max(rows["word"].to_pylist()) + 1), 1e-12)
+    eta[rows["topic"].to_numpy(), rows["word"].to_numpy()] = rows["eta"].to_numpy()
+    return words.join(starts, "doc_id"), eta
+
+
+def _psi(x: str) -> str:
+    """The digamma function as SQL: eight recurrences and the asymptotic series."""
+    z = f"(({x}) + 8)"
+    series = f"ln({z}) - 0.5 / {z} - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8)"
+    return f"({series} - ({' + '.join(f'1.0 / (({x}) + {i})' for i in range(8))}))"
+
+
+@query(f"""WITH {_TOPICS}, xb AS (SELECT topic, word, exp({_psi("eta")} - {_psi("sum(eta) OVER (PARTITION BY topic)")}) AS eb FROM t),
+th AS (SELECT doc_id, topic, exp({_psi("gamma")} - {_psi("sum(gamma) OVER (PARTITION BY doc_id)")}) AS theta FROM g),
+ph AS (SELECT d.doc_id, d.word, d.count, sum(theta * eb) AS phi FROM d JOIN xb ON d.word = xb.word JOIN th ON th.doc_id = d.doc_id AND th.topic = xb.topic GROUP BY ALL),
+g2 AS (SELECT th.doc_id, th.topic, 1.0 + any_value(theta) * sum(eb * count / phi) AS gamma FROM ph JOIN xb ON ph.word = xb.word JOIN th ON th.doc_id = ph.doc_id AND th.topic = xb.topic GROUP BY th.doc_id, th.topic),
+t2 AS (SELECT doc_id, topic, exp({_psi("gamma")} - {_psi("sum(gamma) OVER (PARTITION BY doc_id)")}) AS theta FROM g2),
+p2 AS (SELECT d.doc_id, d.word, d.count, sum(theta * eb) AS phi FROM d JOIN xb ON d.word = xb.word JOIN t2 ON t2.doc_id = d.doc_id AND t2.topic = xb.topic GROUP BY ALL)
+SELECT CAST(xb.topic AS INTEGER) AS topic, CAST(xb.word AS INTEGER) AS word, round(any_value(eb) * sum(theta * count / phi) + 0.1, 5) AS eta
+FROM p2 JOIN xb ON p2.word = xb.word JOIN t2 ON t2.doc_id = p2.doc_id AND t2.topic = xb.topic GROUP BY xb.topic, xb.word""")
+def lda_one_step(spark: SparkSession, d: str) -> DataFrame:
+    """One E-step and M-step from given topics."""
+    docs, eta = _topic_arrays(spark, d)
+    made = m_step(e_pass(docs, eta, np.ones(4), rounds=1).stats, exp_dirichlet_expectation(eta), 0.1)
+    rows = [(int(k), int(w), round(float(made[k, w]), 5)) for k in range(4) for w in range(made.shape[1]) if eta[k, w] > 1e-6]
+    return spark.createDataFrame(rows, "topic int, word int, eta double")
 
 
 @query(f"""WITH {_TOPICS} SELECT CAST(topic AS INTEGER) AS topic, word, round(beta, 9) AS p, CAST(row_number() OVER (PARTITION BY topic ORDER BY beta DESC, word) AS INTEGER) AS rank FROM b QUALIFY rank <= 10""")
