@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorix.functions.exprs import bucketize, smoothed_rate
-from quorix.operators.counts import expand_impressions, token_counts, top_tokens
+from quorix.operators.counts import clicks_by, expand_impressions, token_counts, top_tokens
+from quorix.operators.partition import dense_index
+from quorix.session import snapshot
 
 ENTITIES = ("user", "query", "ad", "advertiser", "keyword", "title", "description")
 #: Entities whose rate is a feature, in layout order.
@@ -58,17 +60,16 @@ class CtrLayout:
         return out
 
 
-def entity_stats(log: DataFrame, entity: str) -> DataFrame:
-    """(entity, clicks, impressions, rate, clicked) of one entity."""
-    sums = log.groupBy(entity).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
-    return sums.select(entity, "clicks", "impressions", smoothed_rate(F.col("clicks"), F.col("impressions")).alias("rate"), (F.col("clicks") > 0).alias("clicked"))
+def all_rates(log: DataFrame, entities: tuple[str, ...] = ENTITIES) -> DataFrame:
+    """(entity, id, clicks, impressions, rate) of all entities in one GROUPING SETS pass."""
+    return clicks_by(log, list(entities)).withColumn("rate", smoothed_rate(F.col("clicks"), F.col("impressions")))
 
 
-def all_rates(log: DataFrame) -> DataFrame:
-    """(entity, id, clicks, impressions, rate) of all seven entities in one GROUPING SETS pass."""
-    from quorix.operators.counts import clicks_by
-
-    return clicks_by(log, list(ENTITIES)).withColumn("rate", smoothed_rate(F.col("clicks"), F.col("impressions")))
+def binned_rates(log: DataFrame, entities: tuple[str, ...], bins: int) -> DataFrame:
+    """(entity, id, clicked, bin): whether the id was ever clicked, and its rate's bin of the entity's largest rate over `bins`."""
+    rates = snapshot(all_rates(log, entities))  # read once per entity
+    largest = rates.groupBy("entity").agg((F.max("rate") / bins).alias("size"))  # one row per entity
+    return rates.join(F.broadcast(largest), "entity").select("entity", "id", (F.col("clicks") > 0).alias("clicked"), bucketize(F.col("rate"), F.col("size"), bins).alias("bin"))
 
 
 def vocabulary(tokens: DataFrame, top: int | None = None, above: int | None = None) -> DataFrame:
@@ -76,8 +77,6 @@ def vocabulary(tokens: DataFrame, top: int | None = None, above: int | None = No
     counts = token_counts(tokens.select(F.explode("tokens").alias("token")))
     if top is not None:
         return top_tokens(counts, top).select("token", "index")
-    from quorix.operators.partition import dense_index
-
     return dense_index(counts.where(F.col("n") > above), "token")
 
 
@@ -98,14 +97,10 @@ def features(train: DataFrame, log: DataFrame, tokens: dict[str, DataFrame], pro
     at, width = layout.offsets(), dict(layout.widths())
     rows = log.where((F.col("impressions") > 0) & (F.col("depth") > 0))
     ad_ids = train.select("ad").distinct()
-    from quorix.operators.partition import dense_index
-
     rows = rows.join(dense_index(ad_ids, "ad", "ad_index"), "ad", "left")
-    for e in sorted({*RATED, "user", "ad", "query", "keyword"}):
-        stats = entity_stats(train, e)
-        top = stats.agg((F.max("rate") / layout.rate_bins).alias(f"{e}_size"))  # one row
-        one = stats.crossJoin(F.broadcast(top)).select(e, F.col("clicked").alias(f"{e}_clicked"), bucketize(F.col("rate"), F.col(f"{e}_size"), layout.rate_bins).alias(f"{e}_rate"))
-        rows = rows.join(one, e, "left")
+    rates = binned_rates(train, RATED, layout.rate_bins)
+    for e in RATED:
+        rows = rows.join(rates.where(F.col("entity") == e).select(F.col("id").alias(e), F.col("clicked").alias(f"{e}_clicked"), F.col("bin").alias(f"{e}_rate")), e, "left")
     for e, _ in LENGTHS:
         rows = rows.join(tokens[e].select(F.col("id").alias(e), F.col("tokens").alias(f"{e}_list")), e, "left")
     rows = rows.join(profile, "user", "left")

@@ -44,9 +44,11 @@ def clicks_by(df: DataFrame, keys: list[str], clicks: str = "clicks", impression
     sets = ", ".join(f"({k})" for k in keys)
     which = " ".join(f"WHEN grouping({k}) = 0 THEN '{k}'" for k in keys)
     value = " ".join(f"WHEN grouping({k}) = 0 THEN {k}" for k in keys)
-    return df.sparkSession.sql(
+    out = df.sparkSession.sql(
         f"SELECT CASE {which} END AS entity, CASE {value} END AS id, sum({clicks}) AS clicks, sum({impressions}) AS impressions FROM {view} GROUP BY GROUPING SETS ({sets})"
     )
+    df.sparkSession.catalog.dropTempView(view)  # the plan is analysed already
+    return out
 
 
 def rating_summary(ratings: DataFrame) -> DataFrame:

@@ -122,6 +122,29 @@ def synth_tensor(spark: SparkSession, d: str) -> DataFrame:
     return synth.moments(synth.synth_tensor(spark, (200, 40, 20), rank=3))
 
 
+#: A log row per event, and the token lists of ids 0 to 59, as in `ctr_features`.
+_CTR = """WITH e AS (SELECT CAST(event_type = 'click' AS INTEGER) AS clicks, CAST(event_type IN ('click', 'view') AS INTEGER) AS impressions, hour(ts) AS ad, hour(ts) % 5 AS advertiser, minute(ts) % 3 AS position, minute(ts) AS query,
+  minute(ts) % 10 AS keyword, minute(ts) % 7 AS title, minute(ts) % 6 AS description, user_id AS usr FROM events),
+z AS (SELECT max(usr) + 1 AS n FROM e),
+l AS (SELECT id, pos, pos + id % 9 AS token FROM (SELECT unnest(range(0, 60)) AS id) CROSS JOIN LATERAL (SELECT unnest(range(0, id % 4 + 1)) AS pos)),
+v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS ix FROM l GROUP BY token QUALIFY ix < 20),
+t AS (SELECT id, list(ix ORDER BY pos) FILTER (ix IS NOT NULL) AS toks FROM l LEFT JOIN v USING (token) GROUP BY id),
+""" + ",\n".join(
+    f"r_{x} AS (SELECT {x} AS id, sum(clicks) > 0 AS hit, (sum(clicks)::DOUBLE + 3.75::DOUBLE) / (sum(impressions)::DOUBLE + 75) AS rate FROM e GROUP BY {x}), "
+    f"b_{x} AS (SELECT id, hit, least(floor(rate / ((SELECT max(rate) FROM r_{x}) / 100)), 99) AS bin, row_number() OVER (ORDER BY id) - 1 AS ix FROM r_{x})"
+    for x in ("ad", "advertiser", "query", "usr", "keyword")
+)
+ORACLE["ctr_features"] = _CTR + """
+SELECT CAST([0, 1 + a.bin, 101 + d.bin, 201 + q.bin, 301 + u.bin, 401 + k.bin]
+  || CASE WHEN u.hit THEN [501 + usr] ELSE [] END || CASE WHEN a.hit THEN [501 + n + a.ix] ELSE [] END || CASE WHEN q.hit THEN [525 + n + query] ELSE [] END
+  || [585 + n + least(usr // greatest(n // 10, 1), 9), 595 + n + least(query // 6, 9), 605 + n + least(coalesce(len(tq.toks), 0), 19), 625 + n + least(coalesce(len(tt.toks), 0), 29),
+      655 + n + least(coalesce(len(td.toks), 0), 49), 705 + n + least(coalesce(len(tk.toks), 0), 9), 715 + n + usr % 3, 718 + n + usr % 6, 724 + n + 2 * position]
+  || CASE WHEN q.hit THEN list_transform(coalesce(tq.toks, []), lambda x: 730 + n + x) ELSE [] END || CASE WHEN k.hit THEN list_transform(coalesce(tk.toks, []), lambda x: 750 + n + x) ELSE [] END
+  || [CASE WHEN clicks >= 1 THEN 1 ELSE -1 END] AS INTEGER[]) AS features
+FROM e CROSS JOIN z JOIN b_ad a ON a.id = e.ad JOIN b_advertiser d ON d.id = e.advertiser JOIN b_query q ON q.id = e.query JOIN b_usr u ON u.id = e.usr JOIN b_keyword k ON k.id = e.keyword
+JOIN t tq ON tq.id = e.query JOIN t tt ON tt.id = e.title JOIN t td ON td.id = e.description JOIN t tk ON tk.id = e.keyword WHERE impressions > 0"""
+
+
 @query
 def ctr_features(spark: SparkSession, d: str) -> DataFrame:
     """The click feature builder over `events`: each event as a log row, ids derived from its columns."""
@@ -146,6 +169,18 @@ def _ads(spark: SparkSession, d: str) -> ads_etl.AdsTables:
     return ads_etl.build(rows.where("NOT test"), rows.where("test"), above=20)
 
 
+_ADS = """WITH d AS (SELECT doc_id AS row_id, CASE WHEN fmt = 'md' THEN 1 ELSE -1 END AS label, doc_id % 10 = 0 AS test, string_split(text, ' ') AS ts FROM documents WHERE text IS NOT NULL),
+x AS (SELECT * FROM (SELECT row_id, label, test, unnest(ts) AS token FROM d) WHERE token <> ''),
+k AS (SELECT token, count(*) AS n FROM x WHERE NOT test GROUP BY token),
+v AS (SELECT token, row_number() OVER (ORDER BY encode(token)) - 1 AS index FROM k WHERE n > 20),
+r AS (SELECT row_id, list_sort(list(DISTINCT index)) AS idx FROM x JOIN v USING (token) GROUP BY row_id)
+"""
+ORACLE["ads_tables"] = _ADS + "SELECT d.row_id, CAST(label AS INTEGER) AS label, coalesce(idx, []) AS idx, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM d LEFT JOIN r ON d.row_id = r.row_id"
+ORACLE["ads_counts"] = _ADS + "SELECT token, n FROM k"
+ORACLE["ads_histogram"] = _ADS + "SELECT n, count(*) AS tokens FROM k GROUP BY n"
+ORACLE["ads_dictionary"] = _ADS + "SELECT token, index FROM v"
+
+
 @query
 def ads_tables(spark: SparkSession, d: str) -> DataFrame:
     """Ads pipeline over documents: the remapped training and test rows, told apart by `split`."""
