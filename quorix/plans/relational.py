@@ -21,6 +21,7 @@ from quorix.operators import metrics as M
 from quorix.operators import partition as P
 from quorix.schema import LrParams, LrStrategy, MfParams, MfStrategy, Optimizer
 from quorix.session import table
+from quorix.sources import datasets
 from quorix.sources import text as T
 
 QUERIES: dict = {}
@@ -332,10 +333,50 @@ def ads_parse(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(l_suppkey AS INTEGER) AS row, CAST(l_orderkey AS INTEGER) AS col, CAST(l_quantity AS DOUBLE) AS value, strftime(l_shipdate, '%Y-%m-%d') AS date FROM lineitem")
 def headed_parse(spark: SparkSession, d: str) -> DataFrame:
     """Header lines carried forward: one file per order with the order as header."""
+    return T.netflix(_headed_lines(spark, d))
+
+
+def _headed_lines(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     body = li.select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") + 1).alias("line_no"), F.concat_ws(",", "l_suppkey", F.col("l_quantity").cast("double"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("value"))
     head = li.select(F.col("l_orderkey").alias("file")).distinct().select("file", F.lit(0).alias("line_no"), F.concat("file", F.lit(":")).alias("value"))
-    return T.netflix(head.unionByName(body))
+    return head.unionByName(body)
+
+
+@query("""WITH RECURSIVE n AS (SELECT CAST(l_suppkey AS INTEGER) AS i, CAST(l_orderkey AS INTEGER) AS j, CAST(l_quantity AS DOUBLE) AS q, (year(l_shipdate) - 1999) * 365 + (month(l_shipdate) - 1) * 30 + day(l_shipdate) AS bucket FROM lineitem),
+b AS (SELECT bucket, count(*) AS n FROM n GROUP BY 1), o AS (SELECT bucket, n, row_number() OVER (ORDER BY bucket) AS k, sum(n) OVER () / 8.0 AS slice FROM b),
+f AS (SELECT k, bucket, CASE WHEN slice - n < slice / 5 THEN 1 ELSE 0 END AS frame, CASE WHEN slice - n < slice / 5 THEN 0 ELSE n END AS acc FROM o WHERE k = 1
+  UNION ALL SELECT o.k, o.bucket, CASE WHEN o.slice - (f.acc + o.n) < o.slice / 5 THEN f.frame + 1 ELSE f.frame END, CASE WHEN o.slice - (f.acc + o.n) < o.slice / 5 THEN 0 ELSE f.acc + o.n END FROM f JOIN o ON o.k = f.k + 1)
+SELECT i, j, CAST(frame AS INTEGER) AS k, (q - 25) / 10 AS value FROM n JOIN f USING (bucket)""")
+def framed_tensor(spark: SparkSession, d: str) -> DataFrame:
+    """Files with header lines to a tensor whose third dimension are time frames of about equal mass."""
+    return datasets.netflix_tensor(_headed_lines(spark, d), 8, mean=25.0, scale=10.0)[0]
+
+
+def _sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """One LibSVM row per event: the user with the value, and the event's number modulo 997."""
+    e = table(spark, d, "events")
+    line = F.concat_ws(" ", F.when(F.col("event_type") == "click", "+1").otherwise("-1"), F.concat_ws(":", "user_id", "value"), F.col("event_id") % 997 + 1_000_000)
+    return T.libsvm(e.select(F.col("event_id").cast("bigint").alias("row_id"), line.alias("value")))
+
+
+@query("""WITH x AS (SELECT event_id AS row_id, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS label, unnest([0, user_id + 1, event_id % 997 + 1000001]) AS feature, unnest([1.0::DOUBLE, value::DOUBLE, 1.0::DOUBLE]) AS value FROM events),
+k AS (SELECT feature FROM x WHERE feature <> 0 GROUP BY feature HAVING sum(CASE WHEN label = 1 THEN 20 ELSE 1 END) >= 41),
+i AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) AS INTEGER) AS index FROM k UNION ALL SELECT 0, 0)
+SELECT CAST(row_id AS BIGINT) AS row_id, label, list(index ORDER BY index) AS idx, list(value ORDER BY index) AS val FROM x JOIN i USING (feature) GROUP BY row_id, label""")
+def lr_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Training data with the features that reach a weighted document frequency of 41, renumbered."""
+    return datasets.lr_dataset(_sparse_vectors(spark, d), threshold=41)
+
+
+@query("""SELECT CAST(event_id AS INTEGER) AS id, CAST(user_id AS INTEGER) AS user, CAST(hour(ts) AS INTEGER) AS ad, CAST(event_type = 'click' AS INTEGER) AS clicks, CAST(1 AS INTEGER) AS impressions FROM events WHERE event_type IN ('click', 'view')""")
+def ctr_test_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Test rows and their labels, from two files' lines, joined by id."""
+    e = table(spark, d, "events")
+    features = T.int_table(e.select(F.concat_ws("\t", "event_id", F.lit("x"), F.hour("ts"), "user_id").alias("value")), ("id", "ad", "user"), drop=(1,))
+    clicks = (F.col("event_type") == "click").cast("int")
+    labels = T.int_table(e.where("event_type IN ('click', 'view')").select(F.concat_ws("\t", "event_id", clicks, F.lit(1)).alias("value")), ("id", "clicks", "impressions"))
+    return datasets.ctr_test_pairs(features, labels)
 
 
 # --- vectors ----------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorix.sources import text
@@ -13,12 +13,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): lines with their order inside each file, for formats with header lines.
+    """(file, line_no, value): non-empty lines with their order inside each file, for formats with header lines.
 
-    The order comes from whole files split in place, so it doesn't depend on how Spark cuts the input.
+    line_no is a struct (block, pos): the place of the piece of the file that a task reads, and a number that rises
+    within the piece. Files are split as usual, so their size doesn't matter.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return whole.where(F.col("value") != "")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("line_no"), "value").where(F.col("value") != "")
 
 
 def read_ratings(spark: SparkSession, path: str, format: str = "parquet", sep: str = ",", mean: float = 0.0, scale: float = 1.0) -> DataFrame:  # noqa: A002
@@ -56,9 +57,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(word_id, word): one word per line, the line number is the id."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\n")).alias("word_id", "word"))
-    return lines.select("word_id", F.trim("word").alias("word"))
+    """(word_id, word): one word per line, the line number inside its file is the id; blank lines count but give no word."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("word"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece of a file
+    pieces = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("pos"))
+    return lines.withColumn("rank", rank).join(pieces, ["file", "block"]).where(F.col("word") != "").select((F.col("start") + F.col("rank") - 1).cast("int").alias("word_id"), "word")
 
 
 def unblock(blocks: DataFrame) -> DataFrame:
@@ -75,6 +79,24 @@ def write_ratings(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_tensor(df: DataFrame, path: str) -> None:
+    """Tensor cells (i, j, k, value) as Parquet."""
+    df.select("i", "j", "k", "value").write.mode("overwrite").parquet(path)
+
+
+def write_records(features: DataFrame, path: str) -> None:
+    """Int-array records (features, the label last) as Parquet; read back with int_records."""
+    features.select("features").write.mode("overwrite").parquet(path)
+
+
+def write_top_words(top: DataFrame, path: str, dictionary: DataFrame | None = None) -> None:
+    """One text line per topic: its words (or their ids), best first."""
+    named = top if dictionary is None else top.join(dictionary.select(F.col("word_id").alias("word"), F.col("word").alias("name")), "word", "left")
+    text_of = F.col("word").cast("string") if dictionary is None else F.coalesce("name", F.col("word").cast("string"))
+    line = named.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", text_of.alias("w")))).alias("l")).orderBy("topic")
+    line.select(F.concat_ws(" ", F.concat(F.col("topic").cast("string"), F.lit(":")), F.col("l.w")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_blocks(ratings: DataFrame, path: str, files: int) -> None:
     """Ratings with block columns, one folder per block, coalesced to `files` write tasks."""
     ratings.repartition(files, "rb", "cb").write.mode("overwrite").partitionBy("rb", "cb").parquet(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 LINE = "value"
 
@@ -34,13 +35,22 @@ def libsvm(lines: DataFrame, binary: bool = False, intercept: bool = True) -> Da
 
     A token without value counts 1. `binary` gives a null `val` (all ones). Blank lines give no row.
     """
-    tokens = _tokens(F.col(LINE))
-    features = F.filter(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: _pair_index(t).isNotNull())
-    first_i, first_v = (F.array(F.lit(0)), F.array(F.lit(1.0))) if intercept else (F.array().cast("array<int>"), F.array().cast("array<double>"))
+    keep = [c for c in lines.columns if c != LINE]
+    # one-element lateral arrays: the line and each token are split once, not in every place of use
+    split = lines.select(*keep, F.explode(F.array(_tokens(F.col(LINE)))).alias("__t")).where(F.size("__t") > 0)
+
+    def pair(t: Column) -> Column:
+        p = F.split(t, ":")
+        return F.struct(p[0].try_cast("int").alias("i"), (F.lit(1.0) if binary else F.coalesce(F.get(p, F.lit(1)).try_cast("double"), F.lit(1.0))).alias("v"))
+
+    pairs = F.filter(F.transform(F.slice("__t", 2, F.greatest(F.size("__t") - 1, F.lit(0))), pair), lambda e: e["i"].isNotNull())
+    made = split.select(*keep, label(F.col("__t")[0]).alias("label"), F.explode(F.array(pairs)).alias("__e"))
     shift = 1 if intercept else 0
-    idx = F.concat(first_i, F.transform(features, lambda t: _pair_index(t) + shift))
-    val = F.lit(None).cast("array<double>") if binary else F.concat(first_v, F.transform(features, lambda t: F.coalesce(_pair_value(t), F.lit(1.0))))
-    return lines.where(F.size(tokens) > 0).select(*(c for c in lines.columns if c != LINE), label(tokens[0]).alias("label"), idx.alias("idx"), val.alias("val"))
+    idx = F.transform("__e", lambda e: e["i"] + shift)
+    val = F.transform("__e", lambda e: e["v"])
+    if intercept:
+        idx, val = F.concat(F.array(F.lit(0)), idx), F.concat(F.array(F.lit(1.0)), val)
+    return made.select(*keep, "label", idx.alias("idx"), (F.lit(None).cast("array<double>") if binary else val).alias("val"))
 
 
 def explode_vectors(vectors: DataFrame, key: str = "row_id") -> DataFrame:
@@ -110,15 +120,27 @@ def time_tensor(ratings: DataFrame, interval: int) -> DataFrame:
     return ratings.crossJoin(F.broadcast(first)).select(F.col("row").alias("i"), F.col("col").alias("j"), (bucket - F.col("first")).cast("int").alias("k"), "value")
 
 
+#: Lines of a piece in which headers are carried forward at once.
+PIECE_LINES = 1 << 16
+
+
 def headed(lines: DataFrame, order: str, header: str, group: str | None = None) -> DataFrame:
     """Carry header lines forward: each other line gets the text of the last line above it matching `header`.
 
-    `group` separates files, which are ordered independently; without it all lines form one sequence.
+    `group` separates files, which are ordered independently; without it all lines form one sequence. `order` is
+    a line number, or a struct whose field `block` is the place of the file's piece the line comes from. No task
+    holds a whole file: headers are carried inside pieces, and each piece's last header over the table of pieces.
     """
-    window = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    is_head = F.col(LINE).rlike(header)
-    w = window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("header", F.last(F.when(is_head, F.col(LINE)), ignorenulls=True).over(w)).where(~is_head & F.col("header").isNotNull())
+    block = isinstance(lines.schema[order].dataType, st.StructType)
+    piece = F.col(order)["block"] if block else F.floor(F.col(order) / PIECE_LINES)
+    marked = lines.withColumns({"__piece": piece, "__file": F.col(group) if group else F.lit(0), "__head": F.when(F.col(LINE).rlike(header), F.col(LINE))})
+    heads = marked.groupBy("__file", "__piece").agg(F.max_by("__head", F.when(F.col("__head").isNotNull(), F.col(order))).alias("__last"))
+    before = Window.partitionBy("__file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+    carried = heads.select(F.col("__file").alias("__f"), F.col("__piece").alias("__p"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    w = Window.partitionBy("__file", "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.withColumn("__own", F.last("__head", ignorenulls=True).over(w)).where(F.col("__head").isNull())
+    met = own.join(carried, F.col("__file").eqNullSafe(F.col("__f")) & (F.col("__piece") == F.col("__p")), "left")
+    return met.withColumn("header", F.coalesce("__own", "__carried")).where(F.col("header").isNotNull()).select(*lines.columns, "header")
 
 
 def netflix(lines: DataFrame, order: str = "line_no", group: str | None = "file") -> DataFrame:
@@ -164,8 +186,6 @@ def with_random_gamma(docs: DataFrame, topics: int, seed: int = 0, key: str = "d
 
     import numpy as np
     import pyarrow as pa
-    from pyspark.sql import types as st
-
     from quorix.session import ship_package
 
     ship_package(docs.sparkSession)
