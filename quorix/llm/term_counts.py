@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorix.session import cut
+from quorix.session import snapshot
 
 #: A term is a heavy candidate if it takes this share of one batch's entries; at most MOST_HEAVY are kept
 #: (a switch between two exact ways of counting: the others are counted as light terms).
@@ -105,12 +105,12 @@ def count_terms(blocks: DataFrame, share: float = HEAVY_SHARE, most: int = MOST_
     n_records counts distinct records. Entries with col_idx -1, null or out of range, and rows or columns
     without an id, are ignored; null arrays are an empty block; an empty table gives no terms.
     """
-    blocks = once_delivered(blocks)
+    # repeated deliveries don't matter here: heavy terms only choose between two exact ways of counting
     heavy = np.array(sorted(heavy_terms(blocks, share, most)), np.int64)
     width = max(1, (len(heavy) + 7) // 8)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Light: (record, term, n). Heavy: the record's bit set; counts of entries in rows without record."""
+        """Light: (record and term as one number, n). Heavy: (record, bit set), and (-1 - term, n) for its entries."""
         for batch in batches:
             records, terms = _gathered(batch)
             if not len(terms):
@@ -118,25 +118,27 @@ def count_terms(blocks: DataFrame, share: float = HEAVY_SHARE, most: int = MOST_
             slot = np.searchsorted(heavy, terms) if len(heavy) else np.zeros(len(terms), np.int64)
             is_heavy = (slot < len(heavy)) & (heavy[np.minimum(slot, len(heavy) - 1)] == terms) if len(heavy) else np.zeros(len(terms), bool)
             # both ids are 31-bit: one sortable number per pair
-            light, n = np.unique(records[~is_heavy] << 32 | terms[~is_heavy], return_counts=True)
-            yield _rows(light >> 32, light & 0xFFFFFFFF, n, None)
+            light = records[~is_heavy] << 32 | terms[~is_heavy]
+            light.sort()
+            first = np.nonzero(np.diff(light, prepend=-1))[0]
+            yield _rows(light[first], np.diff(np.append(first, len(light))), None)
             if is_heavy.any():
                 entries = np.bincount(slot[is_heavy], minlength=len(heavy))
                 used = np.nonzero(entries)[0]
-                yield _rows(None, heavy[used], entries[used], None)
+                yield _rows(-1 - heavy[used], entries[used], None)
                 ids, at = np.unique(records[is_heavy], return_inverse=True)
                 bits = np.zeros((len(ids), width * 8), np.uint8)
                 bits[at, slot[is_heavy]] = 1
-                packed = np.packbits(bits, axis=1)
-                yield _rows(ids, None, None, [x.tobytes() for x in packed])
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(ids), [None, pa.py_buffer(np.packbits(bits, axis=1).tobytes())])
+                yield _rows(ids, None, packed.cast(pa.binary()))
 
     # read three times below: decode the blocks only once
-    parts = cut(blocks.mapInArrow(split, "record bigint, term_id bigint, n bigint, bits binary"))
+    parts = snapshot(once_delivered(blocks).mapInArrow(split, "key bigint, n bigint, bits binary"))
     light = (
-        parts.where("record is not null and bits is null")
-        .groupBy("term_id", "record")
+        parts.where("key >= 0 and bits is null")
+        .groupBy("key")
         .agg(F.sum("n").alias("n"))
-        .groupBy("term_id")
+        .groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("term_id"))
         .agg(F.sum("n").alias("n_entries"), F.count(F.lit(1)).alias("n_records"))
     )
     if not len(heavy):
@@ -164,21 +166,16 @@ def count_terms(blocks: DataFrame, share: float = HEAVY_SHARE, most: int = MOST_
             counters += np.unpackbits(held)[: len(heavy)]
         yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(counters)], names=["term_id", "n"])
 
-    per_record = parts.where("bits is not null").select("record", "bits").repartition("record").sortWithinPartitions("record")
+    per_record = parts.where("bits is not null").select("key", "bits").repartition("key").sortWithinPartitions("key")
     holders = per_record.mapInArrow(merge, "term_id bigint, n bigint").groupBy("term_id").agg(F.sum("n").alias("n_records"))
-    entries = parts.where("record is null").groupBy("term_id").agg(F.sum("n").alias("n_entries"))
+    entries = parts.where("key < 0").groupBy((-1 - F.col("key")).alias("term_id")).agg(F.sum("n").alias("n_entries"))
     return light.unionByName(entries.join(holders, "term_id").select("term_id", "n_entries", "n_records"))
 
 
-def _rows(records: np.ndarray | None, terms: np.ndarray | None, n: np.ndarray | None, bits: list[bytes] | None) -> pa.RecordBatch:
-    size = len(records) if records is not None else len(terms)
-
-    def column(x: np.ndarray | None) -> pa.Array:
-        return pa.nulls(size, pa.int64()) if x is None else pa.array(x, pa.int64())
-
+def _rows(keys: np.ndarray, n: np.ndarray | None, bits: pa.Array | None) -> pa.RecordBatch:
+    size = len(keys)
     return pa.RecordBatch.from_arrays(
-        [column(records), column(terms), column(n), pa.nulls(size, pa.binary()) if bits is None else pa.array(bits, pa.binary())],
-        names=["record", "term_id", "n", "bits"],
+        [pa.array(keys, pa.int64()), pa.nulls(size, pa.int64()) if n is None else pa.array(n, pa.int64()), pa.nulls(size, pa.binary()) if bits is None else bits], names=["key", "n", "bits"]
     )
 
 
