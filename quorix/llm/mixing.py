@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorix.session import cut
+from quorix.session import snapshot
 
-#: Buckets of the random key per source; windows hold about 1/BUCKETS of a source.
-BUCKETS = 1024
+#: Fewest and most buckets of the random key per source, and the documents that a bucket of a table with one source aims at.
+LEAST_BUCKETS = 1024
+MOST_BUCKETS = 1 << 22
+BUCKET_DOCS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,7 @@ class Mix:
     report: DataFrame
 
 
-def mix_sources(sized: DataFrame, targets: DataFrame, *, seed: int = 42, buckets: int = BUCKETS, checkpoint: bool = True) -> Mix:
+def mix_sources(sized: DataFrame, targets: DataFrame, *, seed: int = 42, buckets: int | None = None, checkpoint: bool = True) -> Mix:
     """Choose documents so that each source gets target_share of the whole.
 
     `sized` has doc_id, source, n_tokens; `targets` has source, target_share, max_repeats (a small
@@ -49,6 +51,11 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, seed: int = 42, buckets
             F.max(F.greatest(F.coalesce(F.col("max_repeats"), F.lit(1)), F.lit(0))).alias("max_repeats"),
         )
     )
+    if buckets is None:
+        # windows hold about BUCKET_DOCS documents however large a source grows
+        buckets, n = LEAST_BUCKETS, sized.count()
+        while buckets < MOST_BUCKETS and buckets * BUCKET_DOCS < n:
+            buckets *= 2
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     docs = sized.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).select(
         "doc_id",
@@ -60,7 +67,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, seed: int = 42, buckets
     )
     docs = docs.join(F.broadcast(t.select("source")), "source", "left_semi")
     if checkpoint:
-        docs = cut(docs)
+        docs = snapshot(docs)
     # sources x buckets rows from here on
     sums = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     own = sums.groupBy("source").agg(F.sum("tokens").alias("own"), F.sum("n_docs").alias("n_docs"))
@@ -95,7 +102,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, seed: int = 42, buckets
         .select("doc_id", "source", "n_tokens", "copies")
     )
     if checkpoint:
-        chosen = cut(chosen)
+        chosen = snapshot(chosen)
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.sum("copies").alias("n_used"))
     made = used.agg(F.sum("used").alias("made"))
     report = (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorix.llm import encoding, mixing, sampling, similar_vectors, term_counts, truncation
-from quorix.session import cut, table
+from quorix.session import snapshot, table
 
 #: Asking rows of the search query: ids divisible by this.
 ASK_EVERY = 100
@@ -70,7 +70,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix_sources(cut(encoding.token_counts(docs)), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_sources(snapshot(encoding.token_counts(docs)), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
