@@ -184,3 +184,30 @@ def sparse_dot(a: DataFrame, b: DataFrame, key: str, idx: str = "idx", val: str
     """(key, dot): only common indices meet, by an inner join."""
     left, right = _exploded(a, key, idx, val, "x"), _exploded(b, key, idx, val, "y")
     return left.join(right, ["key", "idx"]).groupBy(F.col("key").alias(key)).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+
+
+def int_vector(a: Column) -> Column:
+    """The vector as whole numbers, rounded toward zero."""
+    return F.transform(a, lambda x: x.cast("bigint"))
+
+
+def int_divide(a: Column, s: Column | int) -> Column:
+    """Whole-number division by a scalar, toward zero; by 0 null elements."""
+    s = s if isinstance(s, Column) else F.lit(s)
+    return F.transform(a, lambda x: F.when(s != 0, (x.cast("bigint") - x.cast("bigint") % s) / s).cast("bigint"))
+
+
+def sorted_sparse(idx: Column, val: Column) -> Column:
+    """struct (idx, val) with rising indices; a null `val` stays null."""
+    e = F.array_sort(F.arrays_zip(idx.alias("i"), values_or_ones(idx, val).alias("v")))
+    return F.struct(F.transform(e, lambda x: x["i"]).alias("idx"), F.when(val.isNotNull(), F.transform(e, lambda x: x["v"])).alias("val"))
+
+
+def sparse_scale(val: Column, idx: Column, s: Column | float) -> Column:
+    """The values times a scalar; a binary vector becomes a constant one."""
+    return scale(values_or_ones(idx, val), s)
+
+
+def put(a: Column, at: Column, x: Column) -> Column:
+    """The vector with `x` at the 0-based position `at`; unchanged out of range."""
+    return F.transform(a, lambda v, i: F.when(i == at, _d(x)).otherwise(_d(v)))

@@ -97,3 +97,15 @@ def gather_factors(local_ids: np.ndarray, global_ids: np.ndarray, factors: np.nd
     out = np.full((len(local_ids), factors.shape[1]), fill)
     out[at >= 0] = factors[at[at >= 0]]
     return out
+
+
+def jagged_rows(rows: np.ndarray, cols: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(row ids, column ids per row, values per row), rows and columns rising: rows of any length without shared arrays."""
+    b = build_block(rows, cols, values)
+    cut = b.row_ptr[1:-1]
+    return b.row_map, np.split(b.col_map[b.col_idx] if len(b.col_idx) else b.col_idx, cut), np.split(b.value_r, cut)
+
+
+def column_view(block: SparseBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column id, row id, value) of the entries column by column."""
+    return np.repeat(block.col_map, np.diff(block.col_ptr)), block.row_map[block.row_idx] if len(block.row_idx) else block.row_idx, block.value_c

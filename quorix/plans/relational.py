@@ -272,7 +272,7 @@ def als_normal_eq(spark: SparkSession, d: str) -> DataFrame:
     f = f.withColumn("prec", F.transform("f", lambda _: F.lit(float("inf"))))
     sums = Links.of(r, "row", "col", 4).normal_equations(f, 3)
     # packed: the upper triangle of X'X row by row, then X'y
-    places = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get("packed", F.lit(i)).alias("v")) for i, (a, b) in enumerate([*zip(*map(list, triangle(3))), (0, -1), (1, -1), (2, -1)])))
+    places = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get("packed", F.lit(i)).alias("v")) for i, (a, b) in enumerate([*zip(*(x.tolist() for x in triangle(3))), (0, -1), (1, -1), (2, -1)])))
     return sums.select(F.col("id").alias("row"), F.inline(places)).groupBy("row", "a", "b").agg(F.round(F.sum("v"), 4).alias("xtx"))
 
 

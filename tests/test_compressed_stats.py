@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from quorix.operators import compressed_stats as cs
 
 SCHEMA = "row_idx int, col_idx int, value float, n int, side string"
@@ -53,3 +55,21 @@ def test_heavy_keys_and_quantiles(spark):
 def test_empty(spark):
     c = cs.compress(spark.createDataFrame([], SCHEMA), {"row": "row_idx", "col": "col_idx"}, "value")
     assert cs.key_stats(c).count() == 0 and cs.heavy_keys(c, 0.02).count() == 0
+
+
+def test_quantiles_of_a_hot_key_with_many_values(spark):
+    """Negative, tiny, infinite and repeated values; one key holds nearly all of 20,000 distinct ones."""
+
+    rng = random.Random(3)
+    values = [rng.gauss(0, 1) * 10 ** rng.randrange(-30, 30) for _ in range(20000)] + [0.0, -0.0, float("inf"), float("-inf"), 5e-324] * 3
+    rows = [(1, v) for v in values] + [(2, 1.5), (2, 1.5), (2, 2.5), (3, None), (3, float("nan")), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, value double").repartition(7)
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.key_id: r for r in cs.weighted_quantiles(cs.compress(df, {"s": "k"}, "value"), shares).collect()}
+    assert set(got) == {1, 2}
+    values.sort()
+    for i, p in enumerate(shares):
+        assert got[1][f"q{i}"] == values[max(0, math.ceil(len(values) * p) - 1)]
+    assert [got[2][f"q{i}"] for i in range(5)] == [1.5, 1.5, 1.5, 2.5, 2.5]
+    ranges = df.where("k = 1").distinct().groupBy(cs.value_range(F.col("value")).alias("r")).count()
+    assert ranges.agg(F.max("count")).first()[0] < 200

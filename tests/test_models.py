@@ -131,3 +131,85 @@ def test_generators_are_reproducible(spark):
     assert a.groupBy("row", "col").count().where("count > 1").count() == 0
     m = synth.moments(synth.synth_tensor(spark, (20, 20, 20), density=0.2)).first()
     assert 1200 < m.n_train + m.n_test < 2000
+
+
+def test_routed_sums_equal_plain_ones_with_a_hot_id(spark):
+    """An id with most ratings is spread over blocks; ids without factor and repeated ratings are handled."""
+    from quorix.models.mf import Links, triangle
+
+    rng = np.random.default_rng(4)
+    rows = np.where(rng.random(3000) < 0.6, 7, rng.integers(0, 50, 3000))
+    cols, vals = rng.integers(0, 80, 3000), rng.normal(size=3000)
+    data = [(int(r), int(c), float(v)) for r, c, v in zip(rows, cols, vals)] + [(1, 2, 0.5)] * 3 + [(5, 999, 1.0)]
+    links = Links.of(spark.createDataFrame(data, "row int, col int, value double"), "row", "col", 4)
+    assert links.data.where("id = 7").select("block").distinct().count() == 4
+    assert links.data.where("id = 8").select("block").distinct().count() == 1
+    f = rng.normal(size=(80, 3))
+    other = spark.createDataFrame([(i, [float(x) for x in f[i]], [2.0] * 3) for i in range(80)], "id int, f array<double>, prec array<double>")
+    got = {}
+    for r in links.normal_equations(other, 3).collect():
+        got[r.id] = got.get(r.id, 0) + np.r_[r.n, r.packed]
+    a, b = triangle(3)
+    known = [(r, c, v) for r, c, v in data if c < 80]
+    for i in {r for r, _, _ in known}:
+        x, y = np.array([f[c] for r, c, _ in known if r == i]), np.array([v for r, _, v in known if r == i])
+        assert np.allclose(got[i], np.r_[len(y), (x.T @ x)[a, b], x.T @ y, np.full(3, len(y) / 2)])
+    assert set(got) == {r for r, _, _ in known}
+
+
+def test_global_step_names_its_blocks_and_keeps_local_factors(spark):
+    from quorix.models import consensus as C
+
+    rows = [(b, 0, i, [1.0 * i, 2.0], [0.5, 0.0], [1.0 + b, 1.0], 2.0) for i in (1, 2) for b in range(i)] + [(0, 1, 9, [3.0, 4.0], [0.0, 0.0], [1.0, 1.0], 1.0)]
+    state = spark.createDataFrame(rows, "block int, dim int, id int, f array<double>, lag array<double>, gamma array<double>, n_obs double")
+    got = {(r.dim, r.id): (r.f, r.blocks) for r in C.global_step(state, lam=1.0, regularizer="L1", dual=True, weighted=True, plain=False, own_only=F.col("dim") == 1, blocks=True).collect()}
+    assert got[(0, 1)] == ([0.0, 0.0], [0]) and got[(1, 9)] == ([3.0, 4.0], [0])
+    assert np.allclose(got[(0, 2)][0], [(2.5 * 6 - 1) / 6, (2.0 * 4 - 1) / 4]) and got[(0, 2)][1] == [0, 1]
+
+
+def test_lr_options_reach_their_solvers(spark, vectors):
+    base = dict(blocks=3, outer=3, inner=4, reg=0.1, stop_auc=-1.0)
+    for options in (
+        dict(strategy=LrStrategy.HMEM, ard=True),
+        dict(strategy=LrStrategy.HECMEM, elastic=0.01),
+        dict(strategy=LrStrategy.AVGM, optimizer=Optimizer.CG, t_prior=(1.0, 1.0)),
+        dict(strategy=LrStrategy.ADMM, optimizer=Optimizer.CG, clip=10.0, inner_stop=1e-3),
+        dict(strategy=LrStrategy.ADMM, inner_stop=1e-3, bound="JAAKKOLA"),
+    ):
+        assert last(fit_lr(vectors, LrParams(**base, **options)).history, "auc")[-1] > 0.95
+    early = fit_lr(vectors, LrParams(**base, strategy=LrStrategy.AVGM, target_auc=0.9))
+    assert len(last(early.history, "auc")) == 1
+    for bad in (dict(strategy=LrStrategy.AVGM, ard=True), dict(strategy=LrStrategy.AVGM, t_prior=(1.0, 1.0))):
+        with pytest.raises(ValueError):
+            LrParams(**bad).resolved()
+
+
+def test_t_prior_is_heavy_tailed():
+    """The solver climbs its own objective; a far optimum is pulled less than by the Gaussian prior of the same weight at 0."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = np.where(x @ np.array([3.0, -2.0, 1.0]) + 0.3 * rng.normal(size=400) > 0, 1.0, -1.0)
+    d = K.Design(400, 3, np.repeat(np.arange(400), 3), np.tile(np.arange(3), 400), x.ravel())
+    zero = np.zeros(3)
+
+    def value(w, shape, scale):
+        return K.log_likelihood(d, y, w) - (shape + 1.5) * np.log1p((w @ w) / (2 * scale))
+
+    found = [K.solve_t_prior(d, y, zero, zero, r, 20.0, 1.0) for r in (1, 3, 30)]
+    assert value(found[0], 20.0, 1.0) < value(found[1], 20.0, 1.0) <= value(found[2], 20.0, 1.0) + 1e-9
+    near = found[2] + 0.01 * rng.normal(size=(20, 3))
+    assert all(value(n, 20.0, 1.0) <= value(found[2], 20.0, 1.0) + 1e-6 for n in near)
+    weight, r = K.t_weight(zero, zero, 20.0, 1.0)
+    gauss = K.solve_gradient(d, y, zero, zero, weight, 30, "CG")
+    assert r == 0 and np.linalg.norm(found[2]) > np.linalg.norm(gauss)
+
+
+def test_bound_objective_touches_the_likelihood():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 2))
+    y = np.where(rng.random(50) < 0.5, 1.0, -1.0)
+    d = K.Design(50, 2, np.repeat(np.arange(50), 2), np.tile(np.arange(2), 50), x.ravel())
+    w = rng.normal(size=2)
+    exact = K.log_likelihood(d, y, w)
+    assert np.isclose(K.bound_objective(d, y, w, "JAAKKOLA"), exact) and K.bound_objective(d, y, w, "TAYLOR") == exact
+    assert K.bound_objective(d, y, w, "JAAKKOLA", np.ones(2)) < exact

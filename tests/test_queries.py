@@ -6,7 +6,7 @@ import pytest
 
 from tests.compare import both, connect
 
-MODULES = [importlib.import_module(f"quorix.plans.{m}") for m in ("skew_and_parsing", "relational", "models")]
+MODULES = [importlib.import_module(f"quorix.plans.{m}") for m in ("skew_and_parsing", "relational", "local_and_io", "models")]
 WITH_SQL = [(n, m) for m in MODULES for n in m.QUERIES if n in m.ORACLE]
 ROWS_ONLY = [(n, m) for m in MODULES for n in m.QUERIES if n not in m.ORACLE]
 
