@@ -1,10 +1,11 @@
 """Encoding a whole corpus with content-defined chunk reuse.
 
 Texts are cut where a rolling hash over the last 16 bytes meets a condition, so equal passages are cut
-alike in whatever document they stand. Each distinct chunk is encoded once per (chunk, salt), its ids go
-to every place it stands at, and the joins between chunks are verified and, where the tokens around a
-join could differ from those of the whole text, repaired by re-encoding a window that widens until both
-sides agree.
+alike in whatever document they stand. A first pass only hashes the chunks and finds those that occur more
+than once. Texts that share no chunk are encoded where they lie; of the others each distinct chunk is encoded
+once per (chunk, salt), its ids go to every place it stands at, and the joins between chunks are verified
+and, where the tokens around a join could differ from those of the whole text, repaired by re-encoding a
+window that widens until both sides agree.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix.llm.bitfilter import BitFilter
 from quorix.llm.tokenizers import ByteBpe, byte_bpe
+from quorix.session import snapshot
 
 #: One whitespace position in so many is a cut (a power of two): chunks of some 2 kB of prose or code.
 CUT_ONE_IN = 256
@@ -161,6 +164,41 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[p
         )
 
 
+def _hash_batches(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.RecordBatch]:
+    """(chunk, whole): the hash of each chunk of each text, with the text's."""
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        chunks, counts = [], []
+        for raw in _text_bytes(batch.column(1)):
+            cuts = [0, *cut_points(np.frombuffer(raw, np.uint8), one_in).tolist(), len(raw)]
+            chunks += [xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(cuts, cuts[1:])]
+            counts.append(len(cuts) - 1)
+        whole = np.repeat(batch.column(0).to_numpy(), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(whole, pa.int64())], names=["chunk", "whole"])
+
+
+def _whole_batches(batches: Iterator[pa.RecordBatch], name: str, folder: str | None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of texts that share nothing with others."""
+    bpe = byte_bpe(name, folder)
+    for batch in batches:
+        at, ids, held = 0, [], 0
+        for i, raw in enumerate(_text_bytes(batch.column(1))):
+            ids.append(bpe.encode_bytes(bytes(raw)))
+            held += len(ids[-1])
+            if held > FLUSH_IDS:
+                yield _id_rows(batch.column(0)[at : i + 1], ids)
+                at, ids, held = i + 1, [], 0
+        if ids:
+            yield _id_rows(batch.column(0)[at:], ids)
+
+
+def _id_rows(docs: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    flat = np.concatenate(ids).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat, pa.int32()))
+    return pa.RecordBatch.from_arrays([docs, lists], schema=_IDS)
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch], name: str, folder: str | None) -> Iterator[pa.RecordBatch]:
     bpe = byte_bpe(name, folder)
     last, ids = None, b""
@@ -243,18 +281,44 @@ def encode_corpus(
     ordinary text; a null doc_id stays null; rows delivered twice come out twice; further columns of `df`
     are ignored, whatever their names. The result doesn't depend on partitioning.
     """
-    picked = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks = picked.mapInArrow(lambda b: _chunk_batches(b, one_in), _CHUNKS_DDL)
+    picked = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("whole"))
+    again, once = _sharing(picked, one_in)
+    alone = once.select("doc_id", "text").mapInArrow(lambda b: _whole_batches(b, name, folder), _IDS_DDL)
+    chunks = again.select("doc_id", "text").mapInArrow(lambda b: _chunk_batches(b, one_in), _CHUNKS_DDL)
     pieces = (
         chunks.repartition("chunk", "salt")
         .sortWithinPartitions("chunk")
         .mapInArrow(lambda b: _encode_batches(b, name, folder), _PIECES_DDL)
     )
-    return (
+    joined = (
         pieces.repartition("doc_id", "mark")
         .sortWithinPartitions("doc_id", "mark", "pos")
         .mapInArrow(lambda b: _join_batches(b, name, folder), _IDS_DDL)
     )
+    return alone.unionByName(joined)
+
+
+def _sharing(picked: DataFrame, one_in: int) -> tuple[DataFrame, DataFrame]:
+    """(texts that share a chunk with another text or hold one twice, the others), of (doc_id, text, whole).
+
+    Only hashes are shuffled. The filters may take a text for a sharing one, which changes its way and not its ids.
+    """
+    hashes = snapshot(picked.where(F.length("text") > 0).select("whole", "text").mapInArrow(lambda b: _hash_batches(b, one_in), "chunk bigint, whole bigint"))
+    n = hashes.count()
+    shared = hashes.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk")
+    found = BitFilter.of(shared, n // 2).split(hashes, "chunk")[0].select("whole").distinct()
+    # written, since the first filter would be asked again for each of both parts
+    return BitFilter.of(snapshot(found), n).split(picked, "whole")
+
+
+def chunk_reuse(df: DataFrame, text: str = "text", one_in: int = CUT_ONE_IN) -> DataFrame:
+    """One row (texts, sharing_texts, chunks, distinct_chunks): how much of a corpus chunk reuse can save."""
+    picked = df.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("whole")).where(F.length("text") > 0)
+    hashes = snapshot(picked.select("whole", "text").mapInArrow(lambda b: _hash_batches(b, one_in), "chunk bigint, whole bigint"))
+    per = hashes.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    again = hashes.join(per.where("n > 1"), "chunk", "left_semi").agg(F.count_distinct("whole").alias("sharing_texts"))
+    counts = per.agg(F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("distinct_chunks"))
+    return picked.agg(F.count(F.lit(1)).alias("texts")).crossJoin(again).crossJoin(counts)  # one row each
 
 
 def token_counts(df: DataFrame, text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None, into: str = "n_tokens") -> DataFrame:

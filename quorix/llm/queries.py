@@ -68,6 +68,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p6_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts share a chunk with another, and how many of the chunks are distinct."""
+    return encoding.chunk_reuse(table(spark, sf_dir, "documents"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(snapshot(encoding.token_counts(docs)), table(spark, sf_dir, "mix_targets"))
@@ -101,7 +106,7 @@ def p8_by_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_sample, p3_cells, p3_grown_cells, p4_found, p4_neighbours, p4_nearest, p4_recall, p5_found, p5_counts, p6_ids, p7_found, p7_report, p7_mix, p8_found, p8_rates, p8_by_evidence)
+    for f in (p3_sample, p3_cells, p3_grown_cells, p4_found, p4_neighbours, p4_nearest, p4_recall, p5_found, p5_counts, p6_ids, p6_reuse, p7_found, p7_report, p7_mix, p8_found, p8_rates, p8_by_evidence)
 }
 
 _SAMPLED = """

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorix.llm.bitfilter import BitFilter
 from quorix.session import cut, snapshot
 
 #: A final trigram needs so many occurrences to be judged by itself, a final context so many.
@@ -38,10 +39,6 @@ UTF8_SLACK = 3
 _BLANK = "concat(' ', char(9), char(10), char(11), char(12), char(13), char(0), char(160), '\u3000', '\ufeff')"
 # Digits are one class, so that counts of rows or cells don't make words rare.
 _DIGITS = "[0-9]+(?:[.,][0-9]+)*"
-#: The filter that keeps words' keys away from the aggregation unless some text ends with them has this many
-#: bits per final key, up to a bound of 16 MB; beyond 8 million keys it is fuller and lets more keys through.
-FILTER_BITS = 16
-MOST_FILTER_WORDS = 1 << 21
 # A JSON notebook as one line: escaped and real line ends and commas separate words.
 _FLAT = r"translate(replace({text}, '\\n', ' '), concat(char(10), char(13), char(9), ','), '    ')"
 
@@ -106,34 +103,14 @@ SELECT e.*, words FROM e LATERAL VIEW explode(array({_words(f"regexp_replace(uni
     )
 
 
-def key_filter(ends: DataFrame) -> tuple[DataFrame, int]:
-    """(one row, bits: a bit array in which each final key of some text is set; its length in 64-bit words)."""
-    words = 1 << 10
-    while words < MOST_FILTER_WORDS and words * 64 < ends.count() * len(_KEY_NAMES) * FILTER_BITS:
-        words *= 2
-    spot = f"pmod(key, {words * 64}L)"
-    one = _sql(
-        ends.sparkSession,
-        f"""
-WITH b AS (
-  SELECT CAST({spot} DIV 64 AS INT) AS at, bit_or(shiftleft(1L, CAST({spot} % 64 AS INT))) AS bits
-  FROM (SELECT explode(array({", ".join(_KEY_NAMES)})) AS key FROM $ends) WHERE key IS NOT NULL GROUP BY 1
-)
-SELECT transform(array_sort(collect_list(struct(r.id AS at, coalesce(b.bits, 0L) AS bits))), x -> x.bits) AS bits
-FROM range({words}) r LEFT JOIN b ON r.id = b.at""",
-        ends=ends,
-    )
-    return one, words
-
-
 def end_counts(df: DataFrame, ends: DataFrame) -> DataFrame:
     """(key, inside, at_end): of each final trigram, context, word or class, how often it goes on and how often it ends a line (JSON: a text).
 
     All words of all texts are counted. A bit filter drops most keys that end no text before the partial
     aggregation; the exact semi join comes after it.
     """
-    bits, words = key_filter(ends)
-    spot = f"pmod(key, {words * 64}L)"
+    keys = ends.select(F.explode(F.array(*_KEY_NAMES)).alias("key"))
+    known = BitFilter.of(keys, ends.count() * len(_KEY_NAMES))
     return _sql(
         df.sparkSession,
         rf"""
@@ -151,13 +128,13 @@ WITH k AS (
   SELECT explode(array({", ".join(_keys("w", "i", "whole"))})) AS key, fin FROM p
 )
 SELECT c.key, inside, at_end FROM (
-  SELECT key, count_if(NOT fin) AS inside, count_if(fin) AS at_end FROM g CROSS JOIN (SELECT /*+ BROADCAST(b) */ bits FROM $bits b)
-  WHERE bit_get(get(bits, CAST({spot} DIV 64 AS INT)), CAST({spot} % 64 AS INT)) = 1 GROUP BY key
+  SELECT key, count_if(NOT fin) AS inside, count_if(fin) AS at_end FROM g CROSS JOIN (SELECT /*+ BROADCAST(b) */ __bits FROM $bits b)
+  WHERE {known.test("key")} GROUP BY key
 ) c LEFT SEMI JOIN k ON c.key = k.key
 """,
         src=df.select("fmt", F.col("text").cast("string").alias("text")),
         wanted=ends,
-        bits=bits,
+        bits=known.bits,
     )
 
 
