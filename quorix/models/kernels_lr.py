@@ -175,7 +175,7 @@ def solve_cd(
                 break
             last = now
         a, r = bound_terms(x, y, w, bound, prec)
-        reg = rho * (np.asarray(gamma, np.float64) if ard else np.full(x.p, float(gamma)))
+        reg = rho * np.broadcast_to(np.asarray(gamma, np.float64), x.p)
         for j in range(x.p):
             k = slice(x.ptr[j], x.ptr[j + 1])
             rows, v = x.rows[k], x.vals[k]

@@ -35,6 +35,10 @@ class LdaModel:
     history: DataFrame
     eta: np.ndarray
 
+    def document_topics(self, docs: DataFrame, rounds: int = 20) -> DataFrame:
+        """(doc_id, gamma) of documents (doc_id, words, counts) after folding in."""
+        return document_topics(docs, self.eta, self.alpha, rounds)
+
 
 def _docs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for i, w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):

@@ -204,7 +204,7 @@ class Links:
         counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
         whole = counts.agg((F.sum("n") / (4 * blocks)).alias("most"))  # one row
         hot = counts.crossJoin(F.broadcast(whole)).where("n > most").select("id", F.lit(True).alias("hot"))
-        spread = F.when(F.coalesce("hot", F.lit(False)), F.pmod(F.xxhash64("other"), F.lit(blocks))).otherwise(F.lit(0))
+        spread = F.when(F.coalesce("hot", F.lit(False)), F.col("other")).otherwise(F.lit(0))
         marked = rows.join(F.broadcast(hot), "id", "left").select("id", "other", "value", hash_block(blocks, "id", spread, seed=seed).alias("block"))
         data = marked.repartition(blocks, "block").persist(StorageLevel.MEMORY_AND_DISK)
         return Links(data, data.select("other", "block").distinct().persist(StorageLevel.MEMORY_AND_DISK))

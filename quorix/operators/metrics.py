@@ -82,3 +82,10 @@ def squared_error(predicted: DataFrame) -> DataFrame:
 
 def rmse(predicted: DataFrame, scale: float = 1.0) -> DataFrame:
     return squared_error(predicted).select((F.sqrt(F.col("se") / F.col("n")) * F.lit(scale)).alias("rmse"))
+
+
+def factor_penalty(factors: DataFrame, lam: float, max_norm: float = 1.0) -> DataFrame:
+    """One row (l2, l1, over): lam/2 |f|^2 and lam |f| over all factors, and how many exceed the squared norm `max_norm`."""
+    sq = F.aggregate("f", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    size = F.aggregate("f", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    return factors.agg((F.sum(sq) * (lam / 2)).alias("l2"), (F.sum(size) * lam).alias("l1"), F.count_if(sq > max_norm).alias("over"))

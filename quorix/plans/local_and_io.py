@@ -21,6 +21,7 @@ from quorix.models.mf import fit_mf
 from quorix.operators import counts as N
 from quorix.operators import partition as P
 from quorix.operators import sparse as D
+from quorix.operators.metrics import factor_penalty
 from quorix.plans.relational import _CLICKS, _PAIR, _RATINGS, _TOKENS, _pairs, _psi, clicks, lr_vectors, ratings, tokens
 from quorix.schema import Bound, LrParams, LrStrategy, MfParams, MfStrategy, Optimizer
 from quorix.session import ensure_checkpoint_dir, ship_package, table
@@ -292,6 +293,37 @@ def special_functions(spark: SparkSession, d: str) -> DataFrame:
     return got.select("event_id", *(F.round(n, 6).alias(n) for n in names), F.round("clamped", 5).alias("clamped"))
 
 
+@query("SELECT p_partkey, CAST(xor(xor(y, y >> 7), y >> 4) AS INTEGER) AS h FROM (SELECT p_partkey, xor(xor(x, x >> 20), x >> 12) AS y FROM (SELECT p_partkey, p_partkey * 1000 AS x FROM part))")
+def mixed_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A bit-mixing hash of ids, for seeds."""
+    return table(spark, d, "part").select("p_partkey", P.mix32(F.col("p_partkey") * 1000).alias("h"))
+
+
+@query("SELECT o_orderkey, count(*) AS n FROM orders GROUP BY o_orderkey")
+def split_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Training and validation parts: together each row once."""
+    train, validate = P.hash_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.8)
+    return train.unionByName(validate).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, true AS own, true AS near, CAST(3 AS INTEGER) AS topics, 1.0::DOUBLE AS unit FROM part")
+def document_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Unit and random starts of documents, and the block that always holds a replicated id."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("doc_id"))
+    rep = P.replicated_blocks(p.select("p_partkey"), "p_partkey", 5, 2.0).groupBy("p_partkey").agg(F.max(F.col("block") == P.hash_block(5, "p_partkey")).alias("own"))
+    g = T.with_random_gamma(T.with_unit_gamma(p, 3).withColumnRenamed("gamma", "ones"), 3)
+    near = F.forall("gamma", lambda x: F.abs(x - 1) < 0.6)
+    return g.join(rep, "p_partkey").select("p_partkey", "own", near.alias("near"), F.size("gamma").alias("topics"), F.array_max("ones").alias("unit"))
+
+
+@query(f"""WITH {_RATINGS}, f AS (SELECT row, [avg(value) / 25, 1.0::DOUBLE] AS f FROM r GROUP BY row) SELECT round(0.5 * sum(f[1] * f[1] + f[2] * f[2]), 5) AS l2, round(sum(abs(f[1]) + abs(f[2])), 5) AS l1, count(*) FILTER (f[1] * f[1] + f[2] * f[2] > 2) AS over FROM f""")
+def factor_penalties(spark: SparkSession, d: str) -> DataFrame:
+    """Regulariser values of factors."""
+    f = ratings(spark, d).groupBy("row").agg(F.array(F.avg("value") / 25, F.lit(1.0)).alias("f"))
+    r = factor_penalty(f, 1.0, 2.0)
+    return r.select(F.round("l2", 5).alias("l2"), F.round("l1", 5).alias("l1"), "over")
+
+
 # --- local sparse structures ------------------------------------------------------------------------
 
 _BLOCKED = f"{_RATINGS}, g AS (SELECT *, row % 3 AS block, row / 1000.0::DOUBLE AS fr, (col % 5)::DOUBLE AS fc FROM r)"
