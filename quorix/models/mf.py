@@ -87,7 +87,7 @@ def _blockwise(train: DataFrame, p: MfParams, strategy: MfStrategy, method: str,
         )
         return [got["fr"], got["fc"]], [got["prec_r"], got["prec_c"]], [got["gamma_r"], got["gamma_c"]], float(got["se"][0])
 
-    grid = rating_blocks(train, p.row_blocks, p.col_blocks, seed=p.seed)
+    grid = rating_blocks(train, p.row_blocks, p.col_blocks, by=p.block_by, seed=p.seed)
     n = p.row_blocks * p.col_blocks
     data = grid.select("block", F.col("row").alias("c0"), F.col("col").alias("c1"), "value").repartition(n, "block").persist(StorageLevel.MEMORY_AND_DISK)
     state, factors = C.empty_state(train), C.empty_factors(train)

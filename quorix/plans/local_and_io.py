@@ -18,12 +18,13 @@ from quorix.functions import special as S
 from quorix.functions import vectors as V
 from quorix.models.lr import fit_lr
 from quorix.models.mf import fit_mf
+from quorix.models.tf import fit_tf
 from quorix.operators import counts as N
 from quorix.operators import partition as P
 from quorix.operators import sparse as D
 from quorix.operators.metrics import factor_penalty
 from quorix.plans.relational import _CLICKS, _PAIR, _RATINGS, _TOKENS, _pairs, _psi, clicks, lr_vectors, ratings, tokens
-from quorix.schema import Bound, LrParams, LrStrategy, MfParams, MfStrategy, Optimizer
+from quorix.schema import Bound, LrParams, LrStrategy, MfParams, MfStrategy, Optimizer, TfParams
 from quorix.session import ensure_checkpoint_dir, ship_package, table
 from quorix.sources import readers
 from quorix.sources import text as T
@@ -427,13 +428,54 @@ def _mixed(x: str, shift: int, factor: int) -> str:
     return f"CAST(CAST(xor({x}, {x} >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT)"
 
 
-@query(f"""WITH {_RATINGS}, v AS (SELECT row, col, (value - 25.5) / 15.0 AS v FROM r),
-h0 AS (SELECT row, n, CAST(row * 1000003 AS UBIGINT) AS x FROM (SELECT row, count(*) AS n FROM v GROUP BY row)), h1 AS (SELECT row, n, {_mixed("x", 30, 0xBF58476D1CE4E5B9)} AS x FROM h0), h2 AS (SELECT row, n, {_mixed("x", 27, 0x94D049BB133111EB)} AS x FROM h1),
-s AS (SELECT row, n, 0.05 + 0.1 * (CAST(xor(x, x >> 31) >> 11 AS DOUBLE) / 9007199254740992.0 - 0.5) AS f FROM h2),
-c AS (SELECT col, sum(f * v) / (sum(f * f) + 0.1 * count(*) + 1e-12) AS f FROM v JOIN s USING (row) GROUP BY col),
+def _start(table_of_ids: str) -> str:
+    """SQL of (id, u): the seeded start of each id of rank 1, uniform in [-0.05, 0.05)."""
+    return (
+        f"h0 AS (SELECT id, CAST(id * 1000003 AS UBIGINT) AS x FROM ({table_of_ids})), h1 AS (SELECT id, {_mixed('x', 30, 0xBF58476D1CE4E5B9)} AS x FROM h0), "
+        f"h2 AS (SELECT id, {_mixed('x', 27, 0x94D049BB133111EB)} AS x FROM h1), s AS (SELECT id, 0.1 * (CAST(xor(x, x >> 31) >> 11 AS DOUBLE) / 9007199254740992.0 - 0.5) AS u FROM h2)"
+    )
+
+
+_CENTRED = f"{_RATINGS}, v AS (SELECT row, col, (value - 25.5) / 15.0 AS v FROM r), {_start('SELECT DISTINCT row AS id FROM v')}"
+
+
+@query(f"""WITH {_CENTRED}, c AS (SELECT col, sum((0.05 + u) * v) / (sum((0.05 + u) * (0.05 + u)) + 0.1 * count(*) + 1e-12) AS f FROM v JOIN s ON row = id GROUP BY col),
 k AS (SELECT row, sum(f * v) / (sum(f * f) + 0.1 * count(*) + 1e-12) AS f FROM v JOIN c USING (col) GROUP BY row)
 SELECT CAST(0 AS INTEGER) AS dim, row AS id, round(f, 6) AS f FROM k UNION ALL SELECT 1, col, round(f, 6) FROM c""")
 def mf_first_iteration(spark: SparkSession, d: str) -> DataFrame:
     """Both half-steps of the first exact iteration of rank 1, from the seeded start."""
     p = MfParams(strategy=MfStrategy.DMAP, rank=1, outer=1, gamma=0.1, weighted=True, mean=25.5, scale=15.0)
     return fit_mf(ratings(spark, d), p).factors.select("dim", "id", F.round(F.col("f")[0], 6).alias("f"))
+
+
+@query(f"""WITH {_CENTRED}, g AS (SELECT v.*, u, row % 2 AS rb, col % 2 AS cb FROM v JOIN s ON row = id),
+c AS (SELECT rb, col, sum(u * v) / (sum(u * u) + 0.5) AS f FROM g GROUP BY rb, col),
+k AS (SELECT cb, row, sum(f * v) / (sum(f * f) + 2) AS f FROM g JOIN c USING (rb, col) GROUP BY cb, row)
+SELECT CAST(0 AS INTEGER) AS dim, row AS id, round(CASE WHEN count(*) > 1 THEN 2 * sum(f) / (2 * count(*) + 0.25) ELSE 0 END, 6) AS f FROM k GROUP BY row
+UNION ALL SELECT 1, col, round(CASE WHEN count(*) > 1 THEN 0.5 * sum(f) / (0.5 * count(*) + 0.25) ELSE 0 END, 6) FROM c GROUP BY col""")
+def mf_first_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """The first iteration of four blocks of rank 1: each block's MAP sweep, then the global prox."""
+    p = MfParams(strategy=MfStrategy.HECMEM, rank=1, row_blocks=2, col_blocks=2, outer=1, inner=1, reg=0.25, gamma=2.0, gamma_cols=0.5, block_by="modulo", mean=25.5, scale=15.0)
+    return fit_mf(ratings(spark, d), p).factors.select("dim", "id", F.round(F.col("f")[0], 6).alias("f"))
+
+
+def _tensor_round(n: int) -> str:
+    """SQL of one round of a block's sweep, dimension by dimension, from a{n}, c{n} (and b)."""
+    a, c = f"a{n}", f"c{n}"
+    return (
+        f"b{n + 1} AS (SELECT block, j, sum(v * a * c) / (sum(a * a * c * c) + 0.5) AS b FROM t JOIN {a} USING (block, i) JOIN {c} USING (block, k) GROUP BY block, j), "
+        f"a{n + 1} AS (SELECT block, i, sum(v * b * c) / (sum(b * b * c * c) + 1) AS a FROM t JOIN b{n + 1} USING (block, j) JOIN {c} USING (block, k) GROUP BY block, i), "
+        f"c{n + 1} AS (SELECT block, k, sum(v * a * b) / (sum(a * a * b * b) + 2) AS c FROM t JOIN a{n + 1} USING (block, i) JOIN b{n + 1} USING (block, j) GROUP BY block, k)"
+    )
+
+
+@query(f"""WITH t AS (SELECT l_partkey % 2 AS block, l_partkey AS i, l_suppkey AS j, l_linenumber AS k, CAST(l_quantity AS DOUBLE) / 10 AS v FROM lineitem), {_start("SELECT DISTINCT l_partkey AS id FROM lineitem")},
+a0 AS (SELECT DISTINCT block, i, u AS a FROM t JOIN s ON i = id), c0 AS (SELECT DISTINCT block, k, 1.0::DOUBLE AS c FROM t), {_tensor_round(0)}, {_tensor_round(1)}
+SELECT CAST(0 AS INTEGER) AS dim, CAST(i AS INTEGER) AS id, round(a, 5) AS f FROM a2 UNION ALL SELECT 1, CAST(j AS INTEGER), round(CASE WHEN count(*) > 1 THEN avg(b) ELSE 0 END, 5) FROM b2 GROUP BY j
+UNION ALL SELECT 2, CAST(k AS INTEGER), round(CASE WHEN count(*) > 1 THEN avg(c) ELSE 0 END, 5) FROM c2 GROUP BY k""")
+def tf_first_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """The first iteration of a tensor of rank 1 in two blocks: two rounds of each block's sweep, then the global step."""
+    li = table(spark, d, "lineitem")
+    cells = li.select(*(F.col(c).cast("int").alias(n) for c, n in zip(("l_partkey", "l_suppkey", "l_linenumber"), "ijk")), (F.col("l_quantity").cast("double") / 10).alias("value"))
+    p = TfParams(rank=1, blocks=(2, 1, 1), outer=1, inner=2, gamma=(1.0, 0.5, 2.0), block_by="modulo")
+    return fit_tf(cells, p).factors.select("dim", "id", F.round(F.col("f")[0], 5).alias("f"))

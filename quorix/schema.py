@@ -124,7 +124,10 @@ class LrParams:
 
 @dataclass(frozen=True)
 class MfParams:
-    """Options of a matrix factorization run. `optimizer` None: ALS for dMAP, CD for dVB, CDPP for block strategies."""
+    """Options of a matrix factorization run. `optimizer` None: ALS for dMAP, CD for dVB, CDPP for block strategies.
+
+    `gamma_cols`: precision of the columns, if it differs. `block_by`: hash or modulo of the ids.
+    """
 
     strategy: MfStrategy = MfStrategy.HECMEM
     optimizer: MfOptimizer | None = None
@@ -143,6 +146,7 @@ class MfParams:
     mean: float = 0.0
     scale: float = 1.0
     stop: float = 0.0
+    block_by: str = "hash"
     seed: int = 0
 
     def resolved(self) -> MfOptimizer:
@@ -178,6 +182,7 @@ class TfParams:
     time_factors: bool = True
     frozen_outer: int = 0
     markov: float | None = None
+    block_by: str = "hash"
     seed: int = 0
 
 
