@@ -36,6 +36,7 @@ OPTIONS: dict[str, tuple] = {
     "lr": (
         *_PLACE, *_INPUT, *_LOOP, *_IGNORED, ("validate", str, None), ("reg_para", float, 1.0), ("gamma", float, 1.0), ("rho", float, 1.0), ("th", int, 0), ("binary", bool, False), ("seq", bool, False),
         ("auc", float, 1.0), ("ss_rate", float, 0.1), ("sample", float, 1.0), ("model", str, "admm"), ("opt", str, None), ("reg", str, "L2"), ("var", str, "taylor"),
+        ("ard", bool, False), ("elastic", float, 0.0), ("t_shape", float, 0.0), ("t_scale", float, 1.0), ("clip", float, 0.0), ("stop_crt", float, 0.0), ("dual", bool, False),
     ),
     "mf": (
         *_PLACE, *_INPUT, *_RATINGS, *_LOOP, *_MATRIX, *_IGNORED, ("reg_para", float, 0.0), ("opt", str, None), ("reg", str, "L2"), ("model", str, "hecmem"),
@@ -120,6 +121,7 @@ def run_lr(spark: SparkSession, o: argparse.Namespace) -> Run:
     p = LrParams(
         strategy=_member(LrStrategy, o.model), optimizer=_member(Optimizer, o.opt), regularizer=_member(Regularizer, o.reg), bound=_member(Bound, {"bohning": "bohning"}.get(o.var.lower(), o.var)),
         blocks=_blocks(o), outer=o.outer_iter, inner=o.inner_iter, reg=o.reg_para, rho=o.rho, gamma=o.gamma, subsample=o.ss_rate, target_auc=o.auc, seed=o.seed,
+        include_dual=o.dual, ard=o.ard, elastic=o.elastic, t_prior=(o.t_shape, o.t_scale) if o.t_shape > 0 else None, clip=o.clip or None, inner_stop=o.stop_crt,
     )
     model = fit_lr(data, p, test)
     if o.output:

@@ -25,7 +25,7 @@ def libsvm_file(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("options", [[], ["-model", "dgm"], ["-model", "hecmem", "-reg", "L1", "-reg_para", "0.01"], ["-model", "avgm", "-opt", "cg", "-th", "30"]])
+@pytest.mark.parametrize("options", [[], ["-model", "dgm"], ["-model", "hecmem", "-reg", "L1", "-reg_para", "0.01"], ["-model", "avgm", "-opt", "cg", "-th", "30"], ["-model", "hmem", "-ard", "-elastic", "0.01", "-stop_crt", "0.001"]])
 def test_lr(spark, libsvm_file, tmp_path, options):
     run = cli.main(["lr", "-train", libsvm_file, "-validate", libsvm_file, "-output", str(tmp_path), "-num_slices", "3", "-outer_iter", "3", "-auc", "0.9999", *options], spark)
     assert last(run, "auc") > 0.95
