@@ -233,6 +233,7 @@ def _exact(train: DataFrame, p: MfParams, method: str) -> Iterator[tuple[DataFra
     k, seed = p.rank, p.seed
     spark = train.sparkSession
     blocks = max(p.row_blocks * p.col_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read four times to build the links
     by_row, by_col = Links.of(train, "row", "col", blocks, p.seed), Links.of(train, "col", "row", blocks, p.seed)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,3 +255,4 @@ def _exact(train: DataFrame, p: MfParams, method: str) -> Iterator[tuple[DataFra
     finally:
         by_row.release()
         by_col.release()
+        train.unpersist()

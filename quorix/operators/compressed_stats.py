@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorix.session import kept
+
 
 def compress(df: DataFrame, sides: dict[str, str], value: str) -> DataFrame:
     """(side, key_id, value, n): how often each value occurs under each key of each side.
@@ -42,6 +44,7 @@ def key_stats(compressed: DataFrame) -> DataFrame:
     (smallest of the most frequent) and median (lower one) are taken; these are null (n_distinct: 0)
     where a key has no such record. NaN and null values count in n only.
     """
+    compressed = kept(compressed)  # read for the sums and twice for the median
     v = F.when(_usable(), F.col("value").cast("double"))
     weight = F.when(_usable(), F.col("n")).otherwise(F.lit(0))
     keyed = compressed.where(F.col("key_id").isNotNull()).select("side", "key_id", "n", v.alias("v"), weight.alias("w"))
@@ -75,7 +78,7 @@ def weighted_quantiles(compressed: DataFrame, probabilities: Sequence[float]) ->
     key: the weights of its value ranges are summed first, and only the values of the range in which a
     quantile lies are sorted. Keys without a number give no row.
     """
-    rows = compressed.where(F.col("key_id").isNotNull() & _usable()).select("side", "key_id", F.col("value").cast("double").alias("value"), "n")
+    rows = kept(compressed).where(F.col("key_id").isNotNull() & _usable()).select("side", "key_id", F.col("value").cast("double").alias("value"), "n")
     rows = rows.withColumn("range", value_range(F.col("value")))
     by = Window.partitionBy("side", "key_id")  # at most one row per value range
     ranges = rows.groupBy("side", "key_id", "range").agg(F.sum("n").alias("w")).withColumns(

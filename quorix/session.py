@@ -89,6 +89,11 @@ def snapshot(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` if it is a snapshot, else a snapshot of it; for operators that read their input more than once."""
+    return df if getattr(df, "_quorix_path", None) else snapshot(df)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a snapshot's table."""
     path = getattr(df, "_quorix_path", None)
