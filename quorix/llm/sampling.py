@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorix.session import snapshot
+from quorix.session import kept, snapshot
 
 #: Inclusion probability per unit of weight.
 RATE = 0.05
@@ -68,8 +68,13 @@ def stored_weights(records: DataFrame, batch: str = "batch_no") -> DataFrame:
 
 def selected_cells(weights: DataFrame, rate: float = RATE, seed: int = 0) -> DataFrame:
     """(row_idx, col_idx, weight, probability) of the selected cells; 1/probability is the Horvitz-Thompson weight."""
+    return _selected(weights, rate, seed).drop("records")
+
+
+def _selected(weights: DataFrame, rate: float, seed: int) -> DataFrame:
     p = F.least(F.lit(1.0), F.col("weight") * F.lit(rate))
-    return weights.where(unit_hash(F.col("row_idx"), F.col("col_idx"), seed=seed) < F.col("weight") * F.lit(rate)).select("row_idx", "col_idx", "weight", p.alias("probability"))
+    chosen = weights.where(unit_hash(F.col("row_idx"), F.col("col_idx"), seed=seed) < F.col("weight") * F.lit(rate))
+    return chosen.select("row_idx", "col_idx", "weight", "records", p.alias("probability"))
 
 
 def _slot(row: Column, col: Column) -> Column:
@@ -90,11 +95,10 @@ def sample_records(records: DataFrame, weights: DataFrame, rate: float = RATE, s
     slot) can't be selected, and is dropped in the scan. A hot cell's Records are joined in SALTS tasks.
     Repeated Records all come out; a column of the name sample_probability is replaced; an empty table gives none.
     """
-    weights = snapshot(weights)  # read four times below
-    cells = snapshot(selected_cells(weights, rate, seed))
-    whole = weights.agg(F.sum("records").alias("whole"))  # one row
-    # at most 1 / HOT_SHARE rows, since their Records add up to all
-    hot = weights.crossJoin(F.broadcast(whole)).where(F.col("records") >= F.col("whole") * F.lit(HOT_SHARE)).select(F.col("row_idx").alias("__r"), F.col("col_idx").alias("__c"), F.lit(SALTS).alias("__salts"))
+    cells = kept(_selected(weights, rate, seed))  # read three times below
+    whole = records.agg(F.count(F.lit(1)).alias("whole"))  # one row
+    # at most 1 / HOT_SHARE rows, since their Records add up to all at most
+    hot = cells.crossJoin(F.broadcast(whole)).where(F.col("records") >= F.col("whole") * F.lit(HOT_SHARE)).select(F.col("row_idx").alias("__r"), F.col("col_idx").alias("__c"), F.lit(SALTS).alias("__salts"))
     hot = F.broadcast(hot)
     here = (F.col("row_idx") == F.col("__r")) & (F.col("col_idx") == F.col("__c"))
     salted = cells.join(hot, here, "left").select(
