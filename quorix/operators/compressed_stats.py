@@ -62,7 +62,7 @@ def key_stats(compressed: DataFrame) -> DataFrame:
 
 def heavy_keys(compressed: DataFrame, share: float) -> DataFrame:
     """(side, key_id, n): non-null keys that hold at least `share` of all rows, null keys included."""
-    counts = compressed.groupBy("side", "key_id").agg(F.sum("n").alias("n"))
+    counts = kept(compressed.groupBy("side", "key_id").agg(F.sum("n").alias("n")))  # read twice below
     whole = counts.groupBy("side").agg(F.sum("n").alias("whole"))  # one row per side: safe to broadcast
     return (
         counts.join(F.broadcast(whole), "side")
