@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quorix.functions import exprs
 from quorix.models import kernels_lr as K
 from quorix.operators import metrics
-from quorix.operators.partition import hash_block
+from quorix.operators.partition import even_block, hash_block
 from quorix.schema import LrParams, LrStrategy, Regularizer
 from quorix.session import release, ship_package, snapshot
 
@@ -39,7 +39,7 @@ class LrModel:
 
 def blocked(vectors: DataFrame, blocks: int, seed: int = 0) -> DataFrame:
     """Vectors with `block`: their own column of this name, else a hash of row_id."""
-    return vectors if "block" in vectors.columns else vectors.withColumn("block", hash_block(blocks, "row_id", seed=seed))
+    return vectors if "block" in vectors.columns else vectors.withColumn("block", even_block(vectors.sparkSession, blocks, hash_block(blocks, "row_id", seed=seed)))
 
 
 def _design(data: pa.Table) -> tuple[K.Design, np.ndarray, np.ndarray, pa.Array]:

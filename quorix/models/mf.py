@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorix.models import consensus as C
 from quorix.models import kernels_mf as K
-from quorix.operators.partition import hash_block, rating_blocks
+from quorix.operators.partition import even_block, hash_block, rating_blocks
 from quorix.schema import MfParams, MfStrategy, Regularizer
 from quorix.session import ship_package, snapshot
 
@@ -89,7 +89,7 @@ def _blockwise(train: DataFrame, p: MfParams, strategy: MfStrategy, method: str,
 
     grid = rating_blocks(train, p.row_blocks, p.col_blocks, by=p.block_by, seed=p.seed)
     n = p.row_blocks * p.col_blocks
-    data = grid.select("block", F.col("row").alias("c0"), F.col("col").alias("c1"), "value").repartition(n, "block").persist(StorageLevel.MEMORY_AND_DISK)
+    data = grid.select(even_block(train.sparkSession, n, F.col("block")).alias("block"), F.col("row").alias("c0"), F.col("col").alias("c1"), "value").repartition(n, "block").persist(StorageLevel.MEMORY_AND_DISK)
     state, factors = C.empty_state(train), C.empty_factors(train)
     own_only = ((F.col("dim") == 0) & F.lit(p.col_blocks == 1)) | ((F.col("dim") == 1) & F.lit(p.row_blocks == 1))
     for t in range(p.outer):
@@ -205,7 +205,7 @@ class Links:
         whole = counts.agg((F.sum("n") / (4 * blocks)).alias("most"))  # one row
         hot = counts.crossJoin(F.broadcast(whole)).where("n > most").select("id", F.lit(True).alias("hot"))
         spread = F.when(F.coalesce("hot", F.lit(False)), F.col("other")).otherwise(F.lit(0))
-        marked = rows.join(F.broadcast(hot), "id", "left").select("id", "other", "value", hash_block(blocks, "id", spread, seed=seed).alias("block"))
+        marked = rows.join(F.broadcast(hot), "id", "left").select("id", "other", "value", even_block(ratings.sparkSession, blocks, hash_block(blocks, "id", spread, seed=seed)).alias("block"))
         data = marked.repartition(blocks, "block").persist(StorageLevel.MEMORY_AND_DISK)
         return Links(data, data.select("other", "block").distinct().persist(StorageLevel.MEMORY_AND_DISK))
 

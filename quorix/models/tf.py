@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quorix.models import consensus as C
 from quorix.models import kernels_tf as K
-from quorix.operators.partition import cube_block, hash_block, modulo_block
+from quorix.operators.partition import cube_block, even_block, hash_block, modulo_block
 from quorix.schema import Regularizer, TfParams
 from quorix.session import snapshot
 
@@ -43,7 +43,7 @@ def fit_tf(cells: DataFrame, p: TfParams | None = None, validate: DataFrame | No
 
     n1, n2, n3 = p.blocks
     blocks = [modulo_block(f"c{d}", n) if p.block_by == "modulo" else hash_block(n, f"c{d}", seed=p.seed + d) for d, n in enumerate(p.blocks)]
-    data = prepared(cells).withColumn("block", cube_block(blocks[0], blocks[1], blocks[2], n2, n3)).repartition(n1 * n2 * n3, "block").persist(StorageLevel.MEMORY_AND_DISK)
+    data = prepared(cells).withColumn("block", even_block(spark, n1 * n2 * n3, cube_block(blocks[0], blocks[1], blocks[2], n2, n3))).repartition(n1 * n2 * n3, "block").persist(StorageLevel.MEMORY_AND_DISK)
     test = (data.drop("block") if validate is None else prepared(validate)).persist(StorageLevel.MEMORY_AND_DISK)
     split = [n1 * n2 * n3 // n > 1 for n in p.blocks]
     sw = C.Switches(prior=p.prior, dual=p.dual, has_prior=tuple(split))

@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 
 from quorix.functions import exprs as X
 from quorix.functions import vectors as V
-from quorix.functions.special import exp_dirichlet_expectation
 from quorix.models.consensus import global_step, mean_gamma
-from quorix.models.kernels_lda import m_step
-from quorix.models.lda import e_pass
+from quorix.models.lda import DocBlocks, Topics, e_pass, m_step
 from quorix.models.lr import Blocks, fit_lr
 from quorix.models.mf import Links, triangle
 from quorix.operators import counts as N
 from quorix.operators import metrics as M
 from quorix.operators import partition as P
 from quorix.schema import LrParams, LrStrategy, MfParams, MfStrategy, Optimizer
-from quorix.session import table
+from quorix.session import snapshot, table
 from quorix.sources import datasets
 from quorix.sources import text as T
 
@@ -602,20 +600,18 @@ h AS (SELECT doc_id, topic, gamma / sum(gamma) OVER (PARTITION BY doc_id) AS the
 @query(f"""WITH {_TOPICS}, p AS (SELECT d.doc_id, d.word, d.count, sum(theta * beta) AS p FROM d JOIN b ON d.word = b.word JOIN h ON h.doc_id = d.doc_id AND h.topic = b.topic GROUP BY ALL)
 SELECT round(sum(count * ln(p)), 3) AS llh, CAST(sum(count) AS BIGINT) AS tokens, round(exp(-sum(count * ln(p)) / sum(count)), 6) AS perplexity FROM p""")
 def lda_loglik(spark: SparkSession, d: str) -> DataFrame:
-    docs, eta = _topic_arrays(spark, d)
-    r = e_pass(docs, eta, np.ones(4), rounds=0)
+    docs, topics = _topic_tables(spark, d)
+    r = e_pass(docs, topics, np.ones(4), rounds=0)
     return spark.createDataFrame([(round(r.llh, 3), int(r.tokens), round(math.exp(-r.llh / r.tokens), 6))], "llh double, tokens bigint, perplexity double")
 
 
-def _topic_arrays(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
-    """(documents as arrays with gamma, topics matrix); words that no document holds have next to no weight."""
+def _topic_tables(spark: SparkSession, d: str) -> tuple[DocBlocks, Topics]:
+    """Documents with gamma in blocks, and topics with a row per word."""
     docs, topics, gammas = _topic_inputs(spark, d)
     words = docs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "count"))).alias("e")).select("doc_id", F.col("e.word").alias("words"), F.col("e.count").alias("counts"))
     starts = gammas.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("topic", "gamma"))).alias("g")).select("doc_id", F.col("g.gamma").alias("gamma"))
-    rows = topics.toArrow()  # 4 topics x the suppliers
-    eta = np.full((4, max(rows["word"].to_pylist()) + 1), 1e-12)
-    eta[rows["topic"].to_numpy(), rows["word"].to_numpy()] = rows["eta"].to_numpy()
-    return words.join(starts, "doc_id"), eta
+    rows = topics.groupBy(F.col("word").cast("int").alias("word")).agg(F.array_sort(F.collect_list(F.struct("topic", "eta"))).alias("t")).select("word", F.transform("t", lambda e: e["eta"].cast("double")).alias("eta"))
+    return DocBlocks.of(words.join(starts, "doc_id"), 4), Topics.of(snapshot(rows), 4, 0.1)
 
 
 def _psi(x: str) -> str:
@@ -635,10 +631,9 @@ SELECT CAST(xb.topic AS INTEGER) AS topic, CAST(xb.word AS INTEGER) AS word, rou
 FROM p2 JOIN xb ON p2.word = xb.word JOIN t2 ON t2.doc_id = p2.doc_id AND t2.topic = xb.topic GROUP BY xb.topic, xb.word""")
 def lda_one_step(spark: SparkSession, d: str) -> DataFrame:
     """One E-step and M-step from given topics."""
-    docs, eta = _topic_arrays(spark, d)
-    made = m_step(e_pass(docs, eta, np.ones(4), rounds=1).stats, exp_dirichlet_expectation(eta), 0.1)
-    rows = [(int(k), int(w), round(float(made[k, w]), 5)) for k in range(4) for w in range(made.shape[1]) if eta[k, w] > 1e-6]
-    return spark.createDataFrame(rows, "topic int, word int, eta double")
+    docs, topics = _topic_tables(spark, d)
+    made = m_step(e_pass(docs, topics, np.ones(4), rounds=1), topics, 0.1)
+    return made.long().select("topic", "word", F.round("eta", 5).alias("eta"))
 
 
 @query(f"""WITH {_TOPICS} SELECT CAST(topic AS INTEGER) AS topic, word, round(beta, 9) AS p, CAST(row_number() OVER (PARTITION BY topic ORDER BY beta DESC, word) AS INTEGER) AS rank FROM b QUALIFY rank <= 10""")

@@ -213,3 +213,32 @@ def test_bound_objective_touches_the_likelihood():
     exact = K.log_likelihood(d, y, w)
     assert np.isclose(K.bound_objective(d, y, w, "JAAKKOLA"), exact) and K.bound_objective(d, y, w, "TAYLOR") == exact
     assert K.bound_objective(d, y, w, "JAAKKOLA", np.ones(2)) < exact
+
+
+def test_topic_bound_and_pass_match_the_local_kernels(spark):
+    """Routed rows give the statistics, metrics and bound of the plain kernels; unknown words are left out."""
+    from quorix.models import kernels_lda as KL
+    from quorix.models import lda as L
+
+    rng = np.random.default_rng(7)
+    eta = rng.gamma(2.0, 1.0, (3, 30))
+    docs = [(i, sorted(int(w) for w in rng.choice(30, 8, replace=False)), [int(c) for c in rng.integers(1, 5, 8)]) for i in range(25)]
+    rows = spark.createDataFrame([(w, [float(x) for x in eta[:, w]]) for w in range(30)], "word int, eta array<double>")
+    topics = L.Topics.of(rows.cache(), 3, 0.1)
+    assert np.isclose(topics.bound(0.1), KL.topic_bound(eta, 0.1)) and topics.vocabulary == 30
+    blocks = L.DocBlocks.of(spark.createDataFrame([*docs, (98, [], []), (99, None, None)], "doc_id bigint, words array<int>, counts array<int>"), 3)
+    found = L.e_pass(blocks, topics, np.full(3, 0.5), 4)
+    exp_beta, total, llh = L.S.exp_dirichlet_expectation(eta), np.zeros(eta.shape), 0.0
+    for _, w, c in docs:
+        g, s = KL.e_step(np.array(w), np.array(c, float), exp_beta[:, w], np.full(3, 0.5), np.ones(3), 4)
+        total[:, w] += s
+        llh += KL.log_likelihood(np.array(w), np.array(c, float), g, L.S.row_normalise(eta)[:, w])
+    assert np.isclose(found.llh, llh) and found.n_docs == 25
+    new = np.zeros(eta.shape)
+    for r in L.m_step(found, topics, 0.1).rows.collect():
+        new[:, r.word] = r.eta
+    assert np.allclose(new, KL.m_step(total, exp_beta, 0.1))
+    model = L.LdaModel(topics.long(), np.full(3, 0.5), None, topics)
+    got = {r.doc_id: r.gamma for r in model.document_topics(spark.createDataFrame([(1, [2, 40], [3, 1]), (2, [41], [1])], "doc_id bigint, words array<int>, counts array<int>"), 5).collect()}
+    want, _ = KL.e_step(np.array([2]), np.array([3.0]), exp_beta[:, [2]], np.full(3, 0.5), np.ones(3), 5)
+    assert np.allclose(got[1], want) and set(got) == {1, 2}

@@ -156,3 +156,11 @@ def test_streaming_rates_match_batch(spark, tmp_path, data_dir):
     q.stop()
     want = windowed_rates(batch, "ts", "user_id", F.col("clicks"), F.col("impressions"))
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_even_labels_give_each_block_its_partition(spark):
+    for n in (1, 3, 8, 20):
+        labels = P.even_labels(spark, n)
+        assert len(set(labels)) == n
+        df = spark.range(5 * n).select(P.even_block(spark, n, (F.col("id") % n).cast("int")).alias("block")).repartition(n, "block")
+        assert sorted(map(len, df.rdd.glom().map(lambda rows: {r.block for r in rows}).collect())) == [1] * n
