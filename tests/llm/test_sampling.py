@@ -51,3 +51,26 @@ def test_share_is_near_expectation_and_empty(spark):
     df = spark.range(20000).select(F.col("id").alias("rec_id"), F.col("id").cast("int").alias("row_idx"), F.lit(1).alias("col_idx"), F.lit(0).alias("batch_no"))
     assert 800 < len(cells(df, rate=0.05)) < 1200
     assert not cells(df.limit(0))
+
+
+def test_hot_and_other_cells_give_all_their_records(spark, monkeypatch):
+    """One cell holds 40 % of the Records; the salted way, the plain way and both together give the same."""
+    rows = [(i, 1 if i % 5 < 2 else i % 50, 1 if i % 5 < 2 else i % 7, i % 6, "p", "w", "s") for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    weights = S.batch_weights(df)
+    picked = cells(df)
+    want = sorted(r[0] for r in rows if (r[1], r[2]) in picked)
+    assert (1, 1) in picked and len(picked) > 3
+    for share in (1e-9, 0.1, 1.0):
+        monkeypatch.setattr(S, "HOT_SHARE", share)
+        assert sorted(r.rec_id for r in S.sample_records(df, weights).collect()) == want
+    monkeypatch.setattr(S, "SLOTS", 2)
+    assert sorted(r.rec_id for r in S.sample_records(df, weights).collect()) == want
+    assert S.sample_records(df.limit(0), weights.limit(0)).count() == 0
+
+
+def test_weights_stored_batch_by_batch(spark):
+    df = spark.createDataFrame(records(5), SCHEMA)
+    got = S.stored_weights(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.batch_weights(df).collect()))
+    assert S.stored_weights(df.limit(0)).count() == 0
