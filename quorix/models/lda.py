@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quorix.functions import special as S
 from quorix.models import kernels_lda as K
 from quorix.models.consensus import _lists, _matrix
-from quorix.operators.partition import even_block, hash_block
+from quorix.operators.partition import even_block, groups_for, hash_block
 from quorix.schema import LdaParams, LdaStrategy
 from quorix.session import release, ship_package, snapshot
 
@@ -30,6 +30,8 @@ _STATS = pa.schema([("word", pa.int32()), ("stat", _LIST)])
 _GAMMAS = pa.schema([("doc_id", pa.int64()), ("gamma", _LIST)])
 _STATE = pa.schema([("block", pa.int32()), ("word", pa.int32()), ("eta", _LIST), ("dual", _LIST)])
 _STATE_DDL = "block int, word int, eta array<double>, dual array<double>"
+#: Numbers of the topics table that a group of the M-step takes.
+BUCKET_CELLS = 4_000_000
 #: Rows of a pass that aren't statistics of a word: sums of the documents, and of E[log theta].
 _SCALARS, _LOG_THETA = -1, -2
 
@@ -196,7 +198,7 @@ def _per_word(rows: DataFrame, topics: Topics, update: Callable[[np.ndarray, np.
         return pa.Table.from_arrays([pa.array(words, pa.int32()), _lists(update(total.T, n, eta).T)], schema=_TOPIC)
 
     ship_package(rows.sparkSession)
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    buckets = groups_for(rows.sparkSession, topics.vocabulary * k, BUCKET_CELLS)
     bucket = F.pmod(F.xxhash64("word"), F.lit(buckets))
     both = rows.where("word >= 0").withColumn("bucket", bucket).groupBy("bucket").cogroup(topics.rows.withColumn("bucket", bucket).groupBy("bucket"))
     return Topics.of(snapshot(both.applyInArrow(run, TOPIC_DDL), replaces=topics.rows), k, beta)
@@ -298,14 +300,15 @@ class LdaModel:
 def fit_lda(docs: DataFrame, p: LdaParams | None = None, vocabulary: int | None = None, validate: DataFrame | None = None) -> LdaModel:
     """Train on (doc_id, words, counts), words distinct within a document. Null and empty documents are left out.
 
-    `vocabulary` defaults to the largest word id + 1. Metrics are taken on `validate` after folding in; without it, on the
+    `vocabulary` defaults to the largest word id + 1. There are at least as many blocks of documents as cores; `blocks` should
+    be large enough for a block's documents and words to fit a task. Metrics are taken on `validate` after folding in; without it, on the
     training documents with the gammas of the next E-step (MRLDA: one pass over the documents per iteration).
     """
     p = p or LdaParams()
     strategy = LdaStrategy(p.strategy)
     spark = docs.sparkSession
     exact = strategy is LdaStrategy.MRLDA
-    fine = max(p.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fine = groups_for(spark, p.blocks, 1)
     blocks = DocBlocks.of(docs.select("doc_id", "words", "counts"), fine if exact else p.blocks, p.seed)
     # the blocks of a consensus are few; metrics are taken in more, smaller ones
     test = DocBlocks.of(validate.select("doc_id", "words", "counts"), fine, p.seed) if validate is not None else None if exact else DocBlocks.of(blocks.data.drop("block"), fine, p.seed + 1)

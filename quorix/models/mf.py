@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from quorix.models import consensus as C
 from quorix.models import kernels_mf as K
-from quorix.operators.partition import even_block, hash_block, rating_blocks
+from quorix.operators.partition import even_block, groups_for, hash_block, rating_blocks
 from quorix.schema import MfParams, MfStrategy, Regularizer
 from quorix.session import ship_package, snapshot
 
 #: Ratings whose products are held at once.
 PIECE = 1 << 16
+#: Ratings of a block of an exact run.
+BLOCK_RATINGS = 1_000_000
 FACTOR_DDL = "id int, f array<double>, prec array<double>"
 
 
@@ -197,6 +199,7 @@ class Links:
 
     data: DataFrame
     out: DataFrame
+    blocks: int
 
     @staticmethod
     def of(ratings: DataFrame, own_col: str, other_col: str, blocks: int, seed: int = 0) -> Links:
@@ -207,7 +210,7 @@ class Links:
         spread = F.when(F.coalesce("hot", F.lit(False)), F.col("other")).otherwise(F.lit(0))
         marked = rows.join(F.broadcast(hot), "id", "left").select("id", "other", "value", even_block(ratings.sparkSession, blocks, hash_block(blocks, "id", spread, seed=seed)).alias("block"))
         data = marked.repartition(blocks, "block").persist(StorageLevel.MEMORY_AND_DISK)
-        return Links(data, data.select("other", "block").distinct().persist(StorageLevel.MEMORY_AND_DISK))
+        return Links(data, data.select("other", "block").distinct().persist(StorageLevel.MEMORY_AND_DISK), blocks)
 
     def release(self) -> None:
         self.data.unpersist()
@@ -222,7 +225,7 @@ class Links:
     def half_step(self, other: DataFrame, old: DataFrame, p: MfParams, method: str, vb: bool, gamma: float) -> DataFrame:
         """(id, f, prec) of this side given the other side's (id, f, prec) and the old factors (id, f)."""
         packed = self.normal_equations(other, p.rank)
-        buckets = int(self.data.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+        buckets = self.blocks * 4
         bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")
         solved = packed.withColumn("bucket", bucket).groupBy("bucket").cogroup(old.select("id", "f", bucket).groupBy("bucket"))
         return solved.applyInArrow(_solve(p.rank, method, vb, gamma, p.weighted), FACTOR_DDL)
@@ -232,8 +235,8 @@ def _exact(train: DataFrame, p: MfParams, method: str) -> Iterator[tuple[DataFra
     vb = MfStrategy(p.strategy) is MfStrategy.DVB
     k, seed = p.rank, p.seed
     spark = train.sparkSession
-    blocks = max(p.row_blocks * p.col_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read four times to build the links
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read five times to build the links
+    blocks = max(p.row_blocks * p.col_blocks, groups_for(spark, train.count(), BLOCK_RATINGS))
     by_row, by_col = Links.of(train, "row", "col", blocks, p.seed), Links.of(train, "col", "row", blocks, p.seed)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,11 @@ def hash_block(n: int, *keys: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n)).cast("int")
 
 
+def groups_for(spark: SparkSession, size: int, per_group: int) -> int:
+    """Number of groups for grouped functions: all cores busy, and no group larger than about `per_group`."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // per_group))
+
+
 def even_labels(spark: SparkSession, n: int) -> list[int]:
     """A number for each of n blocks so that repartition(n, number) puts each block into a partition of its own.
 
